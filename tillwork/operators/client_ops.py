@@ -82,8 +82,8 @@ def is_due(cadence: Column, run_ts: Column) -> Column:
     now = run_ts.cast("timestamp_ntz")
 
     def fired(day: Column, hour: int) -> Column:
-        late = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(day.cast("timestamp")) - hour * 3600
-        return late.between(0, GRACE_SECONDS)
+        at = day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour))
+        return now.between(at, at + F.make_dt_interval(secs=F.lit(GRACE_SECONDS)))
 
     today = F.to_date(now)
     return (
