@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.functions.text import fixed, is_service, money, safe_filename, signed_percent, strip, title_case
-from tillwork.operators.kpis import CLIENT, with_shares
+from tillwork.operators.kpis import with_shares
 from tillwork.vocabulary import (
     CHANGE_LABEL,
     GOODS_LABELS,
@@ -64,24 +64,28 @@ def highlights(kpi_rows: DataFrame) -> DataFrame:
     ])
 
 
-def top_table(top: DataFrame) -> DataFrame:
-    """Ranked items with their share of the listed volume."""
-    return with_shares(top).select(
-        "client_id", "rank", title_case(strip(F.col("item"))).alias("item"), "quantity",
+def top_rows(top: DataFrame) -> DataFrame:
+    """Ranked items with the texts of table and chart: shares, short names, bar lengths."""
+    name = title_case(strip(F.col("item")))
+    short = F.when(F.length("item") > 26, F.concat(F.substring("item", 1, 24), F.lit("..."))).otherwise(F.col("item"))
+    return with_shares(top).withColumn("item", name).select(
+        "client_id", "rank", "item", "quantity",
         F.concat(fixed(F.col("share_pct"), 1), F.lit("% do Top 5")).alias("share"),
+        short.alias("short_name"),
+        F.concat(F.col("quantity").cast("string"), F.lit(" oc.")).alias("count_label"),
+        F.concat(fixed(F.col("share_pct"), 0), F.lit("% do total")).alias("share_label"),
+        "ratio_to_max",
     )
 
 
+def top_table(top: DataFrame) -> DataFrame:
+    """Ranked items with their share of the listed volume."""
+    return top_rows(top).select("client_id", "rank", "item", "quantity", "share")
+
+
 def top_chart(top: DataFrame) -> DataFrame:
     """Bar lengths and short names of the ranked items."""
-    name = title_case(strip(F.col("item")))
-    short = F.when(F.length(name) > 26, F.concat(F.substring(name, 1, 24), F.lit("..."))).otherwise(name)
-    return with_shares(top).select(
-        "client_id", "rank", short.alias("item"),
-        F.concat(F.col("quantity").cast("string"), F.lit(" oc.")).alias("count_label"),
-        F.concat(fixed(F.col("share_pct"), 0), F.lit("% do total")).alias("share_label"),
-        "ratio_to_max",
-    )
+    return top_rows(top).select("client_id", "rank", "short_name", "count_label", "share_label", "ratio_to_max")
 
 
 def insights(clients: DataFrame, top: DataFrame) -> DataFrame:
@@ -162,8 +166,3 @@ def period_label(clients: DataFrame, as_of: dt.date) -> DataFrame:
     file_name = F.when(generated, own).otherwise(F.concat(safe_filename(F.lower("name")), F.lit("_estrategico")))
     return clients.select("client_id", heading.alias("period_label"), file_name.alias("report_name"))
 
-
-def chart_ranks(top: DataFrame) -> DataFrame:
-    """Renumber ranked rows from 1 per client, as after a filter on the list."""
-    order = Window.partitionBy(*CLIENT).orderBy("rank")
-    return top.withColumn("rank", F.row_number().over(order))
