@@ -5,39 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillwork.functions.text import strip
-
+# Day texts by order of their parts; only year-first dashes and day-first slashes may carry a time.
 _TIME = r"[0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?"
-# Day orders: which part of the text is year, month and day. Only two of them may carry a time.
-_YEAR_FIRST = rf"^([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?:\s+({_TIME}))?$"
-_YEAR_FIRST_SLASH = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$"
-_DAY_FIRST = rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}})(?:\s+({_TIME}))?$"
-_DAY_FIRST_DASH = r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$"
-_MONTH_NAME = r"^[A-Za-z]+\s+[0-9]{1,2},\s+[0-9]{4}$"
-
-FIRST_YEAR, LAST_YEAR = 1678, 2261
+_SPACE = r"[\s\x1c-\x1f]"
+_DAYS = (
+    rf"(?U)^{_SPACE}*(?:"
+    rf"([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?:{_SPACE}+({_TIME}))?"
+    rf"|([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}})(?:{_SPACE}+({_TIME}))?"
+    r"|([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})"
+    rf"|([0-9]{{1,2}})-([0-9]{{1,2}})-([0-9]{{4}})"
+    rf"){_SPACE}*$"
+)
+_AS_ISO = "$1$7$9$14-$2$6$10$13-$3$5$11$12 $4$8"
+# Years 1678 to 2261.
+_YEAR = "(?:167[89]|16[89][0-9]|1[7-9][0-9]{2}|2[01][0-9]{2}|22[0-5][0-9]|226[01])"
+_ISO = rf"^({_YEAR}-[0-9]{{1,2}}-[0-9]{{1,2}}(?: {_TIME})?) ?$"
+_MONTH_NAME = rf"(?U)^{_SPACE}*([A-Za-z]+){_SPACE}+([0-9]{{1,2}}),{_SPACE}+({_YEAR}){_SPACE}*$"
 
 
 def parse_date(c: Column) -> Column:
     """Date or date-time text to a timestamp without zone; unknown formats are NULL.
 
-    The shape of the text picks the one format it can have, so a value is parsed once instead of
-    being tried against every format.
+    Every known shape is rewritten to year, month, day by one replacement, so a value is parsed
+    once instead of being tried against each format.
     """
-    text = strip(c)
-
-    def iso(shape: str, order: str) -> Column:
-        return F.when(text.rlike(shape), strip(F.regexp_replace(text, shape, order)).try_cast("timestamp_ntz"))
-
+    iso = F.regexp_extract(F.regexp_replace(c, _DAYS, _AS_ISO), _ISO, 1).try_cast("timestamp_ntz")
     month_name = F.when(
-        text.rlike(_MONTH_NAME),
-        F.try_to_timestamp(F.regexp_replace(text, r"\s+", " "), F.lit("MMMM d, yyyy")).cast("timestamp_ntz"),
-    )
-    parsed = F.coalesce(
-        iso(_YEAR_FIRST, "$1-$2-$3 $4"),
-        iso(_DAY_FIRST, "$3-$2-$1 $4"),
-        iso(_YEAR_FIRST_SLASH, "$1-$2-$3"),
-        iso(_DAY_FIRST_DASH, "$3-$2-$1"),
-        month_name,
+        c.rlike(_MONTH_NAME),
+        F.try_to_timestamp(F.regexp_replace(c, _MONTH_NAME, "$1 $2, $3"), F.lit("MMMM d, yyyy")).cast("timestamp_ntz"),
     )
-    return F.when(F.year(parsed).between(FIRST_YEAR, LAST_YEAR), parsed)
+    return F.coalesce(iso, month_name)

@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillwork.functions.text import strip
 from tillwork.vocabulary import CURRENCY_WORDS
 
+_SPACE = r"[\s\x1c-\x1f]"
 _CURRENCY = "(?:" + "|".join(CURRENCY_WORDS) + ")"
 # Already plain: neither currency, thousands mark nor comma can occur in it.
 _PLAIN = r"^[0-9]+(?:\.[0-9]{1,2})?$"
-# What a cast may accept; keeps out Java spellings such as 1d, NaN, Infinity.
-_DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+# What a cast may accept. Keeps out Java spellings such as 1d, NaN, Infinity, and lengths that overflow.
+_DECIMAL = rf"(?U)^{_SPACE}*([+-]?(?:[0-9]{{1,200}}\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{{1,2}})?){_SPACE}*$"
 
 
 def parse_decimal(c: Column) -> Column:
-    """Plain decimal text to double; anything else, and anything not finite, is NULL."""
-    text = strip(c)
-    value = F.when(text.rlike(_DECIMAL), text.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    """Plain decimal text to double; anything else is NULL."""
+    return F.regexp_extract(c, _DECIMAL, 1).try_cast("double")
 
 
 def parse_number(c: Column) -> Column:
@@ -27,9 +25,8 @@ def parse_number(c: Column) -> Column:
 
     Text that is already plain takes one pattern test; only the rest goes through the replacements.
     """
-    text = strip(c)
-    text = F.regexp_replace(text, rf"(?U){_CURRENCY}\s*", "")
-    text = strip(F.regexp_replace(text, rf"(?U)\s*{_CURRENCY}", ""))
+    text = F.regexp_replace(c, rf"(?U){_CURRENCY}{_SPACE}*", "")
+    text = F.regexp_replace(text, rf"(?U){_SPACE}*{_CURRENCY}", "")
     text = F.regexp_replace(text, r"(?U)\s(?=\d{3}(?!\d))", "")
     text = F.regexp_replace(text, r"\.(?=[0-9]{3})", "")
     local = parse_decimal(F.replace(text, F.lit(","), F.lit(".")))

@@ -31,8 +31,9 @@ def lines(c: Column) -> Column:
     return F.split(c, LINE_BREAK)
 
 
-def fields(c: Column, separator: str = ",") -> Column:
-    return F.transform(F.split(c, separator), strip)
+def fields(c: Column) -> Column:
+    """Comma-separated parts without surrounding white space."""
+    return F.split(strip(c), r"(?U)[\s\x1c-\x1f]*,[\s\x1c-\x1f]*")
 
 
 def basename(path: Column) -> Column:

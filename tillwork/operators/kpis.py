@@ -22,7 +22,7 @@ NO_ITEM_COLUMN = "no_item_column"
 
 def exact_sum(c: Column | str) -> Column:
     """Sum that does not depend on row order, as double."""
-    return F.sum(F.col(c).cast("decimal(28,6)") if isinstance(c, str) else c.cast("decimal(28,6)")).cast("double")
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(28,6)")).cast("double")
 
 
 def ratio(total: Column, count: Column) -> Column:
@@ -38,8 +38,11 @@ def by_day(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
 
 def best_day(days: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
     """Day with the highest revenue; the earliest of equals. ``days`` comes from ``by_day``."""
-    order = F.struct("revenue", -F.unix_date("day"))
-    return days.groupBy(*keys).agg(F.max_by("day", order).alias("best_day"))
+    return days.groupBy(*keys).agg(_best_day())
+
+
+def _best_day() -> Column:
+    return F.max_by("day", F.struct("revenue", -F.unix_date("day"))).alias("best_day")
 
 
 def transactions(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
@@ -127,50 +130,6 @@ def with_shares(top: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
     return top.withColumns({"share_pct": share, "ratio_to_max": ratio_to_max})
 
 
-def _summary(sales: DataFrame, as_of: dt.date, keys: Sequence[str]) -> DataFrame:
-    """Totals, transactions, best day and peak hour in one pass over the rows.
-
-    One grouping-sets aggregate gives revenue per day, rows per hour and the distinct order
-    references together, so input that is itself a join or a parse is computed once.
-    """
-    keys = list(keys)
-    has_order = F.coalesce("has_order", F.lit(False))
-    narrow = sales.select(
-        *keys,
-        F.to_date("sale_ts").alias("day"),
-        F.hour("sale_ts").alias("hour"),
-        F.when(has_order, F.col("order_ref")).alias("order_ref"),
-        F.when(~has_order, 1).alias("plain"),
-        "amount",
-    )
-    columns = [F.col(c) for c in (*keys, "day", "hour", "order_ref")]
-    kinds = [[F.col(k) for k in keys] + [F.col(c)] for c in ("day", "hour", "order_ref")]
-    groups = narrow.groupingSets(kinds, *columns).agg(
-        F.grouping("day").alias("no_day"),
-        F.grouping("hour").alias("no_hour"),
-        exact_sum("amount").alias("revenue"),
-        F.count("*").alias("n"),
-        F.count("plain").alias("plain"),
-    )
-    is_day, is_hour = F.col("no_day") == 0, F.col("no_hour") == 0
-    is_order = ~is_day & ~is_hour
-    day_order = F.when(is_day, F.struct("revenue", -F.unix_date("day")))
-    hour_order = F.when(is_hour, F.struct("n", -F.col("hour")))
-    by_client = groups.filter(~is_order | F.col("order_ref").isNotNull() | (F.col("plain") > 0)).groupBy(*keys).agg(
-        exact_sum(F.when(is_day, F.col("revenue"))).alias("total"),
-        F.sum(F.when(is_order, F.when(F.col("order_ref").isNotNull(), 1).otherwise(F.col("plain")))).alias("transactions"),
-        F.max_by(F.when(is_day, F.col("day")), day_order).alias("best_day"),
-        F.max_by(F.when(is_hour, F.col("hour")), hour_order).alias("top_hour"),
-        F.count(F.when(is_hour, 1)).alias("hours"),
-    )
-    total = F.col("total")
-    count = F.coalesce("transactions", F.lit(0).cast("long"))
-    return by_client.select(
-        *keys, total, count.alias("transactions"), ratio(total, count).alias("avg_ticket"), "best_day",
-        F.when(F.col("hours") > 1, hour_band(F.col("top_hour"))).alias("peak_hour"),
-    )
-
-
 def kpis(
     sales: DataFrame,
     as_of: dt.date,
@@ -181,14 +140,19 @@ def kpis(
     """Key figures per client over the given rows.
 
     ``daily`` adds peak hour, change against yesterday and item of the day; ``comparison`` holds
-    the rows of both days where ``sales`` holds only today's.
+    the rows of both days where ``sales`` holds only today's. Each figure is its own narrow
+    aggregate, so ``sales`` should be a stored table when it is costly to compute.
     """
     keys = list(keys)
-    result = _summary(sales, as_of, keys)
+    days = by_day(sales, keys)
+    per_client = days.groupBy(*keys).agg(exact_sum("revenue").alias("total"), _best_day())
+    joined = per_client.join(transactions(sales, keys), keys)
+    result = joined.withColumn("avg_ticket", ratio(F.col("total"), F.col("transactions")))
     if daily:
-        change = vs_yesterday(sales if comparison is None else comparison, as_of, keys)
         item = item_of_day(sales, keys).select(*keys, F.struct("item", "quantity", "amount").alias("item_of_day"))
-        result = result.join(change, keys, "left").join(item, keys, "left")
+        change = _change(days if comparison is None else by_day(comparison, keys), as_of, keys)
+        for part in (peak_hour(sales, keys), change, item):
+            result = result.join(part, keys, "left")
     else:
         result = result.withColumns({
             "peak_hour": F.lit(None).cast("string"),

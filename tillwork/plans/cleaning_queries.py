@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.dates import parse_date
 from tillwork.functions.numbers import parse_number
-from tillwork.functions.text import nullify_missing
 from tillwork.operators import silver
 from tillwork.plans.figure_queries import quartiles_sql
 from tillwork.plans.registry import query
-from tillwork.plans.views import EVENT_SALES_SQL, SALES_SQL, event_sales, sales_view, table
+from tillwork.plans.views import EVENT_SALES_SQL, SALES_SQL, event_sales, sales_view, spread, table
 
 KEY = ["l_orderkey", "l_linenumber"]
 
@@ -47,8 +46,8 @@ def parse_numbers(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("vinte"),
         F.concat(F.lit("-"), local),
     ])
-    lines = table(spark, sf, "lineitem").select(*KEY, text.alias("number_text"))
-    return lines.withColumn("number", parse_number(nullify_missing(F.col("number_text"))))
+    lines = spread(table(spark, sf, "lineitem").select(*KEY, "l_extendedprice"), "l_orderkey", "l_linenumber").select(*KEY, text.alias("number_text"))
+    return lines.withColumn("number", parse_number(F.col("number_text")))
 
 
 @query("parse_dates", """WITH src AS (
@@ -73,7 +72,7 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     ]
     text = _cases((key + line) % 11, [F.date_format(at, f) for f in formats])
     parsed = F.date_format(parse_date(F.col("date_text")), "yyyy-MM-dd HH:mm:ss")
-    return table(spark, sf, "lineitem").select(*KEY, text.alias("date_text")).withColumn("parsed", parsed)
+    return spread(table(spark, sf, "lineitem").select(*KEY, "l_shipdate"), "l_orderkey", "l_linenumber").select(*KEY, text.alias("date_text")).withColumn("parsed", parsed)
 
 
 def _flawed_sales(spark: SparkSession, sf: str) -> DataFrame:

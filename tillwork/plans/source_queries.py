@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tillwork.operators import align
 from tillwork.plans.registry import query
 from tillwork.plans.reporting import ingest
-from tillwork.plans.views import table
+from tillwork.plans.views import spread, table
 from tillwork.sources.csv_files import read_csv_sources
 from tillwork.sources.events import extract_messages
 from tillwork.sources.page_tables import read_page_tables
 from tillwork.sources.text_sales import text_lines, text_sales
-from tillwork.staging import new_path
+from tillwork.staging import new_path, stage
 from tillwork.vocabulary import (
     DATE_ROLE_WORDS, FIELD_WORDS, GOODS_WORDS, ORDER_ROLE_NAMES, PRICE_ROLE_WORDS,
     QUANTITY_ROLE_WORDS, SERVICE_WORDS, TOTAL_ROLE_WORDS,
@@ -147,10 +147,10 @@ def _page_tables(spark: SparkSession, sf: str) -> DataFrame:
     client = F.concat(F.lit("c"), (page % 2).cast("string"))
     rows = orders.select(client.alias("client_id"), page.alias("page"), header.alias("header"), row.alias("row"))
     tables = rows.groupBy("client_id", "page", "header").agg(F.collect_list("row").alias("rows"))
-    return tables.select(
+    return stage(tables.select(
         F.concat(F.col("client_id"), F.lit(".pdf")).alias("source_id"), "client_id", "page",
         F.lit(0).alias("table_ix"), F.concat(F.array("header"), F.col("rows")).alias("cells"),
-    )
+    ), "pages")
 
 
 @query("table_union", """SELECT 'c' || (o_orderkey // 1000) % 2 AS client_id, o_totalprice AS amount, strftime(o_orderdate, '%Y-%m-%d') AS day,
@@ -193,7 +193,7 @@ SELECT l_orderkey || '-' || l_linenumber AS client_id, p_name AS item, l_quantit
 UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'Extra', 1, CAST(l_linenumber AS DOUBLE), '2026-06-07' FROM src WHERE l_orderkey % 2 = 0""")
 def text_sales_query(spark: SparkSession, sf: str) -> DataFrame:
     """A chat text per order line, with heading, blank and unusable lines around the sales."""
-    joined = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), "l_orderkey", "l_linenumber").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     text = F.concat(
         F.lit("produto, quantidade, valor\r\n"), F.col("p_name"), F.lit(" ,  "), F.col("l_quantity").cast("string"), F.lit(","),
         F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("\n\n Arroz, 2,5, 80\nFeijao, 2\nX, nan, 5\n"),

@@ -11,14 +11,21 @@ from tillwork.functions.numbers import parse_decimal
 from tillwork.functions.text import fields, lines, strip
 
 
-def text_lines(texts: DataFrame) -> DataFrame:
-    """Non-blank lines with their parts and, if unusable, a ``reason``."""
-    split = texts.select("*", F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
-    parts = split.filter(strip(F.col("line")) != "").withColumn("parts", fields(F.col("line")))
-    numbers = parts.withColumns({
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select("*", F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    parts = rows.withColumn("parts", fields(F.col("line")))
+    return parts.withColumns({
         "quantity": parse_decimal(F.get("parts", F.lit(1))),
         "amount": parse_decimal(F.get("parts", F.lit(2))),
     })
+
+
+def text_lines(texts: DataFrame) -> DataFrame:
+    """Non-blank lines with their parts and, if unusable, a ``reason``."""
+    numbers = _numbers(_lines(texts).filter(strip(F.col("line")) != ""))
     reason = F.when(F.size("parts") != 3, "not_three_fields").when(
         F.col("quantity").isNull() | F.col("amount").isNull(), "not_numeric"
     )
@@ -32,7 +39,10 @@ def text_sales(texts: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """
     day = F.to_date("received_at") if as_of is None else F.lit(as_of)
     no, yes = F.lit(False), F.lit(True)
-    return text_lines(texts).filter("reason is null").select(
+    # Counting commas drops most unusable lines before anything is split.
+    commas = F.length("line") - F.length(F.replace("line", F.lit(","), F.lit("")))
+    usable = _numbers(_lines(texts).filter(commas == 2)).filter("quantity is not null and amount is not null")
+    return usable.select(
         "client_id", "source_id", F.col("line_no").cast("long").alias("row_ix"), "business_type",
         day.cast("timestamp_ntz").alias("sale_ts"),
         F.get("parts", F.lit(0)).alias("item"), "quantity",
