@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +37,11 @@ def derive_total(sales: DataFrame) -> DataFrame:
     return sales.withColumn("amount", amount)
 
 
-def fill_fallbacks(sales: DataFrame, run_day: Column) -> DataFrame:
+def fill_fallbacks(sales: DataFrame, run_day: dt.date | Column) -> DataFrame:
     """Run day for sources without dates, quantity 1 for sources without quantities."""
+    day = run_day if isinstance(run_day, Column) else F.lit(run_day)
     return sales.withColumns({
-        "sale_ts": F.when(_flag("has_date"), F.col("sale_ts")).otherwise(run_day.cast("timestamp_ntz")),
+        "sale_ts": F.when(_flag("has_date"), F.col("sale_ts")).otherwise(day.cast("timestamp_ntz")),
         "quantity": F.when(_flag("has_qty"), F.col("quantity")).otherwise(F.lit(1.0)),
     })
 
@@ -110,7 +112,9 @@ def classify(sales: DataFrame, tol: float = 0.10, k: float = 3.0, min_rows: int
     return marked.withColumn("reason", F.coalesce("reason", late)).drop("is_outlier")
 
 
-def clean(sales: DataFrame, run_day: Column, tol: float = 0.10, k: float = 3.0, min_rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def clean(
+    sales: DataFrame, run_day: dt.date | Column, tol: float = 0.10, k: float = 3.0, min_rows: int = 4
+) -> tuple[DataFrame, DataFrame]:
     """Valid rows with fallbacks filled in, and rejected rows with their reason."""
     classified = classify(sales, tol, k, min_rows)
     valid = fill_fallbacks(classified.filter("reason is null").drop("reason"), run_day)

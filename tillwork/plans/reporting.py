@@ -31,7 +31,7 @@ def key_figures(
     The cleaned rows are staged once with their reason and period flag; every figure then reads
     only its own columns of that table.
     """
-    classified = silver.fill_fallbacks(silver.classify(sales), F.lit(as_of))
+    classified = silver.fill_fallbacks(silver.classify(sales), as_of)
     good = classified.filter("reason is null")
     if period is None:
         good = periods.in_latest_year(good)
