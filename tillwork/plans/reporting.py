@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from tillwork.operators import align, kpis, periods, report, silver
 from tillwork.operators.client_ops import of_cadence
-from tillwork.staging import stage
+from tillwork.staging import attach, stage
 from tillwork.vocabulary import DEFAULT_BUSINESS_TYPE
 
 
+# What the key figures read of a cleaned sale.
+FIGURE_COLUMNS = ["client_id", "business_type", "sale_ts", "item", "quantity", "amount", "order_ref", "has_item", "has_qty", "has_order"]
+
+
 def ingest(sources: DataFrame, raw_cells: DataFrame, clients: DataFrame, override: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Align all sources: (sales, status per source)."""
     kinds = clients.select("client_id", "business_type")
@@ -37,7 +41,7 @@ def key_figures(
         good = periods.in_latest_year(good)
     else:
         good = good.withColumn("in_period", periods.between("sale_ts", *periods.period_range(period, as_of)))
-    valid = stage(good.drop("reason"), "valid")
+    valid = stage(good.select(*FIGURE_COLUMNS, "in_period"), "valid")
     dateless = classified.filter("reason = 'bad_date'").select("client_id", "has_item", "reason", F.lit(False).alias("in_period"))
     known = valid.select("client_id", "has_item", F.lit(None).cast("string").alias("reason"), "in_period").unionByName(dateless)
     facts = kpis.source_facts(known, F.col("in_period"))
@@ -50,7 +54,7 @@ def key_figures(
 def report_tables(sales: DataFrame, clients: DataFrame, cadence: str, as_of: dt.date) -> dict[str, DataFrame]:
     """All report tables for the clients of one cadence; daily reports cover today only."""
     chosen = stage(of_cadence(clients, cadence), "clients")
-    theirs = sales.join(chosen.select("client_id"), "client_id", "left_semi")
+    theirs = attach(sales, chosen.select("client_id"), ["client_id"], "left_semi")
     daily = cadence == report.DAILY
     rows, top = key_figures(theirs, chosen.select("client_id", "business_type"), as_of, periods.TODAY if daily else None, daily)
     rows, top = stage(rows, "kpis"), stage(top, "top")

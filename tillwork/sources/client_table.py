@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.functions.text import normalise_phone
+from tillwork.staging import attach
 from tillwork.vocabulary import DEFAULT_BUSINESS_TYPE, DEFAULT_CADENCE
 
 
@@ -31,4 +32,4 @@ def lookup(clients: DataFrame, phone: str) -> DataFrame:
 def lookup_many(clients: DataFrame, phones: DataFrame) -> DataFrame:
     """Clients for a table with a ``phone`` column; unknown numbers keep NULL columns."""
     wanted = phones.withColumn("client_id", normalise_phone(F.col("phone")))
-    return wanted.join(with_defaults(clients), "client_id", "left")
+    return attach(wanted, with_defaults(clients), ["client_id"], "left")

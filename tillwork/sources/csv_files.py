@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.functions.text import extension, nullify_missing
+from tillwork.staging import stage
 
 FILE_PATH = "_metadata.file_path"
 
@@ -56,7 +57,8 @@ def read_csv_sources(
     breaks together, at the price of not splitting large files. ``uploads`` (``source_id``,
     ``client_id``) is the list of expected files, with which missing and zero-byte files show up too.
     """
-    lines = first_lines(spark, paths).withColumn("line", F.ltrim(F.replace("line", F.lit("\ufeff"), F.lit(""))))
+    lines = stage(first_lines(spark, paths), "first-lines")
+    lines = lines.withColumn("line", F.ltrim(F.replace("line", F.lit("\ufeff"), F.lit(""))))
     width = lines.agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
     names = [f"c{i}" for i in range(width)]
     schema = ", ".join(f"{n} string" for n in names)

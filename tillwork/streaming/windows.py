@@ -19,11 +19,17 @@ def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
 def dedup_events(messages: DataFrame, delay: str = "1 day", ts: str = "event_ts") -> DataFrame:
     """Each message id once. Repeats are expected within ``delay``, which bounds the state kept.
 
-    Messages without an id cannot be told apart and all pass.
+    A stream has no map-side combine, so copies are first reduced per id and input partition: an
+    id with very many copies then sends one row per partition to its task. Messages without an id
+    cannot be told apart and all pass.
     """
     timed = with_event_time(messages, ts, delay)
     with_id = timed.filter("message_id <> ''")
-    unique = with_id.dropDuplicatesWithinWatermark(["message_id"]) if messages.isStreaming else with_id.dropDuplicates(["message_id"])
+    if messages.isStreaming:
+        here = with_id.withColumn("_part", F.spark_partition_id())
+        unique = here.dropDuplicatesWithinWatermark(["message_id", "_part"]).drop("_part").dropDuplicatesWithinWatermark(["message_id"])
+    else:
+        unique = with_id.dropDuplicates(["message_id"])
     return unique.unionByName(timed.filter("message_id is null or message_id = ''"))
 
 
