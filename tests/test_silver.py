@@ -61,16 +61,16 @@ def test_derived_totals_and_fallbacks(sales):
     assert [(r.amount, r.quantity) for r in valid.collect()] == [(0.0, 1.0)]
 
 
-@pytest.mark.parametrize("limit", [staging.BROADCAST_BYTES, 0])
-def test_quartiles_equal_numpy(spark, monkeypatch, limit):
-    """Also with one group holding most rows, equal values, and the join that is not broadcast."""
+@pytest.mark.parametrize("small_group,limit", [(quantiles.SMALL_GROUP, 0), (3999, staging.BROADCAST_BYTES), (0, 0)])
+def test_quartiles_equal_numpy(spark, monkeypatch, small_group, limit):
+    """By sorted arrays and by bins, with one group holding most rows, equal values, and the join that is not broadcast."""
     monkeypatch.setattr(staging.attach, "__defaults__", ("left", None, limit))
     rng = random.Random(5)
     groups = {"hot": [round(rng.lognormvariate(5, 2), 2) for _ in range(4000)], "flat": [7.0] * 50, "one": [3.5], "two": [1.0, 9.0]}
     groups["close"] = [1000 + rng.random() / 100 for _ in range(501)]
     groups |= {f"g{i}": [round(rng.uniform(0.01, 500), 2) for _ in range(rng.randint(3, 40))] for i in range(30)}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, amount double").repartition(6)
-    got = {r.k: r for r in quantiles.quartiles(df, ["k"]).collect()}
+    got = {r.k: r for r in quantiles.quartiles(df, ["k"], small_group=small_group).collect()}
     assert set(got) == set(groups)
     for k, vs in groups.items():
         assert (got[k].total, got[k].top) == (len(vs), max(vs))

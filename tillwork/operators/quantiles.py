@@ -1,20 +1,24 @@
 """Exact quartiles per group without gathering a group in one task.
 
-The ``percentile`` aggregate keeps all distinct values of a group in one hash map, which a group
-holding a third of all rows does not survive. Here values are counted in narrow logarithmic bins
-(map-side combined), the bins give the position of every rank, and only the few bins whose value
-at a wanted rank is still unknown are looked at again.
+Group sizes are counted first. While all are small, each group's values are sorted in one array.
+Beyond that, a group holding a third of all rows would not fit a task (nor would the hash map of the
+``percentile`` aggregate), so values are counted in narrow logarithmic bins (map-side combined), the
+bins give the position of every rank, and only the few bins whose value at a wanted rank is still
+unknown are looked at again. Both ways read the same ranks and give the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwork.staging import attach, stage_measured
 
+SMALL_GROUP = 100_000  # rows whose values may be held in one array
 BINS_PER_E = 4096  # a bin spans 0.024 % of its value
 _PROBABILITIES = {"q1": 0.25, "q3": 0.75}
 
@@ -24,26 +28,43 @@ def _bin(value: Column) -> Column:
     return F.floor(F.ln(value) * BINS_PER_E).cast("int")
 
 
-def _wanted_ranks(total: Column) -> Column:
+def _wanted_ranks(total: Column) -> dict[str, Column]:
     """The 0-based ranks on both sides of each quartile."""
-    ranks = []
+    ranks = {}
     for name, p in _PROBABILITIES.items():
         position = (total - 1) * p
-        ranks.append(F.struct(F.lit(f"{name}_low").alias("name"), F.floor(position).alias("rank")))
-        ranks.append(F.struct(F.lit(f"{name}_high").alias("name"), F.ceil(position).alias("rank")))
-    return F.array(*ranks)
+        ranks[f"{name}_low"], ranks[f"{name}_high"] = F.floor(position), F.ceil(position)
+    return ranks
 
 
-def quartiles(df: DataFrame, keys: Sequence[str], value: str = "amount") -> DataFrame:
+def quartiles(df: DataFrame, keys: Sequence[str], value: str = "amount", small_group: int = SMALL_GROUP) -> DataFrame:
     """``q1``, ``q3`` (linear interpolation), ``total`` rows and ``top`` value per group.
 
     ``value`` must be positive; other rows are ignored.
     """
     keys = list(keys)
-    binned = df.filter(F.col(value) > 0).select(*keys, F.col(value).alias("v"), _bin(F.col(value)).alias("bin"))
+    values = df.filter(F.col(value) > 0).select(*keys, F.col(value).alias("v"))
+    largest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    ranked = _by_array(values, keys) if largest <= small_group else _by_bins(values, keys)
+    for q, p in _PROBABILITIES.items():
+        ranked = ranked.withColumn(q, _between(F.col(f"{q}_low"), F.col(f"{q}_high"), (F.col("total") - 1) * p))
+    return ranked.select(*keys, "total", "top", "q1", "q3")
+
+
+def _by_array(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Values at the wanted ranks out of each group's sorted values."""
+    gathered = values.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    sized = gathered.withColumn("total", F.size("vs").cast("long"))
+    at = {name: F.get("vs", rank.cast("int")) for name, rank in _wanted_ranks(F.col("total")).items()}
+    return sized.withColumns({**at, "top": F.get("vs", F.size("vs") - 1)}).drop("vs")
+
+
+def _by_bins(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Values at the wanted ranks by counting bins; no task sees more than a group's bins or one bin's values."""
+    binned = values.withColumn("bin", _bin(F.col("v")))
     bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
 
-    # Windows run over bins, of which a group has some ten thousand at most, not over rows.
+    # Windows run over bins, of which a group has some ten thousand, not over rows.
     whole = Window.partitionBy(*keys)
     up_to = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
@@ -51,38 +72,25 @@ def quartiles(df: DataFrame, keys: Sequence[str], value: str = "amount") -> Data
         .withColumn("total", F.sum("n").over(whole))
         .withColumn("top", F.max("high").over(whole))
     )
-    inside = F.filter(
-        _wanted_ranks(F.col("total")),
-        lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("n")),
-    )
-    offset = F.col("rank") - F.col("before")
+    offsets = {name: rank - F.col("before") for name, rank in _wanted_ranks(F.col("total")).items()}
+    held = {name: (offset >= 0) & (offset < F.col("n")) for name, offset in offsets.items()}
+    entries = [F.when(held[name], F.struct(F.lit(name).alias("name"), offsets[name].alias("offset"))) for name in offsets]
+    holders = placed.filter(reduce(or_, held.values())).withColumn("wanted", F.explode(F.array_compact(F.array(*entries))))
+    offset = F.col("wanted.offset")
     known = (
         F.when((F.col("low") == F.col("high")) | (offset == 0), F.col("low"))
         .when(offset == F.col("n") - 1, F.col("high"))
     )
-    ranks = (
-        placed.select(*keys, "bin", "before", "n", "low", "high", "total", "top", F.explode(inside).alias("w"))
-        .select(*keys, "bin", "total", "top", F.col("w.name").alias("name"),
-                (F.col("w.rank") - F.col("before")).alias("offset"),
-                F.col("w.rank").alias("rank"), "before", "n", "low", "high")
-        .withColumn("v", known)
-        .drop("rank", "before", "n", "low", "high")
-    )
+    ranks = holders.select(*keys, "bin", "total", "top", F.col("wanted.name").alias("name"), offset.alias("offset"), known.alias("v"))
     ranks, size = stage_measured(ranks, "ranks")
     open_ranks = ranks.filter(F.col("v").isNull()).drop("v")
     found = ranks.filter(F.col("v").isNotNull()).select(*keys, "name", "total", "top", "v")
     if not open_ranks.isEmpty():
         found = found.unionByName(_values_at(binned, open_ranks, keys, size))
-    at = {
-        f"{q}_{side}": F.max(F.when(F.col("name") == f"{q}_{side}", F.col("v")))
-        for q in _PROBABILITIES for side in ("low", "high")
-    }
-    per_group = found.groupBy(*keys).agg(
+    at = {name: F.max(F.when(F.col("name") == name, F.col("v"))) for name in offsets}
+    return found.groupBy(*keys).agg(
         F.max("total").alias("total"), F.max("top").alias("top"), *[c.alias(n) for n, c in at.items()]
     )
-    for q, p in _PROBABILITIES.items():
-        per_group = per_group.withColumn(q, _between(F.col(f"{q}_low"), F.col(f"{q}_high"), (F.col("total") - 1) * p))
-    return per_group.select(*keys, "total", "top", "q1", "q3")
 
 
 def _between(low: Column, high: Column, position: Column) -> Column:

@@ -186,9 +186,9 @@ def quartiles_by_client(spark: SparkSession, sf: str) -> DataFrame:
 @query("quartiles_by_line_status", f"""WITH src AS (SELECT l_linestatus AS line_status, l_extendedprice AS amount FROM lineitem),
 {quartiles_sql('src', 'line_status')} SELECT * FROM quart""")
 def quartiles_by_line_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Two groups that each hold half of all rows."""
+    """Two groups that each hold half of all rows, by counting bins as for groups too large for one task."""
     lines = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("line_status"), F.col("l_extendedprice").alias("amount"))
-    return quartiles(lines, ["line_status"])
+    return quartiles(lines, ["line_status"], small_group=0)
 
 
 # Sales cleaned by the fence, then the latest year of each client, as `kept`.
