@@ -198,6 +198,20 @@ def test_stream_fold_over_batches(spark, chat, tmp_path):
     assert sold.count() == sum(m.text == "Frango, 2, 30" and expected[m.message_id][0] == "sales_text" for ms in by_client(chat).values() for m in ms)
 
 
+def test_fold_in_batches_equals_message_by_message(spark, chat, tmp_path):
+    stream = stream_of(spark, chat, str(tmp_path / "in"), 3)
+    stream_folds.fold_in_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    actions, profiles = {}, {}
+    for client, messages in by_client(chat).items():
+        state = stream_folds._NEW
+        for m in messages:
+            state, actions[m.message_id] = stream_folds.next_profile(state, m.text)
+        profiles[client] = state
+    assert {r.message_id: r.action for r in spark.read.parquet(str(tmp_path / "out" / "actions")).collect()} == actions
+    newest = windows.latest_updates(spark, str(tmp_path / "out" / "profiles"), ["client_id"]).collect()
+    assert {r.client_id: (r.onboarding_step, r.name, r.business_type, r.cadence, r["mode"]) for r in newest} == profiles
+
+
 def test_stream_dedup_equals_batch(spark, chat, tmp_path):
     repeated = chat.unionByName(chat.filter("client_id < 'c15'")).unionByName(chat.limit(3).withColumn("message_id", F.lit("")))
     streamed = run(windows.dedup_events(stream_of(spark, repeated, str(tmp_path / "in"), 2)), str(tmp_path))

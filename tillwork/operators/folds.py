@@ -1,6 +1,7 @@
 """Ordered message histories as batch results: registration profile and chat mode.
 
-Both give what the stateful streams in ``tillwork.streaming.folds`` give message by message.
+They give what the stateful stream in ``tillwork.streaming.folds`` gives message by message, without
+gathering a client's history in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from tillwork.functions.messages import (
 )
 from tillwork.functions.text import strip
 from tillwork.staging import attach, stage
-from tillwork.vocabulary import MODE_CADENCE, MODE_SALES
+from tillwork.vocabulary import DEFAULT_CADENCE, MODE_CADENCE, MODE_SALES
 
 ORDER = ("event_ts", "message_id")
 
@@ -56,13 +57,16 @@ def profile_fold(messages: DataFrame, order: Sequence[str] = ORDER) -> DataFrame
     )
 
 
-def mode_fold(messages: DataFrame, order: Sequence[str] = ORDER, block: Column | None = None) -> DataFrame:
+def mode_fold(
+    messages: DataFrame, order: Sequence[str] = ORDER, block: Column | None = None, initial: DataFrame | None = None
+) -> DataFrame:
     """Mode in which each message of a registered client is read, and what it does there.
 
     A message in sales mode is sales text whatever it says, and ends the mode; cadence mode lasts
     until ``cancelar`` or a valid code. Histories are cut into blocks (by default hours): each block
     is worked out for the three modes it may start in, a client's blocks are chained by their end
     modes, and the rows pick the case that applies. So a long history is spread over its blocks.
+    ``initial`` (``client_id``, ``mode``) says in which mode clients begin, if not in none.
     """
     block = F.date_trunc("hour", "event_ts") if block is None else block
     text = F.col("text")
@@ -103,11 +107,14 @@ def mode_fold(messages: DataFrame, order: Sequence[str] = ORDER, block: Column |
     ends = rows.groupBy("client_id", "block").agg(*[
         F.max_by(_next_mode(F.col(f"in_{s}"), F.col("kind")), "n").alias(f"end_{s}") for s in ("idle", "sales", "cadence")
     ])
-    starts = attach(rows, _start_modes(ends), ["client_id", "block"], "inner")
+    starts = attach(rows, _start_modes(ends, initial), ["client_id", "block"], "inner")
     mode = _pick(F.col("start"), F.col("in_idle"), F.col("in_sales"), F.col("in_cadence"))
     result = starts.withColumn("mode", mode)
-    return result.select(*messages.columns, "mode", _action(F.col("mode"), text).alias("action"),
-                         F.when(F.col("mode") == MODE_CADENCE, cadence_code(text)).alias("new_cadence"))
+    return result.select(
+        *messages.columns, "mode", _action(F.col("mode"), text).alias("action"),
+        F.when(F.col("mode") == MODE_CADENCE, cadence_code(text)).alias("new_cadence"),
+        _next_mode(F.col("mode"), F.col("kind")).alias("mode_after"),
+    )
 
 
 def _pick(start: Column, idle: Column, sales: Column, cadence: Column) -> Column:
@@ -122,7 +129,7 @@ def _next_mode(mode: Column, kind: Column) -> Column:
     )
 
 
-def _start_modes(ends: DataFrame) -> DataFrame:
+def _start_modes(ends: DataFrame, initial: DataFrame | None) -> DataFrame:
     """Mode at the start of each block; one entry per block of a client is chained, not its messages."""
     entry = F.struct("block", "end_idle", "end_sales", "end_cadence")
     blocks = ends.groupBy("client_id").agg(F.array_sort(F.collect_list(entry)).alias("blocks"))
@@ -134,7 +141,11 @@ def _start_modes(ends: DataFrame) -> DataFrame:
         end = _pick(acc["mode"], b["end_idle"], b["end_sales"], b["end_cadence"])
         return F.struct(F.concat(acc["starts"], F.array(start)).alias("starts"), end.alias("mode"))
 
-    begin = F.struct(empty.alias("starts"), F.lit("").alias("mode"))
+    first_mode = F.lit("")
+    if initial is not None:
+        blocks = blocks.join(initial.select("client_id", F.col("mode").alias("first_mode")), "client_id", "left")
+        first_mode = F.coalesce("first_mode", F.lit(""))
+    begin = F.struct(empty.alias("starts"), first_mode.alias("mode"))
     chained = F.aggregate("blocks", begin, chain, lambda acc: acc["starts"])
     return blocks.select("client_id", F.inline(chained))
 
@@ -143,3 +154,66 @@ def _action(mode: Column, text: Column) -> Column:
     in_sales = F.when(is_cancel(text), "cancel").otherwise("sales_text")
     in_cadence = F.when(is_cancel(text), "cancel").when(cadence_code(text).isNotNull(), "set_cadence").otherwise("invalid_option")
     return F.when(mode == MODE_SALES, in_sales).when(mode == MODE_CADENCE, in_cadence).otherwise(command(text))
+
+
+PROFILE = ["onboarding_step", "name", "business_type", "cadence", "mode"]
+
+
+def chat_fold(
+    messages: DataFrame, profiles: DataFrame, order: Sequence[str] = ORDER, block: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A batch of messages on top of stored profiles: (messages with ``action``, changed profiles).
+
+    ``profiles`` has ``client_id`` and the ``PROFILE`` columns; unknown clients start fresh. A client
+    still registering uses up its next messages one step each, at most three, which a ranking cut
+    before the shuffle finds; everything after that goes through ``mode_fold``.
+    """
+    position = F.struct(*order)
+    usable = ~is_first_contact_greeting(F.col("text"))
+    seen = messages.groupBy("client_id").agg(F.min(F.when(usable, position)).alias("first_usable"), F.min(position).alias("first"))
+    step = F.coalesce("onboarding_step", F.lit(1))
+    heads = seen.join(profiles, "client_id", "left").withColumn("onboarding_step", step).withColumn(
+        "start", F.when(F.col("onboarding_step") == 1, F.col("first_usable")).when(F.col("onboarding_step") > 1, F.col("first"))
+    )
+    heads = stage(heads.select("client_id", *PROFILE, "start"), "heads")
+
+    placed = attach(messages, heads.select("client_id", F.col("onboarding_step").alias("step"), "start"), ["client_id"], "inner")
+    registering = placed.filter((F.col("step") > 0) & (position >= F.col("start")))
+    in_order = Window.partitionBy("client_id").orderBy(*order)
+    answers = registering.withColumn("n", F.row_number().over(in_order)).filter("n <= 3").filter("step + n <= 4")
+    answers = stage(answers.withColumn("step", F.col("step") + F.col("n") - 1).drop("n", "start"), "answers")
+    names = F.when(F.col("step") == 1, "set_name").when(F.col("step") == 2, "set_business_type").otherwise("set_cadence")
+    registered = answers.groupBy("client_id").agg(
+        F.max("step").alias("reached"),
+        F.max(F.when(F.col("step") == 1, strip(F.col("text")))).alias("new_name"),
+        F.max(F.when(F.col("step") == 2, business_type_answer(F.col("text")))).alias("new_type"),
+        F.max(F.when(F.col("step") == 3, cadence_answer(F.col("text")))).alias("first_cadence"),
+        F.max(F.when(F.col("step") == 3, position)).alias("done_at"),
+    )
+    registered = stage(registered, "registered")
+
+    waiting = placed.filter((F.col("step") == 1) & (F.col("start").isNull() | (position < F.col("start"))))
+    done = registered.filter("done_at is not null").select("client_id", "done_at")
+    after = attach(placed.drop("start"), done, ["client_id"], "left")
+    chatting = after.filter((F.col("step") == 0) | (position > F.col("done_at"))).select(*messages.columns)
+    initial = heads.filter("onboarding_step = 0 and mode is not null").select("client_id", "mode")
+    modes = stage(mode_fold(chatting, order, block, initial), "chat")
+
+    actions = (
+        waiting.select(*messages.columns, F.lit("ask_name").alias("action"))
+        .unionByName(answers.select(*messages.columns, names.alias("action")))
+        .unionByName(modes.select(*messages.columns, "action"))
+    )
+    changed = modes.groupBy("client_id").agg(
+        F.max_by("mode_after", position).alias("last_mode"),
+        F.max_by("new_cadence", F.when(F.col("new_cadence").isNotNull(), position)).alias("last_cadence"),
+    )
+    joined = heads.join(registered, "client_id", "left").join(changed, "client_id", "left")
+    new_step = F.coalesce(F.when(F.col("reached") == 3, 0).otherwise(F.col("reached") + 1), F.col("onboarding_step"))
+    return actions, joined.select(
+        "client_id", new_step.cast("int").alias("onboarding_step"),
+        F.coalesce("new_name", "name").alias("name"),
+        F.coalesce("new_type", "business_type").alias("business_type"),
+        F.coalesce("last_cadence", "first_cadence", "cadence", F.lit(DEFAULT_CADENCE)).alias("cadence"),
+        F.when(F.col("last_mode").isNotNull(), F.nullif("last_mode", F.lit(""))).otherwise(F.col("mode")).alias("mode"),
+    )

@@ -11,7 +11,7 @@ from tillwork.plans.registry import query
 from tillwork.plans.views import CHAT_SQL, CLIENTS_SQL, chat_messages, client_table, table
 from tillwork.staging import new_path
 from tillwork.streaming import windows
-from tillwork.streaming.folds import fold_profile, sales_from_chat
+from tillwork.streaming.folds import fold_in_batches, fold_profile, sales_from_chat
 from tillwork.vocabulary import COMMANDS, FIRST_CONTACT_GREETINGS
 
 _AT = "yyyy-MM-dd HH:mm:ss"
@@ -183,6 +183,16 @@ def chat_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _chat_stream(spark, sf).select("client_id", "message_id", "action")
 
 
+@query("chat_batches", f"""WITH RECURSIVE {CHAT_SQL}, {_MACHINE_SQL.format(step=1)} SELECT client_id, message_id, action FROM acted""")
+def chat_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as one batch job per micro-batch, with profiles kept in a table."""
+    path = new_path(spark, "batches")
+    chat_messages(spark, sf).write.parquet(f"{path}/in")
+    messages = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    fold_in_batches(messages, path, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/actions").select("client_id", "message_id", "action")
+
+
 @query("chat_sales", f"""WITH RECURSIVE {CHAT_SQL}, {_MACHINE_SQL.format(step=1)}
 SELECT client_id, message_id AS source_id, 'Frango' AS item, 2.0::DOUBLE AS quantity, 30.0::DOUBLE AS amount FROM acted
 WHERE action = 'sales_text' AND text = 'Frango, 2, 30'""")

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tillwork.operators.folds import chat_fold
 from tillwork.sources.text_sales import text_sales
+from tillwork.staging import stage
+from tillwork.streaming.windows import latest_updates
 from tillwork.vocabulary import (
     BUSINESS_TYPE_CODES,
     CADENCE_CODES,
@@ -27,6 +30,7 @@ OUTPUT = (
     "client_id string, message_id string, event_ts timestamp, text string, action string, "
     "onboarding_step int, name string, business_type string, cadence string, mode string"
 )
+_PROFILE_COLUMNS = "onboarding_step int, name string, business_type string, cadence string, mode string"
 _NEW = (1, None, None, DEFAULT_CADENCE, None)
 
 
@@ -83,6 +87,26 @@ def fold_profile(messages: DataFrame) -> DataFrame:
     return narrow.groupBy("client_id").applyInPandasWithState(_fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def fold_in_batches(messages: DataFrame, path: str, checkpoint: str):
+    """The same fold as one batch job per micro-batch, for feeds in which one client may dominate.
+
+    ``path/actions`` gets each message with its effect, ``path/profiles`` the profiles that changed;
+    both by batch, so a repeated batch replaces itself and reads only the profiles before it.
+    """
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id == 0:
+            profiles = spark.createDataFrame([], f"client_id string, {_PROFILE_COLUMNS}")
+        else:
+            profiles = latest_updates(spark, f"{path}/profiles", ["client_id"], before=batch_id)
+        narrow = stage(batch.select("client_id", "message_id", "event_ts", "text"), "messages")
+        actions, changed = chat_fold(narrow, profiles)
+        actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
+        changed.write.mode("overwrite").parquet(f"{path}/profiles/batch={batch_id}")
+
+    return messages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+
+
 def sales_from_chat(folded: DataFrame) -> DataFrame:
     """Sales rows out of the messages that were read in sales mode."""
     texts = folded.filter("action = 'sales_text'").select(

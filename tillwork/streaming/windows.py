@@ -65,9 +65,11 @@ def write_updates(changes: DataFrame, path: str, checkpoint: str):
     return changes.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest row per key out of what ``write_updates`` wrote."""
+def latest_updates(spark: SparkSession, path: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
+    """Newest row per key out of what was written by batch, optionally up to a batch."""
     written = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    if before is not None:
+        written = written.filter(F.col("batch") < before)
     values = [c for c in written.columns if c not in (*keys, "batch")]
     newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select(*keys, *[F.col("v")[c].alias(c) for c in values])
