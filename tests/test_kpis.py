@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillwork.operators import kpis, periods, report
-from tillwork.plans.reporting import ingest, key_figures, report_tables
+from tillwork.plans.reporting import due_reports, ingest, key_figures, record_reports, report_tables
+from tillwork.schemas import CLIENTS
 from tillwork.sources import sinks
 from tillwork.sources.csv_files import read_csv_sources
 from tillwork.staging import stage
@@ -200,6 +201,21 @@ def test_monthly_and_weekly_reports(spark, sample):
         assert text == start + "Ticket médio: 180.33 MZN\nMelhor dia: 2026-06-05"
 
 
+def test_due_reports(spark, sample):
+    rows = [
+        ("c1", "Loja", "retalho", "semanal", "u/1.csv", None, 0, "[]", None, None), ("c2", "Sem", "retalho", None, None, None, 0, "[]", None, None),
+        ("c3", "Novo", "retalho", "semanal", "u/3.csv", None, 2, "[]", None, None), ("c4", "Dia", "retalho", "diario", "u/4.csv", None, 0, "[]", None, None),
+    ]
+    clients = spark.createDataFrame(rows, CLIENTS)
+    reports, reminders = due_reports(sample[0], clients, dt.datetime(2026, 6, 8, 8, 15))
+    assert list(reports) == ["semanal"] and [r.client_id for r in reminders.collect()] == ["c2"]
+    kpi = reports["semanal"]["kpis"]
+    assert [(r.client_id, r.total) for r in kpi.collect()] == [("c1", 4869.0)]
+    recorded = record_reports(clients, kpi, "gold/2026-06-08")
+    assert {r.client_id: r.last_report for r in recorded.collect()} == {"c1": "gold/2026-06-08", "c2": None, "c3": None, "c4": None}
+    assert due_reports(sample[0], clients, dt.datetime(2026, 6, 8, 12))[0] == {}
+
+
 def test_sales_sinks(spark, sample, tmp_path):
     sales, _ = sample
     sinks.write_sales(sales, str(tmp_path / "p"))

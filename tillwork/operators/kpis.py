@@ -50,9 +50,18 @@ def transactions(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
 
     Spark groups by key and reference first, so one huge client is spread over its references.
     """
+    return sales.groupBy(*keys).agg(_transactions())
+
+
+def _transactions() -> Column:
     has_order = F.coalesce("has_order", F.lit(False))
     refs = F.count_distinct(F.when(has_order, F.col("order_ref")))
-    return sales.groupBy(*keys).agg((refs + F.count(F.when(~has_order, 1))).alias("transactions"))
+    return (refs + F.count(F.when(~has_order, 1))).alias("transactions")
+
+
+def totals(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
+    """Revenue and transactions in one aggregate."""
+    return sales.groupBy(*keys).agg(exact_sum("amount").alias("total"), _transactions())
 
 
 def revenue(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:

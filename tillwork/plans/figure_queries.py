@@ -118,7 +118,7 @@ FROM ev, as_of WHERE {where} GROUP BY client_id"""
 
 def _period(spark: SparkSession, sf: str, period: str) -> DataFrame:
     rows = periods.filter_period(event_sales(spark, sf), period, last_day(table(spark, sf, "events"), "ts"))
-    return kpis.revenue(rows).join(kpis.transactions(rows), "client_id")
+    return kpis.totals(rows)
 
 
 @query("period_today", _PERIOD_SQL.format(ev=EVENT_SALES_SQL, where="day = d"))

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.operators import align, kpis, periods, report, silver
-from tillwork.operators.client_ops import of_cadence
+from tillwork.operators import align, client_ops, kpis, periods, report, silver
+from tillwork.sources.client_table import with_defaults
 from tillwork.staging import attach, stage
 from tillwork.vocabulary import DEFAULT_BUSINESS_TYPE
 
@@ -53,7 +53,7 @@ def key_figures(
 
 def report_tables(sales: DataFrame, clients: DataFrame, cadence: str, as_of: dt.date) -> dict[str, DataFrame]:
     """All report tables for the clients of one cadence; daily reports cover today only."""
-    chosen = stage(of_cadence(clients, cadence), "clients")
+    chosen = stage(client_ops.of_cadence(clients, cadence), "clients")
     theirs = attach(sales, chosen.select("client_id"), ["client_id"], "left_semi")
     daily = cadence == report.DAILY
     rows, top = key_figures(theirs, chosen.select("client_id", "business_type"), as_of, periods.TODAY if daily else None, daily)
@@ -72,3 +72,25 @@ def report_tables(sales: DataFrame, clients: DataFrame, cadence: str, as_of: dt.
     if daily:
         tables["highlights"] = report.highlights(rows)
     return tables
+
+
+def due_reports(sales: DataFrame, clients: DataFrame, run_ts: dt.datetime) -> tuple[dict[str, dict[str, DataFrame]], DataFrame]:
+    """(report tables by cadence, reminders) for the clients whose cadence fires at ``run_ts``.
+
+    Registered clients with a file get a report, those without one a reminder.
+    """
+    due = stage(client_ops.due(with_defaults(clients), run_ts), "due")
+    filed = client_ops.with_file(due)
+    reports = {}
+    for cadence in (report.DAILY, report.WEEKLY, report.MONTHLY):
+        if not client_ops.of_cadence(filed, cadence).isEmpty():
+            reports[cadence] = report_tables(sales, filed, cadence, run_ts.date())
+    return reports, client_ops.reminders(due, filed)
+
+
+def record_reports(clients: DataFrame, reported: DataFrame, location: str) -> DataFrame:
+    """The client table with the report pointer of every reported client set to its new place."""
+    updates = reported.select(
+        "client_id", F.lit(location).alias("last_report"), F.array(F.lit("last_report")).alias("changed"), F.lit(0).alias("at")
+    )
+    return client_ops.update_fields(clients, updates, ["last_report"], ["at"])
