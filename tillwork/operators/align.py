@@ -177,17 +177,17 @@ def live_headers(raw_cells: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumns({"rows": rows, "header": F.transform("header", live)}).drop("masks")
 
 
-def to_sales(raw_cells: DataFrame, mapping: DataFrame) -> DataFrame:
+def to_sales(raw_cells: DataFrame, mapping: DataFrame, mapping_bytes: int | None = None) -> DataFrame:
     """Source rows to typed sales rows; numbers and dates are parsed once, from text.
 
-    Rows of sources whose mapping is not ``ok`` are left out: ``source_status`` lists those.
+    ``mapping_bytes`` is the size of a mapping that is staged already. Rows of sources whose mapping is not ``ok`` are left out: ``source_status`` lists those.
     """
     picks = mapping.filter("status = 'ok'").select(
         "source_id", "client_id", "business_type",
         F.get("names", F.col("order_ix") - 1).alias("order_name"),
         *[f"{r}_ix" for r in ROLES],
     )
-    rows = attach(raw_cells, picks, ["source_id"], "inner")
+    rows = attach(raw_cells, picks, ["source_id"], "inner", size=mapping_bytes)
 
     def cell(role: str) -> Column:
         return F.when(F.col(f"{role}_ix").isNotNull(), F.get("cells", F.col(f"{role}_ix") - 1))

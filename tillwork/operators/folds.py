@@ -20,7 +20,7 @@ from tillwork.functions.messages import (
     is_first_contact_greeting,
 )
 from tillwork.functions.text import strip
-from tillwork.staging import attach, stage
+from tillwork.staging import attach, stage, stage_measured
 from tillwork.vocabulary import DEFAULT_CADENCE, MODE_CADENCE, MODE_SALES
 
 ORDER = ("event_ts", "message_id")
@@ -37,8 +37,9 @@ def profile_fold(messages: DataFrame, order: Sequence[str] = ORDER) -> DataFrame
     named = messages.groupBy("client_id").agg(
         F.min(F.when(usable, F.struct(position.alias("at"), F.col("text")))).alias("first")
     )
-    named = stage(named.select("client_id", F.col("first.at").alias("start"), strip(F.col("first.text")).alias("name")), "named")
-    later = attach(messages, named.filter("start is not null").select("client_id", "start"), ["client_id"], "inner")
+    named = named.select("client_id", F.col("first.at").alias("start"), strip(F.col("first.text")).alias("name"))
+    named, size = stage_measured(named, "named")
+    later = attach(messages, named.filter("start is not null").select("client_id", "start"), ["client_id"], "inner", size=size)
     later = later.filter(position > F.col("start"))
     in_order = Window.partitionBy("client_id").orderBy(*order)
     answers = later.withColumn("n", F.row_number().over(in_order)).filter("n <= 2").groupBy("client_id").agg(
@@ -175,13 +176,14 @@ def chat_fold(
     heads = seen.join(profiles, "client_id", "left").withColumn("onboarding_step", step).withColumn(
         "start", F.when(F.col("onboarding_step") == 1, F.col("first_usable")).when(F.col("onboarding_step") > 1, F.col("first"))
     )
-    heads = stage(heads.select("client_id", *PROFILE, "start"), "heads")
+    heads, size = stage_measured(heads.select("client_id", *PROFILE, "start"), "heads")
 
-    placed = attach(messages, heads.select("client_id", F.col("onboarding_step").alias("step"), "start"), ["client_id"], "inner")
+    begins = heads.select("client_id", F.col("onboarding_step").alias("step"), "start")
+    placed = attach(messages, begins, ["client_id"], "inner", size=size)
     registering = placed.filter((F.col("step") > 0) & (position >= F.col("start")))
     in_order = Window.partitionBy("client_id").orderBy(*order)
     answers = registering.withColumn("n", F.row_number().over(in_order)).filter("n <= 3").filter("step + n <= 4")
-    answers = stage(answers.withColumn("step", F.col("step") + F.col("n") - 1).drop("n", "start"), "answers")
+    answers, size = stage_measured(answers.withColumn("step", F.col("step") + F.col("n") - 1).drop("n", "start"), "answers")
     names = F.when(F.col("step") == 1, "set_name").when(F.col("step") == 2, "set_business_type").otherwise("set_cadence")
     registered = answers.groupBy("client_id").agg(
         F.max("step").alias("reached"),
@@ -190,11 +192,10 @@ def chat_fold(
         F.max(F.when(F.col("step") == 3, cadence_answer(F.col("text")))).alias("first_cadence"),
         F.max(F.when(F.col("step") == 3, position)).alias("done_at"),
     )
-    registered = stage(registered, "registered")
 
     waiting = placed.filter((F.col("step") == 1) & (F.col("start").isNull() | (position < F.col("start"))))
     done = registered.filter("done_at is not null").select("client_id", "done_at")
-    after = attach(placed.drop("start"), done, ["client_id"], "left")
+    after = attach(placed.drop("start"), done, ["client_id"], "left", size=size)
     chatting = after.filter((F.col("step") == 0) | (position > F.col("done_at"))).select(*messages.columns)
     initial = heads.filter("onboarding_step = 0 and mode is not null").select("client_id", "mode")
     modes = stage(mode_fold(chatting, order, block, initial), "chat")

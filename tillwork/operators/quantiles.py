@@ -102,8 +102,10 @@ def _between(low: Column, high: Column, position: Column) -> Column:
 def _values_at(binned: DataFrame, open_ranks: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Exact values for ranks that fall strictly inside a bin of differing values."""
     at_bin = [*keys, "bin"]
-    rows = attach(binned, open_ranks.select(*at_bin).distinct(), at_bin, "left_semi", size=size)
-    values = rows.groupBy(*at_bin, "v").agg(F.count("*").alias("n"))
+    # Equal values are counted before the join, so copies of one value cannot pile up in a task.
+    # A broadcast semi join is pushed below the count by Spark, so then only open bins are counted.
+    counted = binned.groupBy(*at_bin, "v").agg(F.count("*").alias("n"))
+    values = attach(counted, open_ranks.select(*at_bin).distinct(), at_bin, "left_semi", size=size)
     up_to = Window.partitionBy(*at_bin).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = values.withColumn("before", F.sum("n").over(up_to) - F.col("n"))
     hit = (F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("before") + F.col("n"))

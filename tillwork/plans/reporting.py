@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwork.operators import align, client_ops, kpis, periods, report, silver
 from tillwork.sources.client_table import with_defaults
-from tillwork.staging import attach, stage
+from tillwork.staging import attach, stage, stage_measured
 from tillwork.vocabulary import DEFAULT_BUSINESS_TYPE
 
 
@@ -23,8 +23,8 @@ def ingest(sources: DataFrame, raw_cells: DataFrame, clients: DataFrame, overrid
     live = align.live_headers(raw_cells, sources).join(kinds, "client_id", "left").withColumn(
         "business_type", F.coalesce("business_type", F.lit(DEFAULT_BUSINESS_TYPE))
     )
-    mapping = stage(align.map_headers(live, override), "mapping")
-    return align.to_sales(raw_cells, mapping), align.source_status(sources, mapping)
+    mapping, size = stage_measured(align.map_headers(live, override), "mapping")
+    return align.to_sales(raw_cells, mapping, size), align.source_status(sources, mapping)
 
 
 def key_figures(
@@ -53,8 +53,8 @@ def key_figures(
 
 def report_tables(sales: DataFrame, clients: DataFrame, cadence: str, as_of: dt.date) -> dict[str, DataFrame]:
     """All report tables for the clients of one cadence; daily reports cover today only."""
-    chosen = stage(client_ops.of_cadence(clients, cadence), "clients")
-    theirs = attach(sales, chosen.select("client_id"), ["client_id"], "left_semi")
+    chosen, size = stage_measured(client_ops.of_cadence(clients, cadence), "clients")
+    theirs = attach(sales, chosen.select("client_id"), ["client_id"], "left_semi", size=size)
     daily = cadence == report.DAILY
     rows, top = key_figures(theirs, chosen.select("client_id", "business_type"), as_of, periods.TODAY if daily else None, daily)
     rows, top = stage(rows, "kpis"), stage(top, "top")

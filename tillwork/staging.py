@@ -70,7 +70,9 @@ def attach(
 
     Up to ``broadcast_bytes`` the table is broadcast, so the rows are not shuffled. Above that
     both sides are shuffled on the key plus a salt, so that a group holding a large part of all
-    rows is spread over ``SALTS`` tasks. ``size`` skips staging when the caller has measured it.
+    rows is spread over ``SALTS`` tasks. The salt is a hash of the whole row: it is the same when a
+    lost task is run again, and rows that can repeat exactly should be counted before the join.
+    ``size`` skips staging when the caller has measured it.
     """
     on = list(on)
     if size is None:
