@@ -11,7 +11,7 @@ sys.path.insert(0, str(ROOT))
 def spark():
     from bench import session
 
-    return session(4)
+    return session(8)
 
 
 @pytest.fixture

@@ -1,12 +1,13 @@
-"""Run registered queries against their SQL on DuckDB: ``python tests/oracle_check.py [names...]``."""
+"""Run registered queries against their SQL on DuckDB: ``[CHECK_SF_DIR=...] python tests/oracle_check.py [names...]``."""
 
+import os
 import sys
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-SF = "/root/testdata/sf0.01"
+SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
