@@ -17,8 +17,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 @lru_cache(maxsize=1)
@@ -68,18 +67,12 @@ def attach(
 ) -> DataFrame:
     """Join a table with one row per group to the rows of those groups.
 
-    Up to ``broadcast_bytes`` the table is broadcast, so the rows are not shuffled. Above that
-    both sides are shuffled on the key plus a salt, so that a group holding a large part of all
-    rows is spread over ``SALTS`` tasks. The salt is a hash of the whole row: it is the same when a
-    lost task is run again, and rows that can repeat exactly should be counted before the join.
+    Up to ``broadcast_bytes`` the table is broadcast, so the rows are not shuffled. Above that it is
+    a plain shuffled join, in which the engine splits the partitions of heavy keys at run time
+    (``spark.sql.adaptive.skewJoin``): only what a heavy key needs is read more than once.
     ``size`` skips staging when the caller has measured it.
     """
     on = list(on)
     if size is None:
         values, size = stage_measured(values, "attach")
-    if size <= broadcast_bytes:
-        return rows.join(F.broadcast(values), on, how)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    all_salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    salted_values = values.withColumn("_salt", F.explode(all_salts))
-    return salted_rows.join(salted_values, [*on, "_salt"], how).drop("_salt")
+    return rows.join(F.broadcast(values) if size <= broadcast_bytes else values.hint("merge"), on, how)
