@@ -40,11 +40,12 @@ def map_columns(
     outputs: list[tuple[str, T.DataType]],
     work: Callable[[Iterator[list[list]]], Iterator[list[list]]],
     keep: list[str] | None = None,
+    as_lists: bool = True,
 ) -> DataFrame:
     """Adds columns worked out in Python from Arrow batches.
 
-    ``work`` gets an iterator of the input columns of each batch, as Python lists, and yields the
-    output columns. ``keep`` names the columns that are returned before them (all if None).
+    ``work`` gets an iterator of the input columns of each batch, as Python lists (or Arrow arrays),
+    and yields the output columns. ``keep`` names the columns that are returned before them (all if None).
     """
     keep = list(df.columns) if keep is None else keep
     needed = df.select(*dict.fromkeys([*keep, *inputs]))
@@ -60,12 +61,13 @@ def map_columns(
         def columns() -> Iterator[list[list]]:
             for batch in batches:
                 seen.append(batch)
-                yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
+                found = [batch.column(batch.schema.get_field_index(c)) for c in inputs]
+                yield [c.to_pylist() for c in found] if as_lists else found
 
         for made in work(columns()):
             batch = seen.pop()
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            new = [pa.array(v, type=arrow[i]) for i, v in enumerate(made)]
+            new = [v if isinstance(v, pa.Array) else pa.array(v, type=arrow[i]) for i, v in enumerate(made)]
             yield pa.RecordBatch.from_arrays([*kept, *new], names=schema.names)
 
     return needed.mapInArrow(run, schema)
