@@ -57,6 +57,7 @@ _BAD = frozenset(
     "share sharing sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription taboola tags toolbar topbar trending "
     "widget widgets header alert alerts".split()
 )
+_ABOUT = frozenset("with without has no".split())  # names such as "with-sidebar" are of what stands beside it
 _GOOD = frozenset("article content entry main post story text body".split())
 _LINKED = -5.0  # all text in links
 _PER_WORD, _MOST_BY_LENGTH = 0.04, 2.0
@@ -119,8 +120,9 @@ class _Reader:
         above = self.stack[-1] if self.stack else None
         self.count += 1
         cost, hidden = element_cost(tag, attributes, above is not None and above.in_article)
+        inherited = above.cost if above else 0.0
         self.stack.append(_Element(
-            tag, self.count, cost + (above.cost if above else 0.0), tag in ("article", "main") or bool(above and above.in_article),
+            tag, self.count, cost + (min(0.0, inherited) if cost <= _BAD_WORD else inherited), tag in ("article", "main") or bool(above and above.in_article),
             hidden or tag in _SKIP or bool(above and above.skipped),
         ))
 
@@ -149,7 +151,7 @@ def element_cost(tag: str, attributes: str, in_article: bool) -> tuple[float, bo
             words |= name_words(value)
     if in_article:
         words.discard("header")  # an article's own heading
-    if words & _BAD:
+    if words & _BAD and not words & _ABOUT:
         cost += _BAD_WORD
     elif words & _GOOD:
         cost += _GOOD_WORD
