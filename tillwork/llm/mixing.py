@@ -99,7 +99,8 @@ def epoch_order(seed: int, epoch: Column, key: Column) -> Column:
 
 def _leaf_plan(rows: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     """Rows with their leaf's ``full`` epochs, ``rest`` and order; and per leaf the bucket in which the prefix ends."""
-    shares = budgets(rows.groupBy(LEVELS).agg(F.sum("tokens").alias("tokens")), mix)
+    supply = stage(rows.groupBy(LEVELS).agg(F.sum("tokens").alias("tokens")), "supply")
+    shares = budgets(supply, mix)
     one = F.greatest(F.col("tokens"), F.lit(1))
     shares = shares.select(*LEVELS, F.floor(F.col("budget") / one).alias("full"), (F.col("budget") % one).alias("rest"))
     ordered = attach(rows, shares, LEVELS, "inner").withColumn("order_key", epoch_order(mix.seed, F.col("full"), F.col("key")))
@@ -121,7 +122,7 @@ def mix_tokens(docs: DataFrame, mix: Mix = PRODUCTION, key: str = "doc_id", text
     the last document of a prefix is cut, so that the sum is the leaf's budget.
     """
     rows = docs.select(F.col(key).alias("key"), *[c.alias(n) for n, c in leaf_columns(lang, source).items()], token_count(F.col(text)).alias("tokens"))
-    ordered, cuts = _leaf_plan(rows, mix)
+    ordered, cuts = _leaf_plan(stage(rows, "tokens"), mix)  # texts are read once
     marked = attach(ordered.drop("full", "rest"), cuts, LEVELS, "inner")
     whole = marked.filter("full > 0 or bucket < cut_bucket").filter("cut_bucket is null or bucket <> cut_bucket")
     whole = whole.withColumn("prefix", F.when(F.col("bucket") < F.col("cut_bucket"), F.col("tokens")).otherwise(F.lit(0)))
