@@ -41,11 +41,12 @@ def map_columns(
     work: Callable[[Iterator[list[list]]], Iterator[list[list]]],
     keep: list[str] | None = None,
     as_lists: bool = True,
+    rows_at_once: int = 256,
 ) -> DataFrame:
     """Adds columns worked out in Python from Arrow batches.
 
-    ``work`` gets an iterator of the input columns of each batch, as Python lists (or Arrow arrays),
-    and yields the output columns. ``keep`` names the columns that are returned before them (all if None).
+    ``work`` gets an iterator of the input columns, ``rows_at_once`` rows at a time so that few texts
+    are Python objects at once, as lists (or Arrow arrays), and yields the output columns. ``keep`` names the columns that are returned before them (all if None).
     """
     keep = list(df.columns) if keep is None else keep
     needed = df.select(*dict.fromkeys([*keep, *inputs]))
@@ -59,7 +60,7 @@ def map_columns(
         seen: list[pa.RecordBatch] = []
 
         def columns() -> Iterator[list[list]]:
-            for batch in batches:
+            for batch in (b.slice(i, rows_at_once) for b in batches for i in range(0, max(1, b.num_rows), rows_at_once)):
                 seen.append(batch)
                 found = [batch.column(batch.schema.get_field_index(c)) for c in inputs]
                 yield [c.to_pylist() for c in found] if as_lists else found
