@@ -29,30 +29,30 @@ def test_golden_sample(sample):
     sales, clients = sample
     rows, top = key_figures(sales, clients, AS_OF)
     r = rows.first()
-    assert (r.total, r.transactions, round(r.avg_ticket, 4)) == (4869.0, 27, 180.3333)
+    assert (r.total, r.transactions, round(r.avg_ticket, 4)) == (5695.5, 26, 219.0577)
     assert (r.best_day, r.peak_hour, r.month_name, r.change_pct, r.status) == (dt.date(2026, 6, 5), None, "June", None, "ok")
     ranked = kpis.with_shares(top).orderBy("rank").collect()
     assert [(t.item, t.quantity) for t in ranked] == [
-        ("Arroz Branco", 213), ("Cerveja", 205), ("Frango Grelhado", 158), ("Sumo de Laranja", 100), ("Peixe Frito", 63),
+        ("Cafe Moido", 218), ("Cha Verde", 135), ("Bolo de Milho", 109), ("Agua Mineral", 92), ("Pao Caseiro", 77),
     ]
-    assert [round(t.share_pct, 1) for t in ranked] == [28.8, 27.7, 21.4, 13.5, 8.5]
-    assert [round(t.ratio_to_max, 4) for t in ranked] == [1.0, 0.9624, 0.7418, 0.4695, 0.2958]
+    assert [round(t.share_pct, 1) for t in ranked] == [34.5, 21.4, 17.3, 14.6, 12.2]
+    assert [round(t.ratio_to_max, 4) for t in ranked] == [1.0, 0.6193, 0.5, 0.422, 0.3532]
 
 
 def test_revenue_by_day(sample):
     days = kpis.by_day(sample[0]).orderBy("day").collect()
-    assert [d.revenue for d in days] == [375, 615, 600, 699, 900, 801, 879]
+    assert [d.revenue for d in days] == [512.5, 714.0, 726.5, 551.5, 1346.0, 821.5, 1023.5]
     changes = {d.day.day: d.change_pct for d in kpis.daily_change(kpis.by_day(sample[0])).collect()}
-    assert changes[1] is None and changes[7] == 9.7
+    assert changes[1] is None and changes[7] == 24.6
 
 
 def test_today(sample):
     rows, top = key_figures(*sample, AS_OF, periods.TODAY)
     r = rows.first()
-    assert (r.total, r.transactions, r.avg_ticket, r.vs_yesterday_pct) == (879.0, 4, 219.75, 9.7)
-    assert tuple(r.item_of_day) == ("Arroz Branco", 38, 114.0)
+    assert (r.total, r.transactions, r.avg_ticket, r.vs_yesterday_pct) == (1023.5, 4, 255.875, 24.6)
+    assert tuple(r.item_of_day) == ("Cafe Moido", 46, 575.0)
     assert [(t.item, t.quantity) for t in top.orderBy("rank").collect()] == [
-        ("Arroz Branco", 38), ("Frango Grelhado", 28), ("Sumo de Laranja", 25), ("Peixe Frito", 18),
+        ("Cafe Moido", 46), ("Pao Caseiro", 41), ("Cha Verde", 28), ("Bolo de Milho", 13),
     ]
 
 
@@ -84,7 +84,7 @@ def test_unknown_period():
 
 
 def test_week_holds_the_whole_sample(sample):
-    assert periods.filter_period(sample[0], "semana", AS_OF).count() == 27
+    assert periods.filter_period(sample[0], "semana", AS_OF).count() == 26
 
 
 def test_reference_frames(sales):
@@ -173,19 +173,19 @@ def test_report_tables(spark, sample, tmp_path):
     tables = report_tables(sales, clients, report.DAILY, AS_OF)
     texts = {r.client_id: r.summary for r in tables["summary_text"].collect()}
     assert texts == {
-        "c1": "Resumo de hoje (07/06/2026):\nFaturação: 879.00 MZN\nItens vendidos: 4\nTicket médio: 219.75 MZN\n"
-              "Produto do dia: Arroz Branco (38 un)\nVs ontem: +9.7%",
+        "c1": "Resumo de hoje (07/06/2026):\nFaturação: 1023.50 MZN\nItens vendidos: 4\nTicket médio: 255.88 MZN\n"
+              "Produto do dia: Cafe Moido (46 un)\nVs ontem: +24.6%",
         "c2": "Resumo de hoje (07/06/2026):\nFaturação: 0.00 MZN\nTransacções: 0\nValor médio/serviço: 0.00 MZN",
     }
     top = {r.client_id: r.top_text for r in tables["top_text"].collect()}
-    assert top["c1"].startswith("Top 5 produtos (diario):\n1. Arroz Branco - 38 ocorrências\n2. Frango")
+    assert top["c1"].startswith("Top 5 produtos (diario):\n1. Cafe Moido - 46 ocorrências\n2. Pao")
     assert top["c2"] == "Não foi possível identificar serviços no teu ficheiro."
     block = [(r.position, r.label, r.value) for r in tables["kpi_block"].filter("client_id = 'c1'").orderBy("position").collect()]
-    assert block == [(1, "FATURACAO TOTAL", "MZN 879.00"), (2, "ITENS VENDIDOS", "4"), (3, "TICKET MEDIO", "MZN 219.75"), (4, "MELHOR DIA", "2026-06-07")]
+    assert block == [(1, "FATURACAO TOTAL", "MZN 1,023.50"), (2, "ITENS VENDIDOS", "4"), (3, "TICKET MEDIO", "MZN 255.88"), (4, "MELHOR DIA", "2026-06-07")]
     marks = {r.client_id: [x.value for x in tables["highlights"].filter(F.col("client_id") == r.client_id).orderBy("position").collect()] for r in clients.limit(2).collect()}
-    assert marks == {"c1": ["Arroz Branco\n38 un . MZN 114.00", "-", "+ 9.7% vs ontem"], "c2": ["-", "-", "-"]}
+    assert marks == {"c1": ["Cafe Moido\n46 un . MZN 575.00", "-", "+ 24.6% vs ontem"], "c2": ["-", "-", "-"]}
     insight = {r.client_id: r.insight for r in tables["insights"].collect()}
-    assert "O produto ARROZ BRANCO lidera o periodo em volume." in insight["c1"] and "insuficiente" in insight["c2"]
+    assert "O produto CAFE MOIDO lidera o periodo em volume." in insight["c1"] and "insuficiente" in insight["c2"]
     written = sinks.write_report(tables, str(tmp_path / "gold"), AS_OF, report.DAILY)
     for name, path in written.items():
         back = spark.read.parquet(path)
@@ -195,10 +195,10 @@ def test_report_tables(spark, sample, tmp_path):
 
 def test_monthly_and_weekly_reports(spark, sample):
     sales, _ = sample
-    for cadence, start in [("mensal", "Resumo do Mês (June):\nFaturação total: 4869.00 MZN\nTransacções: 27\n"), ("semanal", "Resumo da semana:\nFaturação total: 4869.00 MZN\nItens vendidos: 27\n")]:
+    for cadence, start in [("mensal", "Resumo do Mês (June):\nFaturação total: 5695.50 MZN\nTransacções: 26\n"), ("semanal", "Resumo da semana:\nFaturação total: 5695.50 MZN\nItens vendidos: 26\n")]:
         clients = spark.createDataFrame([("c1", "L", "retalho", cadence)], "client_id string, name string, business_type string, cadence string")
         text = report_tables(sales, clients, cadence, AS_OF)["summary_text"].first().summary
-        assert text == start + "Ticket médio: 180.33 MZN\nMelhor dia: 2026-06-05"
+        assert text == start + "Ticket médio: 219.06 MZN\nMelhor dia: 2026-06-05"
 
 
 def test_due_reports(spark, sample):
@@ -210,7 +210,7 @@ def test_due_reports(spark, sample):
     reports, reminders = due_reports(sample[0], clients, dt.datetime(2026, 6, 8, 8, 15))
     assert list(reports) == ["semanal"] and [r.client_id for r in reminders.collect()] == ["c2"]
     kpi = reports["semanal"]["kpis"]
-    assert [(r.client_id, r.total) for r in kpi.collect()] == [("c1", 4869.0)]
+    assert [(r.client_id, r.total) for r in kpi.collect()] == [("c1", 5695.5)]
     recorded = record_reports(clients, kpi, "gold/2026-06-08")
     assert {r.client_id: r.last_report for r in recorded.collect()} == {"c1": "gold/2026-06-08", "c2": None, "c3": None, "c4": None}
     assert due_reports(sample[0], clients, dt.datetime(2026, 6, 8, 12))[0] == {}
@@ -220,9 +220,9 @@ def test_sales_sinks(spark, sample, tmp_path):
     sales, _ = sample
     sinks.write_sales(sales, str(tmp_path / "p"))
     back = spark.read.parquet(str(tmp_path / "p"))
-    assert back.filter("sale_year = 2026 and sale_month = 6").count() == 27
+    assert back.filter("sale_year = 2026 and sale_month = 6").count() == 26
     sinks.write_sales_csv(sales.select("item", "amount"), str(tmp_path / "c"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 27
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 26
 
 
 def test_long_names_are_shortened(spark):
@@ -237,3 +237,35 @@ def test_period_filter_reaches_the_scan(spark, sample, tmp_path):
     sample[0].write.parquet(path)
     plan = periods.filter_period(spark.read.parquet(path), "mes", AS_OF)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(sale_ts" in plan and "LessThan(sale_ts" in plan
+
+
+def test_one_client_with_extreme_cells_does_not_stop_the_others(spark, sales):
+    good = sales(*[{"amount": a, "quantity": 2.0} for a in (1.1, 2.2, 3.3)], client_id="good", item="x", order_ref="1", sale_ts=dt.datetime(2026, 6, 7))
+    bad = sales(
+        *[{"amount": a, "quantity": q} for a, q in ((1e15, 1e20), (1e30, 1e30), (1e22, 3.0), (5e307, 1e300), (1e308, 1e308))],
+        client_id="bad", item="y", order_ref="2", sale_ts=dt.datetime(2026, 6, 7),
+    )
+    both = good.unionByName(bad)
+    rows = {r.client_id: r for r in kpis.kpis(both, AS_OF, daily=True).collect()}
+    assert rows["good"].total == 6.6 and rows["good"].item_of_day.quantity == 6
+    assert rows["bad"].total == pytest.approx(1.5e308) and rows["bad"].item_of_day.quantity == kpis.MOST
+    assert {r.client_id for r in kpis.with_shares(kpis.top_items(both)).collect()} == {"good", "bad"}
+    from tillwork.streaming.windows import running_kpis
+
+    assert {r.client_id: r.total for r in running_kpis(both).collect()}["good"] == 6.6
+    reasons, _ = key_figures(both, spark.createDataFrame([("good", "retalho"), ("bad", "retalho")], "client_id string, business_type string"), AS_OF)
+    assert {r.client_id: r.status for r in reasons.collect()} == {"good": "ok", "bad": "ok"}
+
+
+def test_figures_keep_a_client_without_a_name(sales):
+    rows = kpis.kpis(sales({"amount": 2.0, "quantity": 1.0, "item": "x"}, {"amount": 3.0, "quantity": 1.0, "item": "x"}, client_id=None, sale_ts=dt.datetime(2026, 6, 7)), AS_OF, daily=True).collect()
+    assert [(r.client_id, r.total, r.item_of_day.item) for r in rows] == [(None, 5.0, "x")]
+
+
+def test_reports_count_only_the_newest_upload(spark, sales, tmp_path):
+    sale = {"amount": 100.0, "quantity": 1.0, "item": "x", "sale_ts": dt.datetime(2026, 6, 7), "client_id": "c"}
+    twice = sales({**sale, "source_id": "one"}, {**sale, "source_id": "two"})
+    uploads = spark.createDataFrame([("c", "one", 1), ("c", "two", 2)], "client_id string, source_id string, uploaded_at long")
+    clients = spark.createDataFrame([("c", "L", "retalho", "semanal")], "client_id string, name string, business_type string, cadence string")
+    total = lambda u: report_tables(twice, clients, "semanal", AS_OF, u)["kpis"].first().total
+    assert (total(uploads), total(None)) == (100.0, 200.0)

@@ -25,10 +25,10 @@ def test_row_checks_in_order(sales):
         {**ok, "amount": float("nan")}, {**ok, "amount": float("inf")}, {**ok, "amount": 1e15}, {**ok, "amount": None, "quantity": 0.0},
     )
     kept, reasons = kept_and_reasons(df)
-    assert kept == [0, 8]
+    assert kept == [0, 8, 13]
     assert reasons == {
         1: "bad_total", 2: "bad_total", 3: "bad_total", 4: "bad_quantity", 5: "bad_quantity", 6: "missing_item", 7: "repeated_header",
-        9: "blank_row", 10: "bad_date", 11: "bad_total", 12: "total_out_of_range", 13: "total_out_of_range", 14: "bad_total",
+        9: "blank_row", 10: "bad_date", 11: "bad_total", 12: "outlier", 14: "bad_total",
     }
 
 
@@ -61,16 +61,16 @@ def test_derived_totals_and_fallbacks(sales):
     assert [(r.amount, r.quantity) for r in valid.collect()] == [(0.0, 1.0)]
 
 
-@pytest.mark.parametrize("small_group,limit", [(quantiles.SMALL_GROUP, 0), (3999, staging.BROADCAST_BYTES), (0, 0)])
-def test_quartiles_equal_numpy(spark, monkeypatch, small_group, limit):
-    """By sorted arrays and by bins, with one group holding most rows, equal values, and the join that is not broadcast."""
+@pytest.mark.parametrize("limit", [0, staging.BROADCAST_BYTES])
+def test_quartiles_equal_numpy(spark, monkeypatch, limit):
+    """With one group holding most rows, equal values, and the join that is not broadcast."""
     monkeypatch.setattr(staging.attach, "__defaults__", ("left", None, limit))
     rng = random.Random(5)
     groups = {"hot": [round(rng.lognormvariate(5, 2), 2) for _ in range(4000)], "flat": [7.0] * 50, "one": [3.5], "two": [1.0, 9.0]}
     groups["close"] = [1000 + rng.random() / 100 for _ in range(501)]
     groups |= {f"g{i}": [round(rng.uniform(0.01, 500), 2) for _ in range(rng.randint(3, 40))] for i in range(30)}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, amount double").repartition(6)
-    got = {r.k: r for r in quantiles.quartiles(df, ["k"], small_group=small_group).collect()}
+    got = {r.k: r for r in quantiles.quartiles(df, ["k"]).collect()}
     assert set(got) == set(groups)
     for k, vs in groups.items():
         assert (got[k].total, got[k].top) == (len(vs), max(vs))
@@ -105,3 +105,14 @@ def test_shared_folder_is_required_off_local(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         staging.shared_folder(Session())
+
+
+def test_quartiles_of_null_keys_and_odd_values(spark):
+    rng = random.Random(9)
+    groups = {None: [round(rng.lognormvariate(3, 1), 3) for _ in range(2000)], "": [5.0], "inf": [1.0, 2.0, float("inf"), float("inf")], "far": [5e-324, 1e300, 1e308]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("nan", float("nan")), ("none", None), ("minus", -1.0)], "k string, amount double")
+    got = {r.k: r for r in quantiles.quartiles(df, ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k in (None, "", "far"):
+        assert (got[k].q1, got[k].q3) == pytest.approx(tuple(np.percentile(groups[k], [25, 75]))), k
+    assert got["inf"].q3 == float("inf") and got["inf"].q1 == 1.75

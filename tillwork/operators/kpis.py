@@ -20,9 +20,25 @@ EMPTY_PERIOD = "empty_period"
 NO_ITEM_COLUMN = "no_item_column"
 
 
+MOST = 2**63 - 1  # what a whole number column holds; larger quantities are shown as this
+
+
 def exact_sum(c: Column | str) -> Column:
-    """Sum that does not depend on row order, as double."""
-    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(28,6)")).cast("double")
+    """Sum that does not depend on row order, as double.
+
+    Values that no decimal(28,6) holds cannot stop a job: their group is summed as doubles instead.
+    """
+    value = F.col(c) if isinstance(c, str) else c
+    money = value.try_cast("decimal(28,6)")
+    exact = F.try_sum(money).cast("double")
+    return F.when(F.count(money) == F.count(value), F.coalesce(exact, F.sum(value.cast("double")))).otherwise(F.sum(value.cast("double")))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which some may be NULL: NULL meets NULL."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def ratio(total: Column, count: Column) -> Column:
@@ -120,7 +136,7 @@ def top_items(sales: DataFrame, n: int = TOP_N, keys: Sequence[str] = CLIENT) ->
     """
     order = Window.partitionBy(*keys).orderBy(F.desc("weight"), F.asc("item"))
     ranked = item_totals(sales, keys).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return ranked.select(*keys, "rank", "item", F.col("quantity").cast("long").alias("quantity"), "amount")
+    return ranked.select(*keys, "rank", "item", F.coalesce(F.col("quantity").try_cast("long"), F.when(F.col("quantity") > 0, F.lit(MOST))).alias("quantity"), "amount")
 
 
 def item_of_day(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
@@ -131,8 +147,8 @@ def item_of_day(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
 def with_shares(top: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
     """Share of the listed volume and ratio to the leading item; five rows per client."""
     whole = Window.partitionBy(*keys)
-    total = F.sum("quantity").over(whole)
-    share = F.coalesce(F.try_divide(F.col("quantity").cast("double"), total.cast("double")), F.lit(0.0)) * 100
+    total = F.sum(F.col("quantity").cast("double")).over(whole)
+    share = F.coalesce(F.try_divide(F.col("quantity").cast("double"), total), F.lit(0.0)) * 100
     ratio_to_max = F.coalesce(
         F.try_divide(F.col("quantity").cast("double"), F.max("quantity").over(whole).cast("double")), F.lit(0.0)
     )
@@ -141,12 +157,12 @@ def with_shares(top: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
 
 def kpis(
     sales: DataFrame,
-    as_of: dt.date,
+    as_of: dt.date | None = None,
     keys: Sequence[str] = CLIENT,
     daily: bool = False,
     comparison: DataFrame | None = None,
 ) -> DataFrame:
-    """Key figures per client over the given rows.
+    """Key figures per client over the given rows; ``as_of`` is needed for daily figures and the month's name.
 
     ``daily`` adds peak hour, change against yesterday and item of the day; ``comparison`` holds
     the rows of both days where ``sales`` holds only today's. Each figure is its own narrow
@@ -155,13 +171,13 @@ def kpis(
     keys = list(keys)
     days = by_day(sales, keys)
     per_client = days.groupBy(*keys).agg(exact_sum("revenue").alias("total"), _best_day())
-    joined = per_client.join(transactions(sales, keys), keys)
+    joined = null_safe_join(per_client, transactions(sales, keys), keys)
     result = joined.withColumn("avg_ticket", ratio(F.col("total"), F.col("transactions")))
     if daily:
         item = item_of_day(sales, keys).select(*keys, F.struct("item", "quantity", "amount").alias("item_of_day"))
         change = _change(days if comparison is None else by_day(comparison, keys), as_of, keys)
         for part in (peak_hour(sales, keys), change, item):
-            result = result.join(part, keys, "left")
+            result = null_safe_join(result, part, keys, "left")
     else:
         result = result.withColumns({
             "peak_hour": F.lit(None).cast("string"),
@@ -169,7 +185,7 @@ def kpis(
             "item_of_day": F.lit(None).cast("struct<item:string,quantity:bigint,amount:double>"),
         })
     return result.withColumns({
-        "month_name": F.date_format(F.lit(as_of), "MMMM"),
+        "month_name": F.date_format(F.lit(as_of).cast("date"), "MMMM"),
         "change_pct": F.lit(None).cast("double"),
     })
 

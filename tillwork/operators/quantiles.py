@@ -1,10 +1,8 @@
 """Exact quartiles per group without gathering a group in one task.
 
-Group sizes are counted first. While all are small, each group's values are sorted in one array.
-Beyond that, a group holding a third of all rows would not fit a task (nor would the hash map of the
-``percentile`` aggregate), so values are counted in narrow logarithmic bins (map-side combined), the
-bins give the position of every rank, and only the few bins whose value at a wanted rank is still
-unknown are looked at again. Both ways read the same ranks and give the same result.
+Values are counted in narrow logarithmic bins (map-side combined), the bins give the position of
+every rank, and only the few bins whose value at a wanted rank is still unknown are looked at again.
+Groups with NULL keys are groups like others; infinite values are the largest, and NaN is no value.
 """
 
 from __future__ import annotations
@@ -18,14 +16,14 @@ from pyspark.sql import functions as F
 
 from tillwork.staging import attach, stage_measured
 
-SMALL_GROUP = 100_000  # rows whose values may be held in one array
 BINS_PER_E = 4096  # a bin spans 0.024 % of its value
+_INFINITE = 2**31 - 1
 _PROBABILITIES = {"q1": 0.25, "q3": 0.75}
 
 
 def _bin(value: Column) -> Column:
-    """Order-preserving bin of a positive value."""
-    return F.floor(F.ln(value) * BINS_PER_E).cast("int")
+    """Order-preserving bin of a positive value; infinity has a bin of its own."""
+    return F.when(value == float("inf"), _INFINITE).otherwise(F.floor(F.ln(value) * BINS_PER_E).try_cast("int"))
 
 
 def _wanted_ranks(total: Column) -> dict[str, Column]:
@@ -37,28 +35,19 @@ def _wanted_ranks(total: Column) -> dict[str, Column]:
     return ranks
 
 
-def quartiles(df: DataFrame, keys: Sequence[str], value: str = "amount", small_group: int = SMALL_GROUP) -> DataFrame:
+def quartiles(df: DataFrame, keys: Sequence[str], value: str = "amount") -> DataFrame:
     """``q1``, ``q3`` (linear interpolation), ``total`` rows and ``top`` value per group.
 
     ``value`` must be positive; other rows are ignored.
     """
     keys = list(keys)
-    values = df.filter(F.col(value) > 0).select(*keys, F.col(value).alias("v"))
-    largest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    ranked = _by_array(values, keys) if largest <= small_group else _by_bins(values, keys)
+    v = F.col(value)
+    ranked = _by_bins(df.filter((v > 0) & ~F.isnan(v)).select(*keys, v.alias("v")), keys)
     for q, p in _PROBABILITIES.items():
         ranked = ranked.withColumn(q, _between(F.col(f"{q}_low"), F.col(f"{q}_high"), (F.col("total") - 1) * p))
     return ranked.select(*keys, "total", "top", "q1", "q3")
 
 
-def _by_array(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Values at the wanted ranks out of each group's sorted values."""
-    gathered = values.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    sized = gathered.withColumn("total", F.size("vs").cast("long"))
-    at = {name: F.get("vs", rank.cast("int")) for name, rank in _wanted_ranks(F.col("total")).items()}
-    return sized.withColumns({**at, "top": F.get("vs", F.size("vs") - 1)}).drop("vs")
-
-
 def _by_bins(values: DataFrame, keys: list[str]) -> DataFrame:
     """Values at the wanted ranks by counting bins; no task sees more than a group's bins or one bin's values."""
     binned = values.withColumn("bin", _bin(F.col("v")))
@@ -85,8 +74,7 @@ def _by_bins(values: DataFrame, keys: list[str]) -> DataFrame:
     ranks, size = stage_measured(ranks, "ranks")
     open_ranks = ranks.filter(F.col("v").isNull()).drop("v")
     found = ranks.filter(F.col("v").isNotNull()).select(*keys, "name", "total", "top", "v")
-    if not open_ranks.isEmpty():
-        found = found.unionByName(_values_at(binned, open_ranks, keys, size))
+    found = found.unionByName(_values_at(binned, open_ranks, keys, size))
     at = {name: F.max(F.when(F.col("name") == name, F.col("v"))) for name in offsets}
     return found.groupBy(*keys).agg(
         F.max("total").alias("total"), F.max("top").alias("top"), *[c.alias(n) for n, c in at.items()]
@@ -94,19 +82,22 @@ def _by_bins(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _between(low: Column, high: Column, position: Column) -> Column:
-    """Linear interpolation, counted from the nearer end."""
+    """Linear interpolation, counted from the nearer end; equal ends are the value itself."""
     part = position - F.floor(position)
-    return F.when(part < 0.5, low + (high - low) * part).otherwise(high - (high - low) * (1 - part))
+    return F.when(low == high, low).when(part < 0.5, low + (high - low) * part).otherwise(high - (high - low) * (1 - part))
 
 
 def _values_at(binned: DataFrame, open_ranks: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Exact values for ranks that fall strictly inside a bin of differing values."""
-    at_bin = [*keys, "bin"]
+    # The keys as one text, which is never NULL, so that NULL keys meet.
+    group = F.to_json(F.struct(*keys)).alias("group")
+    at_bin = ["group", "bin"]
+    wanted = open_ranks.select(group, "bin", "name", "offset", *keys, "total", "top")
     # Equal values are counted before the join, so copies of one value cannot pile up in a task.
     # A broadcast semi join is pushed below the count by Spark, so then only open bins are counted.
-    counted = binned.groupBy(*at_bin, "v").agg(F.count("*").alias("n"))
-    values = attach(counted, open_ranks.select(*at_bin).distinct(), at_bin, "left_semi", size=size)
+    counted = binned.groupBy(group, "bin", "v").agg(F.count("*").alias("n"))
+    values = attach(counted, wanted.select(*at_bin).distinct(), at_bin, "left_semi", size=size)
     up_to = Window.partitionBy(*at_bin).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = values.withColumn("before", F.sum("n").over(up_to) - F.col("n"))
     hit = (F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("before") + F.col("n"))
-    return placed.join(open_ranks, at_bin).filter(hit).select(*keys, "name", "total", "top", "v")
+    return placed.join(wanted, at_bin).filter(hit).select(*keys, "name", "total", "top", "v")

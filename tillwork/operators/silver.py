@@ -12,8 +12,6 @@ from tillwork.operators.quantiles import quartiles
 from tillwork.staging import attach, stage
 
 DATASET = ["client_id", "source_id"]
-# Amounts from here on cannot be summed exactly as decimal(38,6); no sale is that large.
-AMOUNT_LIMIT = 1e15
 
 
 def _flag(name: str) -> Column:
@@ -70,7 +68,6 @@ def row_reason(tol: float = 0.10) -> Column:
         F.when(_flag("is_blank"), "blank_row")
         .when(repeated_header, "repeated_header")
         .when(has_amount() & ~amount_ok, "bad_total")
-        .when(F.col("amount") >= AMOUNT_LIMIT, "total_out_of_range")
         .when(_flag("has_qty") & ~quantity_ok, "bad_quantity")
         .when(_flag("has_item") & has_amount() & F.col("item").isNull(), "missing_item")
         .when(price_mismatch(tol), "price_mismatch")

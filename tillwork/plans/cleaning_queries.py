@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tillwork.functions.numbers import parse_number
 from tillwork.operators import silver
 from tillwork.plans.figure_queries import quartiles_sql
 from tillwork.plans.registry import query
-from tillwork.plans.views import EVENT_SALES_SQL, SALES_SQL, event_sales, sales_view, spread, table
+from tillwork.plans.views import EVENT_SALES_SQL, SALES_SQL, event_sales, sales_view, table
 
 KEY = ["l_orderkey", "l_linenumber"]
 
@@ -22,6 +24,9 @@ def _cases(pick: Column, values: list[Column]) -> Column:
     return chosen
 
 
+RUN_DAY = dt.date(2026, 6, 7)
+
+
 @query("parse_numbers", """WITH src AS (
   SELECT l_orderkey, l_linenumber, l_extendedprice AS x, (l_orderkey + l_linenumber) % 8 AS pick,
          translate(format('{:,.2f}', l_extendedprice), ',.', '.,') AS local FROM lineitem)
@@ -46,7 +51,7 @@ def parse_numbers(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("vinte"),
         F.concat(F.lit("-"), local),
     ])
-    lines = spread(table(spark, sf, "lineitem").select(*KEY, "l_extendedprice"), "l_orderkey", "l_linenumber").select(*KEY, text.alias("number_text"))
+    lines = table(spark, sf, "lineitem").select(*KEY, text.alias("number_text"))
     return lines.withColumn("number", parse_number(F.col("number_text")))
 
 
@@ -72,7 +77,7 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     ]
     text = _cases((key + line) % 11, [F.date_format(at, f) for f in formats])
     parsed = F.date_format(parse_date(F.col("date_text")), "yyyy-MM-dd HH:mm:ss")
-    return spread(table(spark, sf, "lineitem").select(*KEY, "l_shipdate"), "l_orderkey", "l_linenumber").select(*KEY, text.alias("date_text")).withColumn("parsed", parsed)
+    return table(spark, sf, "lineitem").select(*KEY, text.alias("date_text")).withColumn("parsed", parsed)
 
 
 def _flawed_sales(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,13 +113,13 @@ classified AS (SELECT c.*, coalesce(r, CASE WHEN total >= 4 AND q3 > q1 AND amou
 @query("silver_valid", f"""WITH {FLAWED_SQL}
 SELECT client_id, order_ref, row_ix, item, quantity, amount, strftime(sale_ts, '%Y-%m-%d') AS day FROM classified WHERE reason IS NULL""")
 def silver_valid(spark: SparkSession, sf: str) -> DataFrame:
-    valid, _ = silver.clean(_flawed_sales(spark, sf).drop("key"), F.current_date())
+    valid, _ = silver.clean(_flawed_sales(spark, sf).drop("key"), RUN_DAY)
     return valid.select("client_id", "order_ref", "row_ix", "item", "quantity", "amount", F.date_format("sale_ts", "yyyy-MM-dd").alias("day"))
 
 
 @query("silver_rejects", f"WITH {FLAWED_SQL} SELECT client_id, key, reason FROM classified WHERE reason IS NOT NULL")
 def silver_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    _, rejects = silver.clean(_flawed_sales(spark, sf), F.current_date())
+    _, rejects = silver.clean(_flawed_sales(spark, sf), RUN_DAY)
     return rejects.select("client_id", "key", "reason")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,9 +135,8 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
     return clients.select(F.col("client_id").cast("long").alias("client_id"), "name", "business_type", "cadence")
 
 
-def _figures(spark: SparkSession, sf: str) -> DataFrame:
-    """Key figures of all sales with business type and cadence."""
-    as_of = last_day(table(spark, sf, "lineitem"), "l_shipdate")
+def _figures(spark: SparkSession, sf: str, as_of: dt.date | None = None) -> DataFrame:
+    """Key figures of all sales with business type and cadence; ``as_of`` gives the month's name."""
     return kpis.kpis(sales_view(spark, sf, items=False), as_of).join(_typed(spark, sf), "client_id")
 
 
@@ -202,8 +203,8 @@ SELECT client_id, CASE WHEN cadence = 'mensal' THEN concat_ws(chr(10),
     {_label_sql('summary_ticket')} || ': ' || format('{{:.2f}}', avg_ticket) || ' MZN', 'Melhor dia: ' || strftime(best_day, '%Y-%m-%d')) END AS summary
 FROM figures WHERE cadence <> 'diario'""")
 def summary_text(spark: SparkSession, sf: str) -> DataFrame:
-    figures = _figures(spark, sf).filter(F.col("cadence") != report.DAILY)
-    return report.summary_text(figures, last_day(table(spark, sf, "lineitem"), "l_shipdate"))
+    as_of = last_day(table(spark, sf, "lineitem"), "l_shipdate")
+    return report.summary_text(_figures(spark, sf, as_of).filter(F.col("cadence") != report.DAILY), as_of)
 
 
 @query("top5_text", f"""WITH {SALES_SQL}, {CLIENTS_SQL}, {SV_TOP}, typed AS (SELECT k AS client_id, {_DEFAULTS} FROM clients),

@@ -10,6 +10,8 @@ from tillwork.operators.quantiles import quartiles
 from tillwork.plans.registry import query
 from tillwork.plans.reporting import key_figures
 from tillwork.plans.views import CLIENTS_SQL, EVENT_SALES_SQL, SALES_SQL, client_table, event_sales, last_day, sales_view, table
+from tillwork.sources.sinks import write_sales
+from tillwork.staging import new_path
 
 DAY = "yyyy-MM-dd"
 LATEST_SHIP_SQL = "last_ship AS (SELECT max(CAST(l_shipdate AS DATE)) AS d FROM lineitem)"
@@ -60,8 +62,7 @@ SELECT client_id, CAST(sum(cents) AS DOUBLE) AS total, count(DISTINCT order_ref)
        strftime(any_value(best_day), '%Y-%m-%d') AS best_day
 FROM sv JOIN best USING (client_id) GROUP BY client_id""")
 def kpi_by_client(spark: SparkSession, sf: str) -> DataFrame:
-    as_of = last_day(table(spark, sf, "lineitem"), "l_shipdate")
-    rows = kpis.kpis(sales_view(spark, sf, items=False), as_of)
+    rows = kpis.kpis(sales_view(spark, sf, items=False))
     return rows.select("client_id", "total", "transactions", "avg_ticket", _day("best_day"))
 
 
@@ -72,6 +73,37 @@ def revenue_by_day(spark: SparkSession, sf: str) -> DataFrame:
     return kpis.by_day(sales_view(spark, sf, items=False)).select("client_id", _day("day"), "revenue", "rows")
 
 
+@query("sales_sink", f"""WITH {SALES_SQL}
+SELECT CAST(year(sale_ts) AS INTEGER) AS sale_year, CAST(month(sale_ts) AS INTEGER) AS sale_month, CAST(sum(cents) AS DOUBLE) AS revenue, count(*) AS rows
+FROM sv GROUP BY ALL""")
+def sales_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Sales written by year and month, and read back by folder."""
+    path = new_path(spark, "sink")
+    write_sales(sales_view(spark, sf), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("sale_year", "sale_month").agg(kpis.exact_sum("amount").alias("revenue"), F.count("*").alias("rows"))
+
+
+@query("extreme_values", f"""WITH {SALES_SQL}, planted AS (SELECT client_id, item,
+    CASE (order_ref + row_ix) % 50 WHEN 0 THEN 1e15 WHEN 1 THEN 1e30 ELSE amount END AS amount,
+    CASE (order_ref + row_ix) % 50 WHEN 2 THEN 1e20 WHEN 3 THEN 1e30 ELSE quantity END AS quantity, cents, (order_ref + row_ix) % 50 < 4 AS odd FROM sv)
+SELECT client_id, count(*) AS rows, CAST(sum(cents) FILTER (NOT odd) AS DOUBLE) AS plain_total, max(amount) AS most,
+       sum(amount) >= 1e15 AS far, max(quantity) >= 1e20 AS many FROM planted GROUP BY client_id""")
+def extreme_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Sales with totals of 1e15 and 1e30 and quantities of 1e20 and 1e30 planted by key: nothing stops or is dropped."""
+    pick = (F.col("order_ref") + F.col("row_ix")) % 50
+    planted = sales_view(spark, sf).withColumns({
+        "amount": F.when(pick == 0, 1e15).when(pick == 1, 1e30).otherwise(F.col("amount")),
+        "quantity": F.when(pick == 2, 1e20).when(pick == 3, 1e30).otherwise(F.col("quantity")), "odd": pick < 4,
+    })
+    top = kpis.top_items(planted, 1).select("client_id", (F.col("quantity") >= kpis.MOST).alias("many"))
+    sums = planted.groupBy("client_id").agg(
+        F.count("*").alias("rows"), kpis.exact_sum(F.when(~F.col("odd"), F.col("amount"))).alias("plain_total"), F.max("amount").alias("most"),
+        (kpis.exact_sum("amount") >= 1e15).alias("far"),
+    )
+    return sums.join(top, "client_id")
+
+
 @query("daily_change", f"""WITH {EVENT_SALES_SQL},
 days AS (SELECT client_id, day, CAST(sum(cents) AS DOUBLE) AS revenue, count(*) AS rows FROM ev GROUP BY ALL)
 SELECT a.client_id, strftime(a.day, '%Y-%m-%d') AS day, a.revenue, a.rows, b.revenue AS revenue_before,
@@ -188,7 +220,7 @@ def quartiles_by_client(spark: SparkSession, sf: str) -> DataFrame:
 def quartiles_by_line_status(spark: SparkSession, sf: str) -> DataFrame:
     """Two groups that each hold half of all rows, by counting bins as for groups too large for one task."""
     lines = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("line_status"), F.col("l_extendedprice").alias("amount"))
-    return quartiles(lines, ["line_status"], small_group=0)
+    return quartiles(lines, ["line_status"])
 
 
 # Sales cleaned by the fence, then the latest year of each client, as `kept`.

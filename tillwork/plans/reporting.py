@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwork.operators import align, client_ops, kpis, periods, report, silver
 from tillwork.sources.client_table import with_defaults
+from tillwork.sources.sinks import write_report
 from tillwork.staging import attach, stage, stage_measured
 from tillwork.vocabulary import DEFAULT_BUSINESS_TYPE
 
@@ -51,8 +52,16 @@ def key_figures(
     return kpis.complete(rows, facts, clients, as_of), kpis.top_items(in_period)
 
 
-def report_tables(sales: DataFrame, clients: DataFrame, cadence: str, as_of: dt.date) -> dict[str, DataFrame]:
-    """All report tables for the clients of one cadence; daily reports cover today only."""
+def report_tables(
+    sales: DataFrame, clients: DataFrame, cadence: str, as_of: dt.date, uploads: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """All report tables for the clients of one cadence; daily reports cover today only.
+
+    With ``uploads`` (``client_id``, ``source_id``, ``uploaded_at``) only each client's newest source
+    counts, so that a sale sent again in a later file is not counted twice.
+    """
+    if uploads is not None:
+        sales = client_ops.sales_of_latest_sources(sales, uploads)
     chosen, size = stage_measured(client_ops.of_cadence(clients, cadence), "clients")
     theirs = attach(sales, chosen.select("client_id"), ["client_id"], "left_semi", size=size)
     daily = cadence == report.DAILY
@@ -74,17 +83,19 @@ def report_tables(sales: DataFrame, clients: DataFrame, cadence: str, as_of: dt.
     return tables
 
 
-def due_reports(sales: DataFrame, clients: DataFrame, run_ts: dt.datetime) -> tuple[dict[str, dict[str, DataFrame]], DataFrame]:
+def due_reports(
+    sales: DataFrame, clients: DataFrame, run_ts: dt.datetime, uploads: DataFrame | None = None
+) -> tuple[dict[str, dict[str, DataFrame]], DataFrame]:
     """(report tables by cadence, reminders) for the clients whose cadence fires at ``run_ts``.
 
-    Registered clients with a file get a report, those without one a reminder.
+    Registered clients with a file get a report, those without one a reminder. ``uploads`` as in ``report_tables``.
     """
     due = stage(client_ops.due(with_defaults(clients), run_ts), "due")
     filed = client_ops.with_file(due)
     reports = {}
     for cadence in (report.DAILY, report.WEEKLY, report.MONTHLY):
         if not client_ops.of_cadence(filed, cadence).isEmpty():
-            reports[cadence] = report_tables(sales, filed, cadence, run_ts.date())
+            reports[cadence] = report_tables(sales, filed, cadence, run_ts.date(), uploads)
     return reports, client_ops.reminders(due, filed)
 
 
@@ -94,3 +105,18 @@ def record_reports(clients: DataFrame, reported: DataFrame, location: str) -> Da
         "client_id", F.lit(location).alias("last_report"), F.array(F.lit("last_report")).alias("changed"), F.lit(0).alias("at")
     )
     return client_ops.update_fields(clients, updates, ["last_report"], ["at"])
+
+
+def run_reports(
+    sources: DataFrame, raw_cells: DataFrame, clients: DataFrame, uploads: DataFrame, run_ts: dt.datetime, path: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From uploads to report pointers: (client table with its pointers set, reminders, status per source).
+
+    Reports of the newest upload of every due client are written under ``path``.
+    """
+    sales, status = ingest(sources, raw_cells, clients)
+    reports, reminders = due_reports(stage(sales, "sales"), clients, run_ts, uploads)
+    for cadence, tables in reports.items():
+        write_report(tables, path, run_ts.date(), cadence)
+        clients = record_reports(clients, tables["kpis"], f"{path}/kpis/as_of={run_ts.date()}/run_cadence={cadence}")
+    return clients, reminders, status

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillwork.operators import align
 from tillwork.plans.registry import query
 from tillwork.plans.reporting import ingest
-from tillwork.plans.views import spread, table
+from tillwork.plans.views import table
 from tillwork.sources.csv_files import read_csv_sources
 from tillwork.sources.events import extract_messages
 from tillwork.sources.page_tables import read_page_tables
@@ -193,7 +193,7 @@ SELECT l_orderkey || '-' || l_linenumber AS client_id, p_name AS item, l_quantit
 UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'Extra', 1, CAST(l_linenumber AS DOUBLE), '2026-06-07' FROM src WHERE l_orderkey % 2 = 0""")
 def text_sales_query(spark: SparkSession, sf: str) -> DataFrame:
     """A chat text per order line, with heading, blank and unusable lines around the sales."""
-    joined = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), "l_orderkey", "l_linenumber").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     text = F.concat(
         F.lit("produto, quantidade, valor\r\n"), F.col("p_name"), F.lit(" ,  "), F.col("l_quantity").cast("string"), F.lit(","),
         F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("\n\n Arroz, 2,5, 80\nFeijao, 2\nX, nan, 5\n"),

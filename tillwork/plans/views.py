@@ -12,12 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table of few file splits over all cores; tables of many splits stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def _flags(**known: bool) -> dict[str, Column]:
     names = ["date", "total", "price", "qty", "item", "order"]
     return {f"has_{n}": F.lit(known.get(n, True)) for n in names}
@@ -26,7 +20,7 @@ def _flags(**known: bool) -> dict[str, Column]:
 def sales_view(spark: SparkSession, sf_dir: str, items: bool = True, price: bool = False) -> DataFrame:
     """Order lines as sales of customers. ``items`` joins the part names; figures without items skip that join."""
     columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice"]
-    lines = spread(table(spark, sf_dir, "lineitem").select(columns if items or price else [c for c in columns if c != "l_partkey"]), "l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(columns)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if items or price:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def write_sales(sales: DataFrame, path: str, mode: str = "append") -> None:
     """Sales as parquet by year and month, so period filters prune folders."""
     dated = sales.withColumns({"sale_year": F.year("sale_ts"), "sale_month": F.month("sale_ts")})
-    dated.write.mode(mode).partitionBy("sale_year", "sale_month").parquet(path)
+    # Rows of a month come together; the engine cuts months that are too large for a task.
+    dated.hint("rebalance", "sale_year", "sale_month").write.mode(mode).partitionBy("sale_year", "sale_month").parquet(path)
 
 
 def write_sales_csv(sales: DataFrame, path: str, mode: str = "append") -> None:

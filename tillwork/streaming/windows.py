@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwork.operators.kpis import exact_sum
+
 REQUEST_LIMIT = 20
 
 
@@ -38,9 +40,9 @@ def running_kpis(sales: DataFrame, keys: Sequence[str] = ("client_id",), ts: str
     timed = with_event_time(sales, ts, delay)
     day = F.window(F.col(ts), "1 day")
     totals = timed.groupBy(*keys, day.alias("w")).agg(
-        F.sum(F.col("amount").cast("decimal(28,6)")).alias("total"), F.count("*").alias("transactions")
+        exact_sum("amount").alias("total"), F.count("*").alias("transactions")
     )
-    return totals.select(*keys, F.to_date("w.start").alias("day"), F.col("total").cast("double").alias("total"), "transactions")
+    return totals.select(*keys, F.to_date("w.start").alias("day"), "total", "transactions")
 
 
 def rate_windows(
