@@ -83,7 +83,7 @@ def test_csv_files(spark, files):
     sales, status = ingest(sources, raw, clients)
     got = {Path(r.source_id).name: (r.rows, r.status) for r in status.collect()}
     assert got == {
-        "sample.csv": (27, "ok"), "one.csv": (1, "ok"), "two.csv": (2, "ok"), "empty.csv": (0, "empty"),
+        "sample.csv": (26, "ok"), "one.csv": (1, "ok"), "two.csv": (2, "ok"), "empty.csv": (0, "empty"),
         "bad.csv": (1, "missing_columns"), "other.txt": (0, "unsupported_format"),
     }
     rows = {(r.sale_ts, r.item, r.quantity, r.amount) for r in sales.filter("client_id = 'b'").collect()}
