@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tillwork import staging
 from tillwork.operators import client_ops, folds
 from tillwork.schemas import CLIENTS, SEEN_MESSAGES
 from tillwork.sources import client_table, events
@@ -155,7 +157,7 @@ def test_profile_fold_equals_message_by_message(chat):
     assert got == expected
 
 
-@pytest.mark.parametrize("block", ["hour", "day", "year"])
+@pytest.mark.parametrize("block", [None, "hour", "day", "year"])
 def test_mode_fold_equals_message_by_message(chat, block):
     expected = {}
     for messages in by_client(chat).values():
@@ -164,7 +166,26 @@ def test_mode_fold_equals_message_by_message(chat, block):
             mode = state[4] or ""
             state, action = stream_folds.next_profile(state, m.text)
             expected[m.message_id] = (mode, action)
-    got = {r.message_id: (r.mode, r.action) for r in folds.mode_fold(chat, block=F.date_trunc(block, "event_ts")).collect()}
+    got = {r.message_id: (r.mode, r.action) for r in folds.mode_fold(chat, block=block and F.date_trunc(block, "event_ts")).collect()}
+    assert got == expected
+
+
+@pytest.mark.parametrize("begin", ["", "aguardar_vendas", "aguardar_frequencia"])
+def test_mode_fold_of_one_client_in_many_blocks(spark, begin):
+    """A third of the words change modes, every message is a block of its own, and ten have no time."""
+    words = F.array(*[F.lit(w) for w in ["5", "6", "5", "x", "1", "5", "y", "cancelar", "6", "5"]])
+    rows = spark.range(20_000).select(
+        F.lit("c").alias("client_id"), F.format_string("m%06d", "id").alias("message_id"),
+        F.when(F.col("id") >= 10, F.timestamp_seconds(F.col("id") * 60)).alias("event_ts"),
+        F.get(words, (F.abs(F.xxhash64("id")) % 10).cast("int")).alias("text"),
+    )
+    initial = spark.createDataFrame([("c", begin)], "client_id string, mode string")
+    got = {r.message_id: (r.mode, r.action) for r in folds.mode_fold(rows, initial=initial).collect()}
+    state, expected = (0, "n", "retalho", "semanal", begin or None), {}
+    for m in sorted(rows.collect(), key=lambda r: r.message_id):
+        mode = state[4] or ""
+        state, action = stream_folds.next_profile(state, m.text)
+        expected[m.message_id] = (mode, action)
     assert got == expected
 
 
@@ -212,6 +233,29 @@ def test_fold_in_batches_equals_message_by_message(spark, chat, tmp_path):
     assert {r.client_id: (r.onboarding_step, r.name, r.business_type, r.cadence, r["mode"]) for r in newest} == profiles
 
 
+def test_snapshots_and_released_tables(spark, tmp_path):
+    path, made = str(tmp_path / "log"), []
+    for i in range(7):
+        spark.createDataFrame([("a", i), (f"b{i}", i)], "k string, v int").write.parquet(f"{path}/batch={i}")
+        windows.compact(spark, path, ["k"], i, every=3)
+    assert sorted(p.name for p in (tmp_path / "log").glob("base=*")) == ["base=2", "base=5"]
+    assert {r.k: r.v for r in windows.latest_updates(spark, path, ["k"]).collect()} == {"a": 6} | {f"b{i}": i for i in range(7)}
+    assert {r.k: r.v for r in windows.latest_updates(spark, path, ["k"], before=5).collect()} == {"a": 4} | {f"b{i}": i for i in range(5)}
+    with staging.released(spark):
+        made += staging.stage(spark.range(3), "gone").inputFiles()
+    kept = staging.stage(spark.range(3), "kept")
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in made) and made and kept.count() == 3
+
+
+def test_dedup_in_batches_never_forgets(spark, tmp_path):
+    rows = [("m1", "a", START), ("m2", "a", START), ("m1", "a", START + dt.timedelta(days=90)), ("m3", "b", START + dt.timedelta(days=91)), ("", "b", START + dt.timedelta(days=92)), (None, "b", START + dt.timedelta(days=93))]
+    stream = stream_of(spark, spark.createDataFrame(rows, "message_id string, client_id string, event_ts timestamp"), str(tmp_path / "in"), 3)
+    windows.dedup_in_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    fresh = [r.message_id for r in spark.read.parquet(str(tmp_path / "out" / "fresh")).collect()]
+    assert sorted(fresh, key=str) == ["", None, "m1", "m2", "m3"]
+    assert sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "out" / "seen")).collect()) == ["m1", "m2", "m3"]
+
+
 def test_stream_dedup_equals_batch(spark, chat, tmp_path):
     repeated = chat.unionByName(chat.filter("client_id < 'c15'")).unionByName(chat.limit(3).withColumn("message_id", F.lit("")))
     streamed = run(windows.dedup_events(stream_of(spark, repeated, str(tmp_path / "in"), 2)), str(tmp_path))

@@ -64,12 +64,15 @@ def mode_fold(
     """Mode in which each message of a registered client is read, and what it does there.
 
     A message in sales mode is sales text whatever it says, and ends the mode; cadence mode lasts
-    until ``cancelar`` or a valid code. Histories are cut into blocks (by default hours): each block
-    is worked out for the three modes it may start in, a client's blocks are chained by their end
-    modes, and the rows pick the case that applies. So a long history is spread over its blocks.
+    until ``cancelar`` or a valid code. Histories are cut into blocks (by default minutes, so that a
+    burst is split too): each block is worked out for the three modes it may start in, and the rows
+    pick the case that applies. Only a client's blocks, whose number the calendar bounds, are put in
+    order behind each other; that is a window, which spills and gathers nothing.
     ``initial`` (``client_id``, ``mode``) says in which mode clients begin, if not in none.
+    Messages without a time come first.
     """
-    block = F.date_trunc("hour", "event_ts") if block is None else block
+    if block is None:
+        block = F.coalesce(F.date_trunc("minute", "event_ts"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
     text = F.col("text")
     ends_cadence = is_cancel(text) | cadence_code(text).isNotNull()
     kind = (
@@ -108,7 +111,7 @@ def mode_fold(
     ends = rows.groupBy("client_id", "block").agg(*[
         F.max_by(_next_mode(F.col(f"in_{s}"), F.col("kind")), "n").alias(f"end_{s}") for s in ("idle", "sales", "cadence")
     ])
-    starts = attach(rows, _start_modes(ends, initial), ["client_id", "block"], "inner")
+    starts = rows.join(_start_modes(ends, initial), ["client_id", "block"])
     mode = _pick(F.col("start"), F.col("in_idle"), F.col("in_sales"), F.col("in_cadence"))
     result = starts.withColumn("mode", mode)
     return result.select(
@@ -131,24 +134,35 @@ def _next_mode(mode: Column, kind: Column) -> Column:
 
 
 def _start_modes(ends: DataFrame, initial: DataFrame | None) -> DataFrame:
-    """Mode at the start of each block; one entry per block of a client is chained, not its messages."""
-    entry = F.struct("block", "end_idle", "end_sales", "end_cadence")
-    blocks = ends.groupBy("client_id").agg(F.array_sort(F.collect_list(entry)).alias("blocks"))
-    block_type = ends.schema["block"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<block:{block_type},start:string>>")
-
-    def chain(acc: Column, b: Column) -> Column:
-        start = F.struct(b["block"].alias("block"), acc["mode"].alias("start"))
-        end = _pick(acc["mode"], b["end_idle"], b["end_sales"], b["end_cadence"])
-        return F.struct(F.concat(acc["starts"], F.array(start)).alias("starts"), end.alias("mode"))
-
-    first_mode = F.lit("")
+    """Mode at the start of each block, by three running windows over a client's blocks.
+
+    Cadence mode holds until a block in which it ends; such a block ends the same way from any start.
+    Between those, a block either settles whether sales mode is on, whatever it was before, or flips
+    it, or leaves it. So the mode before a block follows from the last block that settled it, the
+    flips since then, and whether a block has opened cadence mode since it last ended.
+    """
+    idle, sales, cadence = F.col("end_idle"), F.col("end_sales"), F.col("end_cadence")
+    first = F.lit("")
     if initial is not None:
-        blocks = blocks.join(initial.select("client_id", F.col("mode").alias("first_mode")), "client_id", "left")
-        first_mode = F.coalesce("first_mode", F.lit(""))
-    begin = F.struct(empty.alias("starts"), first_mode.alias("mode"))
-    chained = F.aggregate("blocks", begin, chain, lambda acc: acc["starts"])
-    return blocks.select("client_id", F.inline(chained))
+        ends = ends.join(initial.select("client_id", F.col("mode").alias("first_mode")), "client_id", "left")
+        first = F.coalesce("first_mode", F.lit(""))
+    in_order = Window.partitionBy("client_id").orderBy("block")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    settles = (idle == sales) | (idle == MODE_CADENCE) | (sales == MODE_CADENCE)
+    settled = F.when(idle != MODE_CADENCE, idle).when(sales != MODE_CADENCE, sales).otherwise("")
+    flips = (~settles & (idle == MODE_SALES)).cast("long")
+    rows = ends.withColumns({"i": F.row_number().over(in_order), "flips": F.coalesce(F.sum(flips).over(before), F.lit(0))})
+    at = F.struct("i", settled.alias("mode"), "flips")
+    rows = rows.withColumn("last", F.max(F.when(settles, at)).over(before))
+    base = F.coalesce(F.col("last.mode"), F.when(first == MODE_SALES, first).otherwise("")) == MODE_SALES
+    odd = (F.col("flips") - F.coalesce("last.flips", F.lit(0))) % 2 == 1
+    rows = rows.withColumn("in_sales", base != odd)
+    opens = F.when(F.col("in_sales"), sales).otherwise(idle) == MODE_CADENCE
+    opened = F.coalesce(F.max(F.when(opens, F.col("i"))).over(before), F.lit(0))
+    ended = F.max(F.when(cadence != MODE_CADENCE, F.col("i"))).over(before)
+    ended = F.coalesce(ended, F.when(first == MODE_CADENCE, -1).otherwise(0))
+    start = F.when(opened > ended, MODE_CADENCE).when(F.col("in_sales"), MODE_SALES).otherwise("")
+    return rows.select("client_id", "block", start.alias("start"))
 
 
 def _action(mode: Column, text: Column) -> Column:

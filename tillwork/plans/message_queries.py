@@ -11,10 +11,11 @@ from tillwork.plans.registry import query
 from tillwork.plans.views import CHAT_SQL, CLIENTS_SQL, chat_messages, client_table, table
 from tillwork.staging import new_path
 from tillwork.streaming import windows
-from tillwork.streaming.folds import fold_in_batches, fold_profile, sales_from_chat
+from tillwork.streaming.folds import fold_in_batches, sales_from_chat
 from tillwork.vocabulary import COMMANDS, FIRST_CONTACT_GREETINGS
 
 _AT = "yyyy-MM-dd HH:mm:ss"
+_SECOND_DELIVERY = "2024-01-16 00:00:00"
 
 
 def _in(words) -> str:
@@ -133,24 +134,28 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _run(changes: DataFrame, spark: SparkSession, name: str, keys: list[str]) -> DataFrame:
     """Run a stream to its end in update mode and read the newest row per key."""
     path = new_path(spark, name)
-    running = windows.write_updates(changes, path, f"{path}-checkpoint").trigger(availableNow=True).start()
+    running = windows.write_updates(changes, path, f"{path}-checkpoint", keys).trigger(availableNow=True).start()
     running.awaitTermination()
     return windows.latest_updates(spark, path, keys)
 
 
-def _append(rows: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    path = new_path(spark, name)
-    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode(
-        "append"
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(path)
+def _deliver(rows: DataFrame, path: str) -> None:
+    """Add rows to the folder that a stream reads."""
+    rows.write.mode("append").parquet(f"{path}/in")
 
 
 @query("dedup_stream", """SELECT CASE WHEN event_id % 50 <> 0 THEN 'm' || event_id ELSE '' END AS message_id, CAST(user_id AS VARCHAR) AS client_id
-FROM events, (SELECT unnest([0, 1, 2]) AS c) WHERE c = 0 OR (event_id % 3 = 0 AND event_id % 50 = 0)""")
+FROM events, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS c) WHERE c = 0 OR (event_id % 50 = 0 AND (c = 3 OR event_id % 3 = 0))""")
 def dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
-    messages = windows.dedup_events(_repeated(_stream(spark, sf, "events")))
-    return _append(messages.select("message_id", "client_id"), spark, "dedup")
+    """All messages, then those of even events again 40 days later: of these only the ones without an id pass."""
+    events = table(spark, sf, "events")
+    again = events.filter("event_id % 2 = 0").withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(40)))
+    path = new_path(spark, "dedup")
+    for part in (_repeated(events).drop("k"), _repeated(again).drop("k")):
+        _deliver(part, path)
+        messages = spark.readStream.schema(part.schema).parquet(f"{path}/in")
+        windows.dedup_in_batches(messages, path, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/fresh").select("message_id", "client_id")
 
 
 @query("rate_windows", """SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests,
@@ -170,27 +175,28 @@ def running_kpis(spark: SparkSession, sf: str) -> DataFrame:
     return newest.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-def _chat_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _fold_chat(spark: SparkSession, *parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages with their effect, profiles), folded by a stream that is started once for each part of the history."""
     path = new_path(spark, "chat")
-    chat_messages(spark, sf).write.parquet(path)
-    messages = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return _append(fold_profile(messages), spark, "folded")
+    for part in parts:
+        _deliver(part, path)
+        messages = spark.readStream.schema(part.schema).parquet(f"{path}/in")
+        fold_in_batches(messages, path, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/actions"), windows.latest_updates(spark, f"{path}/profiles", ["client_id"])
 
 
 @query("chat_stream", f"""WITH RECURSIVE {CHAT_SQL}, {_MACHINE_SQL.format(step=1)} SELECT client_id, message_id, action FROM acted""")
 def chat_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Registration and chat modes message by message, as a stateful stream."""
-    return _chat_stream(spark, sf).select("client_id", "message_id", "action")
+    """Registration and chat modes as one batch job per micro-batch, with profiles kept in a table."""
+    return _fold_chat(spark, chat_messages(spark, sf))[0].select("client_id", "message_id", "action")
 
 
 @query("chat_batches", f"""WITH RECURSIVE {CHAT_SQL}, {_MACHINE_SQL.format(step=1)} SELECT client_id, message_id, action FROM acted""")
 def chat_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """The same as one batch job per micro-batch, with profiles kept in a table."""
-    path = new_path(spark, "batches")
-    chat_messages(spark, sf).write.parquet(f"{path}/in")
-    messages = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
-    fold_in_batches(messages, path, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/actions").select("client_id", "message_id", "action")
+    """The same history in two deliveries, the second on top of the profiles that the first left."""
+    messages = chat_messages(spark, sf)
+    later = F.col("event_ts") >= F.lit(_SECOND_DELIVERY).cast("timestamp")
+    return _fold_chat(spark, messages.filter(~later), messages.filter(later))[0].select("client_id", "message_id", "action")
 
 
 @query("chat_sales", f"""WITH RECURSIVE {CHAT_SQL}, {_MACHINE_SQL.format(step=1)}
@@ -198,4 +204,6 @@ SELECT client_id, message_id AS source_id, 'Frango' AS item, 2.0::DOUBLE AS quan
 WHERE action = 'sales_text' AND text = 'Frango, 2, 30'""")
 def chat_sales(spark: SparkSession, sf: str) -> DataFrame:
     """Sales rows out of the messages that the stream read in sales mode."""
-    return sales_from_chat(_chat_stream(spark, sf)).select("client_id", "source_id", "item", "quantity", "amount")
+    actions, profiles = _fold_chat(spark, chat_messages(spark, sf))
+    told = actions.filter("action = 'sales_text'").join(profiles.select("client_id", "business_type"), "client_id", "left")
+    return sales_from_chat(told).select("client_id", "source_id", "item", "quantity", "amount")

@@ -11,7 +11,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+_opened: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 @lru_cache(maxsize=1)
 def _test_folder() -> str:
@@ -45,10 +49,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
+    if (opened := _opened.get()) is not None:
+        opened.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete on exit what is staged inside, once the results that read it are written.
+
+    For micro-batches, whose application does not end.
+    """
+    token = _opened.set([])
+    try:
+        yield
+    finally:
+        paths = _opened.get()
+        _opened.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage_measured(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Like ``stage``; also returns the size in bytes of the rows, counted while they are written."""
     size = Observation()

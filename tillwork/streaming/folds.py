@@ -11,8 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tillwork.operators.folds import chat_fold
 from tillwork.sources.text_sales import text_sales
-from tillwork.staging import stage
-from tillwork.streaming.windows import latest_updates
+from tillwork.staging import released, stage
+from tillwork.streaming.windows import compact, latest_updates
 from tillwork.vocabulary import (
     BUSINESS_TYPE_CODES,
     CADENCE_CODES,
@@ -95,14 +95,16 @@ def fold_in_batches(messages: DataFrame, path: str, checkpoint: str):
     """
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
-            profiles = spark.createDataFrame([], f"client_id string, {_PROFILE_COLUMNS}")
-        else:
-            profiles = latest_updates(spark, f"{path}/profiles", ["client_id"], before=batch_id)
-        narrow = stage(batch.select("client_id", "message_id", "event_ts", "text"), "messages")
-        actions, changed = chat_fold(narrow, profiles)
-        actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
-        changed.write.mode("overwrite").parquet(f"{path}/profiles/batch={batch_id}")
+        with released(spark):
+            if batch_id == 0:
+                profiles = spark.createDataFrame([], f"client_id string, {_PROFILE_COLUMNS}")
+            else:
+                profiles = latest_updates(spark, f"{path}/profiles", ["client_id"], before=batch_id)
+            narrow = stage(batch.select("client_id", "message_id", "event_ts", "text"), "messages")
+            actions, changed = chat_fold(narrow, profiles)
+            actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
+            changed.write.mode("overwrite").parquet(f"{path}/profiles/batch={batch_id}")
+        compact(spark, f"{path}/profiles", ["client_id"], batch_id)
 
     return messages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwork.operators.client_ops import not_seen
 from tillwork.operators.kpis import exact_sum
+from tillwork.staging import attach, released, stage
 
 REQUEST_LIMIT = 20
+COMPACT_EVERY = 20
 
 
 def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -19,7 +23,8 @@ def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
 
 def dedup_events(messages: DataFrame, delay: str = "1 day", ts: str = "event_ts") -> DataFrame:
-    """Each message id once. Repeats are expected within ``delay``, which bounds the state kept.
+    """Each message id once. Repeats are expected within ``delay``, which bounds the state kept;
+    ``dedup_in_batches`` remembers for good.
 
     A stream has no map-side combine, so copies are first reduced per id and input partition: an
     id with very many copies then sends one row per partition to its task. Messages without an id
@@ -59,19 +64,72 @@ def rate_windows(
     return counts.select(*keys, F.col("w.start").alias("window_start"), "requests", (F.col("requests") > limit).alias("over_limit"))
 
 
-def write_updates(changes: DataFrame, path: str, checkpoint: str):
-    """Write each batch of changed rows to its own folder; a repeated batch replaces itself."""
+def write_updates(changes: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ()):
+    """Write each batch of changed rows to its own folder; a repeated batch replaces itself.
+
+    With ``keys`` the log is compacted now and then, so that reading it does not grow with its length.
+    """
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if keys:
+            compact(batch.sparkSession, path, keys, batch_id)
 
     return changes.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Batch numbers of the complete ``kind=number`` folders under ``path``; file contents are not read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{path}/{kind}=*/_SUCCESS")
+    done = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in done)
+
+
 def latest_updates(spark: SparkSession, path: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
-    """Newest row per key out of what was written by batch, optionally up to a batch."""
-    written = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    if before is not None:
-        written = written.filter(F.col("batch") < before)
+    """Newest row per key out of what was written by batch, optionally up to a batch.
+
+    Reads the newest snapshot that ``compact`` has left and the batches after it.
+    """
+    usable = lambda kind: [n for n in _numbers(spark, path, kind) if before is None or n < before]
+    base = max(usable("base"), default=-1)
+    tail = [f"{path}/batch={n}" for n in usable("batch") if n > base]
+    parts = [spark.read.option("basePath", path).parquet(*tail)] if tail else []
+    if base >= 0:
+        parts.append(spark.read.parquet(f"{path}/base={base}").withColumn("batch", F.lit(base)))
+    written = reduce(DataFrame.unionByName, parts)
     values = [c for c in written.columns if c not in (*keys, "batch")]
     newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select(*keys, *[F.col("v")[c].alias(c) for c in values])
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], batch_id: int, every: int = COMPACT_EVERY) -> None:
+    """After each ``every`` batches leave the newest row per key as a snapshot, so that later reads stay short.
+
+    The batches stay as they are; a snapshot that a lost job left half written is not read.
+    """
+    if batch_id % every == every - 1:
+        newest = latest_updates(spark, path, keys, before=batch_id + 1)
+        newest.write.mode("overwrite").parquet(f"{path}/base={batch_id}")
+
+
+def dedup_in_batches(messages: DataFrame, path: str, checkpoint: str):
+    """De-duplication that never forgets, as one job per micro-batch.
+
+    ``path/fresh`` gets the messages whose id was in no earlier batch, ``path/seen`` their ids; both by
+    batch, so a repeated batch replaces itself and looks only at the ids before it. The stored ids are
+    scanned against the ids of the batch, which are few, and are not shuffled for that. Messages
+    without an id all pass.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with released(spark):
+            batch = stage(batch, "arrived")
+            seen = spark.createDataFrame([], "message_id string")
+            if earlier := [f"{path}/seen/batch={n}" for n in _numbers(spark, f"{path}/seen", "batch") if n < batch_id]:
+                ids = batch.select("message_id").filter("message_id <> ''").distinct()
+                seen = attach(spark.read.schema("message_id string").parquet(*earlier), ids, ["message_id"], "left_semi")
+            fresh = stage(not_seen(batch, seen), "fresh")
+            fresh.write.mode("overwrite").parquet(f"{path}/fresh/batch={batch_id}")
+            fresh.filter("message_id <> ''").select("message_id").write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+
+    return messages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
