@@ -269,3 +269,14 @@ def test_reports_count_only_the_newest_upload(spark, sales, tmp_path):
     clients = spark.createDataFrame([("c", "L", "retalho", "semanal")], "client_id string, name string, business_type string, cadence string")
     total = lambda u: report_tables(twice, clients, "semanal", AS_OF, u)["kpis"].first().total
     assert (total(uploads), total(None)) == (100.0, 200.0)
+
+
+def test_main_figures_read_costly_input_once(spark, tmp_path):
+    rows = [(None, "2026-06-01", "a", 2.0, True), (None, "2026-06-02", "a", 3.0, True), (None, None, None, 1.0, False), ("c", "2026-06-02", "b", 3.0, True), ("c", "2026-06-01", None, 3.0, True), ("c", "2026-06-03", "z", None, False)]
+    schema = "client_id string, sale_ts string, order_ref string, amount double, has_order boolean"
+    spark.createDataFrame(rows, schema).withColumn("sale_ts", F.col("sale_ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "s"))
+    figures = kpis.kpis(spark.read.parquet(str(tmp_path / "s")))
+    got = {r.client_id: (r.total, str(r.best_day), r.transactions, r.avg_ticket) for r in figures.collect()}
+    assert got == {None: (6.0, "2026-06-02", 2, 3.0), "c": (6.0, "2026-06-01", 2, 3.0)}
+    plan = figures._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan

@@ -155,6 +155,29 @@ def with_shares(top: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
     return top.withColumns({"share_pct": share, "ratio_to_max": ratio_to_max})
 
 
+def _main_figures(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Revenue, best day and transactions in one pass, so that costly ``sales`` are computed once.
+
+    Rows are grouped by day and by order reference as two grouping sets, combined before the one
+    shuffle; a client's days and references are then summed. No client's rows meet in one task.
+    """
+    has_order = F.coalesce("has_order", F.lit(False))
+    rows = sales.select(
+        *keys, F.to_date("sale_ts").alias("day"), F.when(has_order, F.col("order_ref")).alias("_ref"),
+        "amount", has_order.alias("_has_ref"),
+    )
+    sets = rows.groupingSets([[*keys, "day"], [*keys, "_ref"]], *keys, "day", "_ref").agg(
+        F.grouping("_ref").alias("_by_day"), exact_sum("amount").alias("revenue"), F.count(F.when(~F.col("_has_ref"), 1)).alias("_plain")
+    )
+    of_day = F.col("_by_day") == 1
+    refs = F.count(F.when(~of_day, F.col("_ref")))
+    return sets.groupBy(*keys).agg(
+        exact_sum(F.when(of_day, F.col("revenue"))).alias("total"),
+        F.max_by("day", F.when(of_day, F.struct("revenue", -F.unix_date("day")))).alias("best_day"),
+        (refs + F.sum(F.when(of_day, F.col("_plain")))).alias("transactions"),
+    )
+
+
 def kpis(
     sales: DataFrame,
     as_of: dt.date | None = None,
@@ -165,17 +188,14 @@ def kpis(
     """Key figures per client over the given rows; ``as_of`` is needed for daily figures and the month's name.
 
     ``daily`` adds peak hour, change against yesterday and item of the day; ``comparison`` holds
-    the rows of both days where ``sales`` holds only today's. Each figure is its own narrow
-    aggregate, so ``sales`` should be a stored table when it is costly to compute.
+    the rows of both days where ``sales`` holds only today's. The daily figures are narrow
+    aggregates of their own, so ``sales`` should then be a stored table when it is costly to compute.
     """
     keys = list(keys)
-    days = by_day(sales, keys)
-    per_client = days.groupBy(*keys).agg(exact_sum("revenue").alias("total"), _best_day())
-    joined = null_safe_join(per_client, transactions(sales, keys), keys)
-    result = joined.withColumn("avg_ticket", ratio(F.col("total"), F.col("transactions")))
+    result = _main_figures(sales, keys).withColumn("avg_ticket", ratio(F.col("total"), F.col("transactions")))
     if daily:
         item = item_of_day(sales, keys).select(*keys, F.struct("item", "quantity", "amount").alias("item_of_day"))
-        change = _change(days if comparison is None else by_day(comparison, keys), as_of, keys)
+        change = _change(by_day(sales if comparison is None else comparison, keys), as_of, keys)
         for part in (peak_hour(sales, keys), change, item):
             result = null_safe_join(result, part, keys, "left")
     else:

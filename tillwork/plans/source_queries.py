@@ -15,8 +15,15 @@ from tillwork.sources.page_tables import read_page_tables
 from tillwork.sources.text_sales import text_lines, text_sales
 from tillwork.staging import new_path, stage
 from tillwork.vocabulary import (
-    DATE_ROLE_WORDS, FIELD_WORDS, GOODS_WORDS, ORDER_ROLE_NAMES, PRICE_ROLE_WORDS,
-    QUANTITY_ROLE_WORDS, SERVICE_WORDS, TOTAL_ROLE_WORDS,
+    DATE_ROLE_WORDS,
+    FIELD_WORDS,
+    GOODS_WORDS,
+    MISSING_WORDS,
+    ORDER_ROLE_NAMES,
+    PRICE_ROLE_WORDS,
+    QUANTITY_ROLE_WORDS,
+    SERVICE_WORDS,
+    TOTAL_ROLE_WORDS,
 )
 
 # Header names from which each customer's header is drawn, five at a time, by key.
@@ -104,18 +111,23 @@ def _no_clients(spark: SparkSession) -> DataFrame:
 
 @query("csv_union", """SELECT 'v' || o_orderkey % 4 AS client_id, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_orderkey AS VARCHAR) END AS order_ref,
   o_totalprice AS amount, strftime(o_orderdate, '%Y-%m-%d') AS day,
-  CASE WHEN o_orderkey % 4 = 2 THEN CAST(o_orderkey % 9 + 1 AS DOUBLE) END AS quantity FROM orders""")
+  CASE WHEN o_orderkey % 4 = 2 AND o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 9 + 1 AS DOUBLE) END AS quantity FROM orders""")
 def csv_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders written as CSV under four different headers, then read back as one table."""
+    """Orders written as CSV under four different headers, then read back as one table.
+
+    One column holds nothing but words for "missing", another holds them in every fifth row.
+    """
     folder = new_path(spark, "csv")
     orders = table(spark, sf, "orders")
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     iso, local = F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd/MM/yyyy")
     comma = F.concat(F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), F.lit(" MT"))
+    missing = F.get(F.array(*[F.lit(w) for w in MISSING_WORDS]), (key % len(MISSING_WORDS)).cast("int"))
+    pieces = F.when(key % 5 == 0, missing).otherwise((key % 9 + 1).cast("string"))
     variants = [
         [iso.alias("data"), key.alias("id"), F.col("o_totalprice").cast("decimal(18,2)").alias("valor")],
-        [comma.alias("Total"), local.alias("Date"), F.lit(None).cast("string").alias("vazio"), key.alias("invoice")],
-        [F.col("o_orderstatus").alias("estado"), (key % 9 + 1).alias("Qty"), iso.alias("dia"), comma.alias("montante")],
+        [comma.alias("Total"), local.alias("Date"), missing.alias("vazio"), key.alias("invoice")],
+        [F.col("o_orderstatus").alias("estado"), pieces.alias("Qty"), iso.alias("dia"), comma.alias("montante")],
         [F.concat(F.lit('a, "b" '), key.cast("string")).alias("nota"), comma.alias("VALOR"), local.alias("periodo")],
     ]
     for i, columns in enumerate(variants):

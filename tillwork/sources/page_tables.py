@@ -32,12 +32,12 @@ def read_page_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = tables.groupBy("source_id", "client_id").agg(F.count("*").alias("_tables")).drop("_tables")
     sources = listed.join(unions, ["source_id", "client_id"], "left").withColumn("format", F.lit("pdf"))
 
-    rows = whole.select(
-        "source_id", F.col("header").alias("own_header"),
-        F.explode(F.slice("cells", 2, F.size("cells"))).alias("row"),
+    # Where each table keeps the columns of the union: worked out per table, not per row.
+    placed = attach(whole.withColumnRenamed("header", "own_header"), unions.select("source_id", "header"), ["source_id"], "inner")
+    positions = F.transform("header", lambda name: F.nullif(F.array_position("own_header", name), F.lit(0)).cast("int") - 1)
+    rows = placed.select(
+        "source_id", positions.alias("positions"), F.explode(F.slice("cells", 2, F.size("cells"))).alias("row")
     )
-    rows = attach(rows, unions.select("source_id", "header"), ["source_id"], "inner")
-    position = lambda name: F.nullif(F.array_position("own_header", name), F.lit(0)).cast("int")
-    cells = F.transform("header", lambda name: F.get("row", position(name) - 1))
+    cells = F.transform("positions", lambda p: F.get("row", p))
     raw = rows.select("source_id", F.monotonically_increasing_id().alias("row_ix"), cells.alias("cells"))
     return sources.select("source_id", "client_id", "format", "header"), raw
