@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its words (lower-cased) and the first four, five and six letters of longer words,
-hashed to ``BUCKETS`` numbers; a term counts once however often it occurs, and every word of the
-text counts. The score is the logistic value of w0 + sum w_i + sum over pairs of <v_i, v_j>: the pair
-part tells an insult together with a mention of a group from either alone.
+hashed to ``BUCKETS`` numbers. A beginning that several different words of the text share gives one
+term more for each number in ``SHARED_BY`` that they reach: many compounds of one stem say more than
+a single one. A term counts once however often it occurs, and every word of the text counts. The
+score is the logistic value of w0 + sum w_i + sum over pairs of <v_i, v_j>: the pair part tells an
+insult together with a mention of a group from either alone.
 
 Learning: at most ``SAMPLE`` labelled training rows, taken by the hash of their id. Terms are counted by
 label over that sample in tasks; the ``TERMS`` terms whose counts differ most from chance are
@@ -18,8 +20,10 @@ only, or none, scores are constant.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -37,26 +41,31 @@ FACTORS = 8
 EPOCHS = 12
 BATCH = 256
 PREFIXES = (4, 5, 6)
+SHARED_BY = (2, 4)
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 
 
 class _Terms(dict):
-    """Term numbers of a word, remembered; forgets all when full."""
+    """Term numbers of a word and of its beginnings, remembered; forgets all when full."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[int, tuple[int, ...]]:
         if len(self) >= _CACHE:
             self.clear()
-        forms = ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
-        made = self[word] = tuple(xxhash.xxh64_intdigest(f) % BUCKETS for f in forms)
+        number, *begins = (xxhash.xxh64_intdigest(f) % BUCKETS for f in ("=" + word, *("^" + word[:n] for n in PREFIXES if len(word) > n)))
+        made = self[word] = number, tuple(begins)
         return made
 
 
 def terms_of(text: str | None, cache: _Terms) -> np.ndarray:
     """Distinct term numbers of a text."""
-    found: set[int] = set()
-    for word in set(_WORD.findall(text.lower())) if text else ():
-        found.update(cache[word])
+    words = [cache[word] for word in set(_WORD.findall(text.lower()))] if text else []
+    found = {number for number, _ in words}
+    shared = Counter(chain.from_iterable(begins for _, begins in words))
+    found.update(shared)
+    several = [(begin, n) for begin, n in shared.items() if n >= SHARED_BY[0]]
+    for least in SHARED_BY:
+        found.update((begin + least * 0x9E3779B1) % BUCKETS for begin, n in several if n >= least)
     return np.fromiter(found, np.int64, len(found))
 
 
