@@ -313,3 +313,13 @@ def test_held_out_toxicity(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     r = found.filter("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("a")).first()
     assert r.a > 0.95
+
+
+def test_terms_of_shared_beginnings():
+    cache = toxicity._Terms()
+    one, two, four = (set(toxicity.terms_of(t, cache).tolist()) for t in ("stemma", "stemma stembo", "stemma stembo stemca stemdu"))
+    assert len(one) == 3  # the word, four and five letters
+    assert len(two) == 6 and one < two  # two words, one shared beginning and two own, and its term for two
+    assert len(four) == 11 and two < four  # terms for two and for four
+    assert two == set(toxicity.terms_of("Stembo stemma STEMMA stembo", cache).tolist())
+    assert len(toxicity.terms_of(None, cache)) == len(toxicity.terms_of("", cache)) == 0

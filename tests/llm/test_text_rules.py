@@ -124,6 +124,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <footer>&copy; 2024 All rights reserved.</footer></body></html>"""
 
 
+def test_main_text_without_article_elements():
+    long = "The quick brown fox jumps over the lazy dog and then goes home to sleep until morning."
+    assert html_text.main_text(f"<body><h1>Head</h1><p>{long}</p><p>Short.</p></body>") == f"Head {long} Short."
+    assert html_text.main_text("Just text here.") == "Just text here."
+    assert html_text.main_text(f"<main><p>{long}</p></main><ol class='commentlist'><li>{long}</li></ol>") == long
+    assert html_text.main_text(f"<article><p>{long}</p></article><section id='reader-responses'><p>{long}</p></section>") == long
+
+
 def test_main_text():
     assert html_text.main_text(PAGE) == "Big & bold One twothree été is here. Next line of the text goes on. Short. Another paragraph with quite a few words in it, and a link."
     for odd in (None, "", "<", "<p", "</p></p>", "<script>", "<!--", "<a b='", "<div " * 50, "&#0; &bogus; &#xD800;"):

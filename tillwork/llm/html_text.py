@@ -45,15 +45,15 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _ENDS_P = _BLOCK - {"br", "body", "html"}
 
 # Cost of an element above a block (natural logarithm of odds, content over boilerplate).
-_ELEMENT = {"nav": -8.0, "aside": -8.0, "footer": -8.0, "menu": -8.0, "header": -6.0, "article": 4.0, "main": 3.0}
+_ELEMENT = {"nav": -8.0, "aside": -8.0, "footer": -8.0, "menu": -8.0, "header": -6.0, "article": 4.0, "main": 3.0, "h1": 2.0}
 _IN_ARTICLE = {"header": -1.0, "footer": -8.0}
 _BAD_WORD = -8.0
 _GOOD_WORD = 3.0
 # Words of class, id and role names.
 _BAD = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo "
     "cookie cookies copyright disclaimer discussion disqus footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice "
-    "notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond "
+    "notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses "
     "share sharing sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription taboola tags toolbar topbar trending "
     "widget widgets header alert alerts".split()
 )
@@ -61,7 +61,7 @@ _ABOUT = frozenset("with without has no".split())  # names such as "with-sidebar
 _GOOD = frozenset("article content entry main post story text body".split())
 _LINKED = -5.0  # all text in links
 _PER_WORD, _MOST_BY_LENGTH = 0.04, 2.0
-_SHORT = -1.2
+_SHORT = -0.6
 _SENTENCE = 0.6
 _NEXT, _SHARED, _FAMILY = 0.25, 0.15, 0.5
 
