@@ -186,6 +186,35 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def recall_of(found, want):
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got.get(q, ())) == len(w) for q, w in want.items())
+    return np.mean([len(got[q] & {i for _, i, _ in w}) / len(w) for q, w in want.items()])
+
+
+@pytest.mark.parametrize("probe_rows", [100, 0.1])
+def test_recall_of_sparse_rows_beside_a_tight_cluster(spark, monkeypatch, probe_rows):
+    monkeypatch.setattr(nearest, "BUCKET", 16)  # 8 projections
+    monkeypatch.setattr(nearest, "PROBE_ROWS", probe_rows)  # a probe is cheap: buckets are visited again before a scan
+    rng = np.random.default_rng(11)
+    rows = [(i, (np.ones(8) + rng.normal(size=8) * 1e-3).tolist()) for i in range(3700)]
+    rows += [(i, (np.ones(8) + rng.normal(size=8) * 10 ** rng.uniform(-3, 0)).tolist()) for i in range(3700, 4100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {q: w for q, w in plain_nearest(rows, 10).items() if q >= 3700}
+    assert recall_of(nearest.nearest(df, df.filter("vec_id % 10 = 0 and vec_id >= 3700")).collect(), want) >= 0.95
+
+
+def test_queries_that_the_probes_do_not_cover_are_scanned(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BUCKET", 16)
+    monkeypatch.setattr(nearest, "MOST_PROBES", 3)
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall_of(nearest.nearest(df, df.filter("vec_id % 10 = 0")).collect(), plain_nearest(rows, 10)) == 1.0
+
+
 def test_probes_fall_in_likelihood():
     rng = np.random.default_rng(0)
     cells = nearest.probes(rng.normal(size=3) * 3, 2.0, 1.0, 0.9)

@@ -4,8 +4,10 @@ Each of ``TABLES`` tables hashes a vector to the cells of some random projection
 distances are Euclidean). A neighbour at distance r falls into a cell next to the query's with a
 probability that follows from the query's place between the cell's walls; buckets are
 visited from the likeliest down, best first over the cells of all projections, until the visited ones
-hold the neighbour with the probability that brings all tables together to ``RECALL``. The distance r and
-the number of projections (about ``BUCKET`` rows a bucket, were they even) follow from the data.
+hold the neighbour with the probability that brings all tables together to ``RECALL``. The first distance r
+and the number of projections (about ``BUCKET`` rows a bucket, were they even) follow from the data. A query
+whose k-th found row lies beyond r is visited again with that distance as its own r. A query that
+would need more probes than a scan costs, or has found fewer than k rows, is compared with every row.
 
 Every row is indexed. A slice holds some ``SLICE`` rows: small buckets share one by the hash of their
 bucket, larger ones are cut by the hash of the row, so no task holds an unbounded bucket. Each
@@ -39,7 +41,9 @@ BUCKET = 1024
 SLICE = 20_000
 SAMPLE = 20_000
 SAMPLE_QUERIES = 200
-MOST_PROBES = 1 << 16
+MOST_PROJECTIONS = 14  # the probability at r is reached within some 30,000 probes
+MOST_PROBES = 1 << 16  # beyond them a query is compared with every row
+PROBE_ROWS = 100  # a probe costs about as much as the distances to so many rows
 _CELLS = 6  # cells to either side; beyond them a neighbour is unlikely
 _BLOCK = 1 << 22  # components compared at once
 
@@ -69,19 +73,26 @@ def code_of(cells: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
 
 
-def probes(place: np.ndarray, width: float, radius: float, enough: float) -> np.ndarray:
-    """Cells to visit, likeliest first, until they hold a neighbour at ``radius`` with probability ``enough``."""
+def probes(place: np.ndarray, width: float, radius: float, enough: float, most: int = MOST_PROBES) -> np.ndarray | None:
+    """Cells to visit, likeliest first, until they hold a neighbour at ``radius`` with probability ``enough``.
+
+    None if ``most`` cells do not hold it.
+    """
+    if not math.isfinite(radius):
+        return None
     home = np.floor(place / width).astype(np.int64)
     cells = home[:, None] + np.arange(-_CELLS, _CELLS + 1)
     wall = lambda edge: np.array([[0.5 * (1 + math.erf(x / math.sqrt(2))) for x in row] for row in ((edge * width - place[:, None]) / radius).tolist()])
     chance = np.maximum(wall(cells + 1) - wall(cells), 1e-300)
     order = np.argsort(-chance, axis=1, kind="stable")
     cells, chance = np.take_along_axis(cells, order, 1), np.take_along_axis(chance, order, 1)
+    if chance.sum(axis=1).prod() < enough:
+        return None
     logs = np.log(chance).tolist()
     n, found, mass = len(logs), [], 0.0
     # Each state is reached once: a step raises the last raised projection or one after it.
     heap = [(-sum(row[0] for row in logs), 0, (0,) * n)]
-    while heap and mass < enough and len(found) < MOST_PROBES:
+    while heap and mass < enough and len(found) < most:
         cost, last, state = heapq.heappop(heap)
         found.append(state)
         mass += math.exp(-cost)
@@ -89,6 +100,8 @@ def probes(place: np.ndarray, width: float, radius: float, enough: float) -> np.
             if state[j] < 2 * _CELLS:
                 step = logs[j][state[j]] - logs[j][state[j] + 1]
                 heapq.heappush(heap, (cost + step, j, (*state[:j], state[j] + 1, *state[j + 1 :])))
+    if mass < enough:
+        return None
     picked = np.array(found)
     return np.take_along_axis(cells.T, picked, 0)
 
@@ -128,17 +141,26 @@ def _index(rows: DataFrame, hashing: Hashing, dim: int) -> DataFrame:
     return rows.mapInArrow(run, "t int, code long, id long, v array<double>")
 
 
-def _visits(queries: DataFrame, hashing: Hashing, dim: int, enough: float) -> DataFrame:
-    """A row per query, table and visited bucket: ``t``, ``code``, ``id``."""
+def _visits(queries: DataFrame, hashing: Hashing, dim: int, enough: float, most: int) -> DataFrame:
+    """A row per query, table and visited bucket: ``t``, ``code``, ``id``; queries have their ``radius``.
+
+    A query that ``most`` buckets of a table do not cover has one row, with ``t`` -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, ids = _vectors(batch.column("v"), dim), batch.column("id").to_numpy()
-            for t in range(TABLES):
-                codes = [np.unique(code_of(probes(p, hashing.width, hashing.radius, enough))) for p in hashing.places(v, t)]
-                sizes = [len(c) for c in codes]
-                flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), t, np.int32)), pa.array(flat), pa.array(np.repeat(ids, sizes))], names=["t", "code", "id"])
+            v, ids, radii = _vectors(batch.column("v"), dim), batch.column("id").to_numpy(), batch.column("radius").to_numpy()
+            places = [hashing.places(v, t) for t in range(TABLES)]
+            for i, radius in enumerate(radii.tolist()):
+                cells: list[np.ndarray] = []
+                for t in range(TABLES):
+                    if (found := probes(places[t][i], hashing.width, radius, enough, most)) is None:
+                        break
+                    cells.append(found)
+                codes = [np.unique(code_of(c)) for c in cells] if len(cells) == TABLES else [np.zeros(1, np.int64)]
+                tables = np.arange(TABLES, dtype=np.int32) if len(cells) == TABLES else np.full(1, -1, np.int32)
+                flat = np.concatenate(codes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tables, [len(c) for c in codes])), pa.array(flat), pa.array(np.full(len(flat), ids[i]))], names=["t", "code", "id"])
 
     return queries.mapInArrow(run, "t int, code long, id long")
 
@@ -157,6 +179,9 @@ def _nearest_here(k: int, dim: int, visits: pa.Table, rows: pa.Table) -> pa.Tabl
                 continue
             step = max(1, _BLOCK // dim)
             d = np.concatenate([np.sqrt(((v[at[j : j + step]] - q[i]) ** 2).sum(axis=1)) for j in range(0, len(at), step)])
+            if len(d) > k:
+                near = d <= np.partition(d, k - 1)[k - 1]
+                at, d = at[near], d[near]
             order = np.lexsort((ids[at], d))[:k]
             found.append((np.full(len(order), q_ids[i]), ids[at][order], d[order]))
     query, near, score = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -170,7 +195,8 @@ def _search(rows: DataFrame, queries: DataFrame, n: int, dim: int, k: int, recal
     same = Window.partitionBy("v").orderBy("id")
     first = rows.withColumn("copy", F.dense_rank().over(same)).filter(F.col("copy") <= k + 1).select("id", "v")
     index = stage(_index(first, hashing, dim), "index")
-    visits = _visits(queries, hashing, dim, enough)
+    most = max(1, min(MOST_PROBES, n // (TABLES * PROBE_ROWS)))
+    queries = stage(queries, "queries")
     # Buckets of more than a slice are cut; there are fewer of them than rows over SLICE.
     large = index.groupBy("t", "code").count().filter(F.col("count") > SLICE).select("t", "code", F.ceil(F.col("count") / SLICE).alias("cuts"))
     large = stage(large, "large")
@@ -178,13 +204,36 @@ def _search(rows: DataFrame, queries: DataFrame, n: int, dim: int, k: int, recal
     unit = lambda cut: F.when(F.col("cuts").isNull(), F.pmod(F.xxhash64("code"), F.lit(shared))).otherwise(F.xxhash64("code", cut))
     cut_rows = attach(index, large, ["t", "code"], "left").withColumn("unit", unit(F.pmod(F.xxhash64("id"), F.col("cuts"))))
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("cuts"), F.lit(1)) - 1))
-    cut_visits = attach(visits, large, ["t", "code"], "left").withColumn("cut", cuts).withColumn("unit", unit(F.col("cut")))
-    listed = cut_visits.groupBy("t", "unit", "id").agg(F.collect_set("code").alias("codes")).join(queries, "id")
-    near = (
-        listed.groupBy("t", "unit").cogroup(cut_rows.select("t", "unit", "code", "id", "v").groupBy("t", "unit"))
-        .applyInArrow(lambda a, b: _nearest_here(k, dim, a, b), "query_id long, vec_id long, score double")
-    )
-    return near.dropDuplicates(["query_id", "vec_id"])
+    result = "query_id long, vec_id long, score double"
+
+    def by_buckets(visits: DataFrame) -> DataFrame:
+        cut_visits = attach(visits.filter("t >= 0"), large, ["t", "code"], "left").withColumn("cut", cuts).withColumn("unit", unit(F.col("cut")))
+        listed = cut_visits.groupBy("t", "unit", "id").agg(F.collect_set("code").alias("codes")).join(queries, "id")
+        near = (
+            listed.groupBy("t", "unit").cogroup(cut_rows.select("t", "unit", "code", "id", "v").groupBy("t", "unit"))
+            .applyInArrow(lambda a, b: _nearest_here(k, dim, a, b), result)
+        )
+        return near.dropDuplicates(["query_id", "vec_id"])
+
+    def by_scan(asked: DataFrame) -> DataFrame:
+        """Every row against every query, in squares of a slice of rows and a slice of queries."""
+        blocks = max(1, math.ceil(asked.count() / SLICE))
+        numbers = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+        of = lambda size: F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
+        q = asked.join(queries, "id").select("id", "v", F.array(F.lit(0).cast("long")).alias("codes"), of(blocks).alias("block"), numbers(shared).alias("cut"))
+        r = index.filter("t = 0").select("id", "v", F.lit(0).cast("long").alias("code"), numbers(blocks).alias("block"), of(shared).alias("cut"))
+        return q.groupBy("cut", "block").cogroup(r.groupBy("cut", "block")).applyInArrow(lambda a, b: _nearest_here(k, dim, a, b), result)
+
+    visits = stage(_visits(queries.withColumn("radius", F.lit(hashing.radius)), hashing, dim, enough, most), "visits")
+    near = stage(by_buckets(visits), "near")
+    # The k-th distance found bounds the true one: what it does not exceed is covered already.
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("score"))
+    reached = near.withColumn("order", order).filter(F.col("order") == k).select(F.col("query_id").alias("id"), F.col("score").alias("radius"))
+    scanned = visits.filter("t < 0").select("id")
+    wider = queries.join(scanned, "id", "left_anti").join(reached, "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+    further = stage(_visits(wider.filter(F.col("radius") > hashing.radius), hashing, dim, enough, most), "visits")
+    scanned = stage(scanned.union(further.filter("t < 0").select("id")), "scanned")
+    return near.unionByName(by_buckets(further)).unionByName(by_scan(scanned)).dropDuplicates(["query_id", "vec_id"])
 
 
 def nearest(
