@@ -119,7 +119,7 @@ def _fit(rows: DataFrame, n: int, dim: int, k: int, seed: int) -> Hashing:
         near.append(np.partition(d, min(rank, len(d) - 1))[min(rank, len(d) - 1)])
     near = [x for x in near if x > 0]
     radius = float(np.median(near)) if near else 1.0
-    count = max(1, round(math.log2(max(2.0, n / BUCKET))))
+    count = min(MOST_PROJECTIONS, max(1, round(math.log2(max(2.0, n / BUCKET)))))
     rng = np.random.default_rng(seed)
     width = 2.0 * radius
     return Hashing(rng.normal(size=(TABLES, dim, count)), rng.uniform(0, width, (TABLES, count)), width, radius)
