@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -128,6 +129,37 @@ def test_scores_of_odd_tables(spark):
     assert lm_score.score_documents(docs.limit(0)).count() == 0
 
 
+def test_weights_are_learnt_from_a_few_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "DEV_TOKENS", 50)  # far fewer than a text has
+    rng = np.random.default_rng(7)
+    texts = [" ".join(["the cat sat on", "a dog ran by"][i] for i in rng.integers(0, 2, 4000)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lm_score.train(docs)
+    assert model.pair_weights.max() > 0.5 and model.triple_weights.max() > 0
+    assert all(r.lm.score > r.lm.base_score + 1 for r in lm_score.score(docs, model).collect())
+    chosen = lm_score._dev_texts(docs, "text", model.tokens)
+    assert len(chosen) == 1 and chosen == lm_score._dev_texts(docs.repartition(5), "text", model.tokens)
+
+
+def test_chunks_of_one_context_are_merged_as_they_come(monkeypatch):
+    monkeypatch.setattr(lm_score, "MERGE", 500)
+    largest = []
+    merged = lm_score._merged
+    monkeypatch.setattr(lm_score, "_merged", lambda held: largest.append(sum(len(h[0]) for h in held)) or merged(held))
+    rng = np.random.default_rng(9)
+    want, rows = Counter(), []
+    for _ in range(200):
+        child = np.unique(rng.integers(0, 300, 100)).astype(np.uint64)
+        count = rng.integers(1, 5, len(child))
+        want.update(dict(zip(child.tolist(), count.tolist(), strict=True)))
+        rows += list(lm_score._packed(lm_score.PAIRS, 1, np.full(len(child), 77, np.uint64), child, count))
+    names = ["level", "shard", "context", "sizes", "child", "count"]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows[i : i + 7], strict=True), strict=True))) for i in range(0, len(rows), 7)]
+    context, child, count = lm_score._unpacked(lm_score.PAIRS, iter(batches))
+    assert (context == 77).all() and dict(zip(child.tolist(), count.tolist(), strict=True)) == want
+    assert max(largest) <= 2 * 300 + 500 + 100  # of some 17,000 entries
+
+
 # Nearest neighbours
 
 def plain_nearest(rows, k):
