@@ -95,6 +95,17 @@ def test_mix_of_odd_tables(spark):
     assert kept.columns[-1] == "_chosen" and kept.filter("doc_id = 1").count() == 4
 
 
+def test_mix_keeps_chosen_rows_without_an_id(spark):
+    rows = [(1, "a b c", "en", "s", 0), (None, "a b", None, None, 0), (None, None, None, None, 0), (2, "d e", "en", "s", 0), (2, "f g", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    whole = mixing.Mix(budget_share=1.0, max_epochs=1)
+    kept = mixing.keep_mixed(df, whole).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.text) == [(0, "a b"), (1, "a b c"), (2, "d e"), (2, "f g")]
+    half = mixing.Mix(budget_share=0.5, max_epochs=1)
+    many = spark.createDataFrame([(None, f"word{i} b", "en", "s", 0) for i in range(40)] + [(7, f"c{i} d", "en", "s", 0) for i in range(40)], DOCS)
+    assert mixing.keep_mixed(many, half).count() == mixing.mix_tokens(many, half).count() == 40
+
+
 # Sharding
 
 def plain_shards(rows, shards, nodes):

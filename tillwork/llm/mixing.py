@@ -115,29 +115,34 @@ def _leaf_plan(rows: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     return ordered, stage(cuts, "cuts")
 
 
-def mix_tokens(docs: DataFrame, mix: Mix = PRODUCTION, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def mix_tokens(
+    docs: DataFrame, mix: Mix = PRODUCTION, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", name: Column | None = None
+) -> DataFrame:
     """``key``, ``domain``, ``lang``, ``source``, ``n_tokens``, ``epochs`` and ``tokens_used`` of each chosen document.
 
     ``epochs`` counts the passes that hold the document, ``tokens_used`` the tokens they take from it:
-    the last document of a prefix is cut, so that the sum is the leaf's budget.
+    the last document of a prefix is cut, so that the sum is the leaf's budget. ``name`` tells apart rows
+    that share an id; if given, it is returned as ``name``.
     """
-    rows = docs.select(F.col(key).alias("key"), *[c.alias(n) for n, c in leaf_columns(lang, source).items()], token_count(F.col(text)).alias("tokens"))
+    named = [] if name is None else ["name"]
+    rows = docs.select(F.col(key).alias("key"), *[name.alias(n) for n in named], *[c.alias(n) for n, c in leaf_columns(lang, source).items()], token_count(F.col(text)).alias("tokens"))
     ordered, cuts = _leaf_plan(stage(rows, "tokens"), mix)  # texts are read once
     marked = attach(ordered.drop("full", "rest"), cuts, LEVELS, "inner")
     whole = marked.filter("full > 0 or bucket < cut_bucket").filter("cut_bucket is null or bucket <> cut_bucket")
     whole = whole.withColumn("prefix", F.when(F.col("bucket") < F.col("cut_bucket"), F.col("tokens")).otherwise(F.lit(0)))
     whole = whole.withColumn("in_prefix", F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.lit(False)))
-    so_far = Window.partitionBy(*LEVELS).orderBy("order_key", "key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*LEVELS).orderBy("order_key", "key", "tokens", *named).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("cut_before") + F.coalesce(F.sum("tokens").over(so_far), F.lit(0))
     edge = marked.filter("bucket = cut_bucket").withColumn("before", before).withColumn("in_prefix", F.col("before") < F.col("rest"))
     edge = edge.withColumn("prefix", F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("rest") - F.col("before")))).drop("before")
     chosen = whole.unionByName(edge).withColumn("epochs", (F.col("full") + F.col("in_prefix").cast("long")).cast("int")).filter("epochs > 0")
     used = F.col("full") * F.col("tokens") + F.col("prefix")
-    return chosen.select(F.col("key").alias(key), *LEVELS, F.col("tokens").alias("n_tokens"), "epochs", used.cast("long").alias("tokens_used"))
+    return chosen.select(F.col("key").alias(key), *LEVELS, F.col("tokens").alias("n_tokens"), "epochs", used.cast("long").alias("tokens_used"), *named)
 
 
 def keep_mixed(docs: DataFrame, mix: Mix, key: str = "doc_id", **columns: str) -> DataFrame:
-    """Documents in at least one epoch, once each, with their own columns. ``key`` must name one row."""
-    chosen = mix_tokens(docs, mix, key, **columns).select(F.col(key).alias("_chosen")).distinct()
+    """Documents in at least one epoch, once each, with their own columns. ``key`` (which may be NULL) and text must name one row."""
+    row_name = F.concat_ws(":", F.coalesce(F.concat(F.lit("id "), F.col(key).cast("string")), F.lit("null")), F.md5(F.col(columns.get("text", "text")).cast("binary")))
     name = free_name(docs, "_chosen")
-    return attach(docs.withColumn(name, F.col(key)), chosen.withColumnRenamed("_chosen", name), [name], "left_semi").select(*docs.columns)
+    chosen = mix_tokens(docs, mix, key, **columns, name=row_name).select(F.col("name").alias(name)).distinct()
+    return attach(docs.withColumn(name, row_name), chosen, [name], "left_semi").select(*docs.columns)
