@@ -341,6 +341,14 @@ def test_near_copies_and_the_one_that_stays(spark):
     assert near_copies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_but_not_a_component_all_stay(spark):
+    first, second = (" ".join(f"{w}{i}" for i in range(300)) for w in ("one", "two"))
+    rows = [(1, first), (1, second), (2, second), (5, "short text here"), (5, "short text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.keep_one(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, first), (1, second), (5, "short text here")]
+
+
 # Toxicity
 
 def test_pairs_of_terms_are_learnt(spark):

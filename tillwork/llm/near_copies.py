@@ -213,8 +213,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _row_name(key: str, text: str) -> Column:
-    """Text of the id; rows without an id are told apart by their text."""
-    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    """Text of the id and md5 of the text: rows of one name are equal in both."""
+    row_id = F.coalesce(F.concat(F.lit("id "), F.col(key).cast("string")), F.lit("null"))
+    return F.concat_ws(":", row_id, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def _classed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -238,7 +239,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, with its own columns: the smallest id; without any id, one of the texts.
 
-    Rows that repeat an id are taken as copies of one row.
+    Rows that repeat both id and text are copies of one row; equal ids with texts of different components all stay.
     """
     name, rows = free_name(docs, "_name"), free_name(docs, "_rows")
     stays = _classed(docs, key, text).filter("name = stays.name").groupBy("name").agg(F.count("*").alias(rows))
