@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,17 @@ def test_kept_documents(spark):
     assert kept.columns == docs.columns
     assert 0.99 * docs.count() <= kept.count() <= docs.count()
     assert language.keep_identified(docs.limit(0)).count() == 0
+
+
+def test_every_label_is_a_language_with_a_sample(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(230)]
+    rows = [(i * 1000 + j, " ".join([w] * 12), f"l{i:03d}", "src") for i, w in enumerate(words) for j in range(3 if i else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(language, "PER_LANGUAGE", 1)
+    model = language.learn_text(docs)
+    assert len(model.languages) == 231
+    assert (model.logs[:, :-1].std(axis=0) > 0).all()
+    found = language.identify_documents(docs, model).collect()
+    assert len(found) == len(rows)
+    assert all(r.language == f"l{r.doc_id // 1000:03d}" and r.accepted for r in found)

@@ -1,7 +1,8 @@
 """Language identification by fusing text, declared language, address and host.
 
-- Text: counts of hashed letter triples per language, learnt from at most about ``PER_LANGUAGE``
-  labelled texts of each language (chosen by hash), give the likelihood of the whole text. Triples
+- Text: counts of hashed letter triples per language, learnt from ``PER_LANGUAGE`` labelled texts of
+  each language (those whose ids have the smallest hashes), give the likelihood of the whole text. Every label is
+  a language. Triples
   of one text depend on each other, so its weight is that of ``WEIGHT`` triples at most. One more class,
   ``und``, holds all triples equally likely: what no language explains.
 - Declared language: how often each declaration comes with each language of the text, counted over
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +31,6 @@ from tillwork.staging import attach, stage
 
 BITS = 16
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 200
 WEIGHT = 60.0
 PRIOR_ROWS = 20.0  # weight of the wider group, in rows
 UNKNOWN = "und"
@@ -67,13 +67,14 @@ class TextModel:
 
 
 def learn_text(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text") -> TextModel:
-    """Triples per language from a bounded sample of labelled rows."""
-    sizes = {r[0]: r[1] for r in docs.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES).collect()}
-    languages = sorted(x for x in sizes if x != UNKNOWN)
+    """Triples per language from a sample of each label's rows."""
+    rows = docs.select(F.col(text).alias("t"), F.col(label).alias("s"), F.xxhash64(key).alias("h")).filter(F.col("s") != UNKNOWN)
+    order = F.row_number().over(Window.partitionBy("s").orderBy("h"))
+    lasts = stage(rows.select("s", "h").withColumn("order", order).filter(F.col("order") <= PER_LANGUAGE).groupBy("s").agg(F.max("h").alias("last")), "languages")
+    languages = sorted(r.s for r in lasts.select("s").collect())
     if not languages:
         return TextModel([UNKNOWN], np.full((1 << BITS, 1), -BITS * np.log(2.0)))
-    part = F.create_map(*[F.lit(x) for s in languages for x in (s, int(min(1.0, PER_LANGUAGE / sizes[s]) * (1 << 20)))])
-    chosen = docs.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.coalesce(F.try_element_at(part, F.col(label)), F.lit(0)))
+    chosen = attach(rows, lasts, ["s"], "inner").filter("h <= last")
     place = {s: i for i, s in enumerate(languages)}
 
     def count(batches: Iterator[list[list]]) -> Iterator[list[list]]:
@@ -84,7 +85,7 @@ def learn_text(docs: DataFrame, label: str = "lang", key: str = "doc_id", text:
                 rows.append([(place[s] << BITS | int(g)) << 32 | int(c) for g, c in zip(gram, n, strict=True)])
             yield [rows]
 
-    listed = map_columns(chosen.select(F.col(text).alias("t"), F.col(label).alias("s")), ["t", "s"], [("grams", T.ArrayType(T.LongType()))], count, [])
+    listed = map_columns(chosen.select("t", "s"), ["t", "s"], [("grams", T.ArrayType(T.LongType()))], count, [])
     one = F.explode("grams").alias("g")
     sums = listed.select(one).groupBy(F.shiftright("g", 32).alias("cell")).agg(F.sum(F.col("g").bitwiseAND(F.lit(0xFFFFFFFF))).alias("n"))
     counts = np.zeros((1 << BITS) * len(languages))
@@ -120,33 +121,40 @@ def fuse(evidence: DataFrame, languages: list[str], keep: list[str]) -> DataFram
     places = F.sequence(F.lit(0), F.lit(n - 1))
     vote = F.when(F.col("likelihoods").isNotNull(), (F.array_position("likelihoods", F.array_max("likelihoods")) - 1).cast("int"))
     voted = evidence.withColumn("vote", vote)
-    counted = [F.count(F.when(F.col("vote") == i, 1)).cast("double") for i in range(n)]
-    overall = [float(x) for x in voted.agg(*[c.alias(f"c{i}") for i, c in enumerate(counted)]).first()]
-    hosts = voted.groupBy("suffix", "domain", "host").agg(F.array(*counted).alias("by_host"))
-    add = lambda a: F.array(*[F.sum(F.get(a, F.lit(i))) for i in range(n)])
-    domains = hosts.groupBy("suffix", "domain").agg(add("by_host").alias("by_domain"))
-    suffixes = domains.groupBy("suffix").agg(add("by_domain").alias("by_suffix"))
-    table = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix")
-    declared = stage(voted.groupBy("declared").agg(F.array(*counted).alias("by_declared")), "declared")
-    kinds = declared.count()
+    counts = stage(voted.groupBy("suffix", "domain", "host", "vote").agg(F.count("*").cast("double").alias("n")), "votes")
+    sums = {r.vote: r.n for r in counts.filter("vote is not null").groupBy("vote").agg(F.sum("n").alias("n")).collect()}  # a row per language
+    overall = [sums.get(i, 0.0) for i in range(n)]
+
+    def by(counted: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Votes of each group: an array ``name``, a place per language, and their number ``name_n``."""
+        voices = counted.groupBy(*keys, "vote").agg(F.sum("n").alias("n"))
+        of = F.map_from_entries(F.collect_list(F.when(F.col("vote").isNotNull(), F.struct("vote", "n"))))
+        size = F.coalesce(F.sum(F.when(F.col("vote").isNotNull(), F.col("n"))), F.lit(0.0)).alias(f"{name}_n")
+        made = voices.groupBy(*keys).agg(of.alias("of"), size)
+        return made.select(*keys, F.transform(places, lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0.0))).alias(name), f"{name}_n")
+
+    hosts = by(counts, ["suffix", "domain", "host"], "by_host")
+    table = hosts.join(by(counts, ["suffix", "domain"], "by_domain"), ["suffix", "domain"]).join(by(counts, ["suffix"], "by_suffix"), "suffix")
+    declared = stage(voted.groupBy("declared", "vote").agg(F.count("*").cast("double").alias("n")), "declared")
+    kinds = declared.select("declared").distinct().count()
     rows = attach(voted.fillna("", ["declared"]), table, ["suffix", "domain", "host"], "inner")
-    rows = attach(rows, declared.fillna("", ["declared"]).groupBy("declared").agg(add("by_declared").alias("by_declared")), ["declared"], "inner")
+    rows = attach(rows, by(declared.fillna("", ["declared"]), ["declared"], "by_declared"), ["declared"], "inner")
     own = lambda i: F.when(F.col("vote") == i, 1.0).otherwise(0.0)
-    # From all rows down to the host; the row's own vote is out at each level.
     start = F.array(*[F.lit((0.0 if s == UNKNOWN else x) + 1.0) for s, x in zip(languages, overall, strict=True)])
-    rows = rows.withColumn("prior", F.transform(places, lambda i: F.get(start, i) / (sum(overall) + n)))
 
-    def narrowed(level: str) -> Column:
-        size = F.aggregate(level, F.lit(0.0), lambda a, x: a + x) - F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
-        return F.transform(places, lambda i: (F.get(level, i) - own(i) + PRIOR_ROWS * F.get("prior", i)) / (size + PRIOR_ROWS))
+    def prior(i: Column) -> Column:
+        """From all rows down to the host; the row's own vote is out at each level."""
+        value = F.get(start, i) / (sum(overall) + n)
+        for level in ("by_suffix", "by_domain", "by_host"):
+            size = F.col(f"{level}_n") - F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
+            value = (F.get(level, i) - own(i) + PRIOR_ROWS * value) / (size + PRIOR_ROWS)
+        return value
 
-    for level in ("by_suffix", "by_domain", "by_host"):
-        rows = rows.withColumn("prior", narrowed(level))
     smooth = F.lit(1.0 / max(1, kinds))
     of_language = F.array(*[F.lit(x) for x in overall])
     says = lambda i: (F.get("by_declared", i) - own(i) + smooth) / (F.get(of_language, i) - own(i) + 1.0)
     is_known = [0.0 if s != UNKNOWN else 1.0 for s in languages]
-    limit = lambda i: F.when(F.get(F.array(*[F.lit(x) for x in is_known]), i) == 1.0, F.lit(float(np.log(UNKNOWN_PRIOR)))).otherwise(F.log(F.get("prior", i)) + F.log(says(i)))
+    limit = lambda i: F.when(F.get(F.array(*[F.lit(x) for x in is_known]), i) == 1.0, F.lit(float(np.log(UNKNOWN_PRIOR)))).otherwise(F.log(prior(i)) + F.log(says(i)))
     rows = rows.withColumn("logs", F.transform(places, lambda i: F.coalesce(F.get("likelihoods", i), F.lit(0.0)) + limit(i)))
     rows = rows.withColumn("top", F.array_max("logs"))
     total = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
