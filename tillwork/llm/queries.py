@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwork.llm import decontaminate, html_text, language, lm_score, mixing, near_copies, nearest, secrets, sharding, toxicity
+from tillwork.llm import decontaminate, html_text, language, lm_score, mixing, near_copies, nearest, secrets, sharding, token_counts, toxicity
 from tillwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_html_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+LIMIT_TOKENS = 2048
+
+
+@_query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    with open(tokenizer, encoding="utf-8") as file:
+        definition = file.read()
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), definition, keep=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT_TOKENS)
