@@ -432,6 +432,17 @@ class Counter:
         return found
 
 
+_kept: dict[str, Counter] = {}
+
+
+def _counter(compiled: Compiled) -> Counter:
+    """The counter of a Python worker, kept for its next tasks with the states it has made."""
+    if compiled.definition not in _kept:
+        _kept.clear()
+        _kept[compiled.definition] = Counter(compiled)
+    return _kept[compiled.definition]
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -447,7 +458,7 @@ def count_tokens(docs: DataFrame, definition: str, keep: list[str] | None = None
         names.append(free_name(docs.select(*(docs.columns if keep is None else keep)), wanted))
 
     def work(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        counter = Counter(shared.value)
+        counter = _counter(shared.value)
         for (texts,) in batches:
             sizes = [len(t.encode()) if t else 0 for t in texts]
             yield [sizes, counter.counts(texts)]
