@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwork.llm import decontaminate, html_text, language, lm_score, mixing, near_copies, nearest, secrets, sharding, token_counts, toxicity
-from tillwork.llm.common import table
+from tillwork.llm import decontaminate, html_text, language, lm_score, manifest, mixing, near_copies, nearest, secrets, sharding, token_counts, toxicity
+from tillwork.llm.common import table, text_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,3 +170,64 @@ def op11(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> Data
         definition = file.read()
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), definition, keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT_TOKENS)
+
+
+# Unsigned CRC-32 of a decimal text, by the usual table of 256 entries worked out from the polynomial.
+_CRC = """list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+
+def _crc32_sql(text: str) -> str:
+    digits = f"list_transform(string_split({text}, ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {digits}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c // 256)), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = [n_chars if c == "n_chars" else c for c in manifest.COLUMNS]
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _tree_sql(name: str, leaves: str, group: str, order: str) -> str:
+    """Nodes of one tree per group: (g, lvl, i, h, c: nodes on that level)."""
+    return f"""{name} AS (SELECT {group} AS g, 0 AS lvl, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS i, h, count(*) OVER (PARTITION BY {group}) AS c FROM {leaves}
+  UNION ALL SELECT g, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(c) + 1) // 2 FROM {name} WHERE c > 1 GROUP BY g, lvl, i // 2)"""
+
+
+def _fold_sql(name: str, tree: str, start: str) -> str:
+    """Folds of the nodes of ``start`` (id, g, i, h) up a tree, with the siblings met: (id, g, i, lvl, h, sib)."""
+    return f"""{name} AS (SELECT id, g, i, 0 AS lvl, h, '' AS sib FROM {start}
+  UNION ALL SELECT f.id, f.g, f.i // 2, f.lvl + 1, sha256(CASE WHEN f.i % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.sib || coalesce(s.h, '')
+  FROM {name} f JOIN {tree} o ON o.g IS NOT DISTINCT FROM f.g AND o.lvl = f.lvl AND o.i = f.i AND o.c > 1
+  LEFT JOIN {tree} s ON s.g IS NOT DISTINCT FROM f.g AND s.lvl = f.lvl AND s.i = f.i + 1 - 2 * (f.i % 2))"""
+
+
+_MANIFEST_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC} AS t),
+d AS (SELECT row_number() OVER () AS id, doc_id, lang, {_leaf_sql("n_chars")} AS h,
+        CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("(CAST(n_chars AS HUGEINT) + 1)")} ELSE {_leaf_sql("n_chars")} END AS seen FROM documents, crc),
+{_tree_sql("n", "d", "lang", "doc_id NULLS FIRST, h, id")},
+place AS (SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h, id) - 1 AS i FROM d),
+subs AS (SELECT g AS lang, h FROM n WHERE c = 1),
+{_tree_sql("u", "subs", "0", "lang NULLS FIRST")},
+top AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM subs),
+seen0 AS (SELECT d.id, d.lang AS g, i, seen AS h FROM d JOIN place ON place.id = d.id),
+{_fold_sql("f", "n", "seen0")},
+sub1 AS (SELECT f.id, f.g, f.h, f.sib FROM (SELECT id, max(lvl) AS lvl FROM f GROUP BY id) m JOIN f ON f.id = m.id AND f.lvl = m.lvl),
+seen1 AS (SELECT sub1.id, 0 AS g, top.i, sub1.h FROM sub1 JOIN top ON top.lang IS NOT DISTINCT FROM sub1.g),
+{_fold_sql("v", "u", "seen1")},
+top1 AS (SELECT v.id, v.h, v.sib FROM (SELECT id, max(lvl) AS lvl FROM v GROUP BY id) m JOIN v ON v.id = m.id AND v.lvl = m.lvl)
+SELECT d.doc_id, d.h AS leaf, subs.h AS subroot, (SELECT h FROM u WHERE c = 1) AS root, sha256(sub1.sib || top1.sib) AS proof_sha256,
+       top1.h AS folded_root, top1.h = (SELECT h FROM u WHERE c = 1) AS verified
+FROM d JOIN sub1 ON sub1.id = d.id JOIN top1 ON top1.id = d.id JOIN subs ON subs.lang IS NOT DISTINCT FROM d.lang"""
+
+
+@_query("op12_manifest", _MANIFEST_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = text_remainder(F.col("doc_id"), 7) == 0
+    found = manifest.merkle_manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    folded = found.withColumn("folded_root", manifest.fold_proof(F.col("seen_leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
