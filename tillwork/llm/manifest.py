@@ -26,6 +26,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tillwork.llm.places import numbered
 from tillwork.staging import attach, stage
@@ -85,10 +87,7 @@ def _blocks(leaves: DataFrame, fanout: int, block: int) -> DataFrame:
         return pa.Table.from_pydict(out, schema=arrow)
 
     schema = f"tree long, block long, size long, leaves binary, rows array<{leaves.schema['row'].dataType.simpleString()}>, node string"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     cut = leaves.withColumn("block", F.expr(f"place div {block}"))
     return cut.groupBy("tree", "block").applyInArrow(hash_block, schema)
 
@@ -201,10 +200,7 @@ def _with_proofs(blocks: DataFrame, fanout: int, block: int) -> DataFrame:
     most, at_once = _height(block, fanout), 256
     kind = blocks.schema["rows"].dataType.elementType.simpleString()
     schema = f"row {kind}, leaf string, subroot string, root string, proof {PROOF}"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):

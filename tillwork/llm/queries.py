@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwork.llm import decontaminate, html_text, language, lm_score, manifest, mixing, near_copies, nearest, secrets, sharding, token_counts, toxicity
+from tillwork.llm import decontaminate, html_text, language, lm_score, manifest, mixing, near_copies, nearest, prefix_trie, secrets, sharding, token_counts, toxicity
 from tillwork.llm.common import table, text_remainder
+from tillwork.staging import attach, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,3 +232,33 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+_TRIE_SQL = f"""
+WITH crc AS (SELECT {_CRC} AS t),
+o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), crc),
+parts AS (SELECT c.conv_id, 0 AS part, i, r, x FROM c JOIN o ON o.conv_id = base WHERE i <= h
+  UNION ALL SELECT c.conv_id, 1, i, r, x FROM c JOIN o ON o.conv_id = c.conv_id WHERE i > h),
+l AS (SELECT c.conv_id, coalesce(list(strlen(r) || ':' || r || x ORDER BY part, i) FILTER (r IS NOT NULL), []) AS path,
+        coalesce(list(length(x) ORDER BY part, i) FILTER (r IS NOT NULL), []) AS lens FROM c LEFT JOIN parts ON parts.conv_id = c.conv_id GROUP BY c.conv_id),
+pre AS (SELECT conv_id, len(path) AS size, d, path[1:d] AS k, coalesce(lens[d], 0) AS n FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM l)),
+node AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, max(size) > d AS has_children,
+        string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d) AS ends FROM pre GROUP BY d, k),
+below AS (SELECT a AS d, k[1:a] AS k, count(*) FILTER (NOT has_children) AS n_leaves, count(*) FILTER (d = a + 1) AS n_children, sum((n_convs - 1) * n) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM node) GROUP BY a, k[1:a])
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below ON below.d = node.d AND below.k = node.k LEFT JOIN node up ON up.d = node.d - 1 AND up.k = node.k[1:node.d - 1]"""
+
+
+@_query("op13_prefix_trie", _TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stage(prefix_trie.turn_paths(table(spark, sf_dir, "conversations")), "places")
+    trie = prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
+    nodes = trie.nodes.withColumnRenamed("saved", "saved_tokens")
+    values = [c for c in nodes.columns if c != "ends"]
+    whole = nodes.filter("ends is not null").select(*values, F.sha2(prefix_trie.ends_text("ends"), 256).alias("ends_sha256"))
+    cut = attach(nodes.filter("ends is null").select(*values), prefix_trie.joined_digest(trie.pieces), ["conv_id", "depth"], "left")
+    return whole.unionByName(cut.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256))))
