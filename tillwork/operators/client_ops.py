@@ -126,9 +126,9 @@ def refused_documents(messages: DataFrame, clients: DataFrame) -> DataFrame:
     """Documents from unknown clients or clients still being registered."""
     steps = clients.select("client_id", "onboarding_step")
     documents = messages.filter("type = 'document'")
-    return attach(documents, steps, ["client_id"], "left").filter("onboarding_step is null or onboarding_step > 0")
+    return documents.join(steps, "client_id", "left").filter("onboarding_step is null or onboarding_step > 0")
 
 
 def accepted_documents(messages: DataFrame, clients: DataFrame) -> DataFrame:
     steps = clients.select("client_id", "onboarding_step").filter("onboarding_step = 0")
-    return attach(messages.filter("type = 'document' and document_id is not null"), steps, ["client_id"], "left_semi")
+    return messages.filter("type = 'document' and document_id is not null").join(steps, "client_id", "left_semi")
