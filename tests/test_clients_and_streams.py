@@ -14,6 +14,7 @@ from tillwork.sources import client_table, events
 from tillwork.sources.text_sales import text_lines, text_sales
 from tillwork.streaming import folds as stream_folds
 from tillwork.streaming import windows
+from tillwork.streaming.seen import SeenIds
 
 START = dt.datetime(2026, 6, 1)
 
@@ -253,7 +254,7 @@ def test_dedup_in_batches_never_forgets(spark, tmp_path):
     windows.dedup_in_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     fresh = [r.message_id for r in spark.read.parquet(str(tmp_path / "out" / "fresh")).collect()]
     assert sorted(fresh, key=str) == ["", None, "m1", "m2", "m3"]
-    assert sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "out" / "seen")).collect()) == ["m1", "m2", "m3"]
+    assert sorted(r.message_id for r in SeenIds(spark, str(tmp_path / "out" / "seen")).ids().collect()) == ["m1", "m2", "m3"]
 
 
 def test_stream_dedup_equals_batch(spark, chat, tmp_path):

@@ -70,12 +70,15 @@ class BucketTable:
         names = [f.getPath().getName() for f in listed if f.isDirectory()]
         return {n.removeprefix(f"{BUCKET}="): f"{folder}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
 
-    def merged(self, changes: DataFrame, work: Callable[[DataFrame, DataFrame], DataFrame]) -> BucketTable:
+    def merged(
+        self, changes: DataFrame, work: Callable[[DataFrame, DataFrame], DataFrame], buckets: list[int] | None = None
+    ) -> BucketTable:
         """The version after ``changes``: ``work`` gets the rows of the touched buckets and the changes.
 
-        Only those buckets are read and written. ``changes`` should be a stored table: it is read twice.
+        Only those buckets are read and written. Unless the caller knows ``buckets``, ``changes`` are read
+        twice and should be a stored table.
         """
-        buckets = self.touched(changes)
+        buckets = self.touched(changes) if buckets is None else buckets
         if not buckets:
             return self
         made = self._write(work(self.read(changes.sparkSession, buckets), changes).select(*self._names(changes.sparkSession)))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tillwork.operators.client_ops import not_seen
 from tillwork.operators.kpis import exact_sum
-from tillwork.staging import attach, released, stage
+from tillwork.staging import released, stage
+from tillwork.streaming.seen import BUCKETS, SeenIds
 
 REQUEST_LIMIT = 20
 COMPACT_EVERY = 20
@@ -112,24 +113,20 @@ def compact(spark: SparkSession, path: str, keys: Sequence[str], batch_id: int,
         newest.write.mode("overwrite").parquet(f"{path}/base={batch_id}")
 
 
-def dedup_in_batches(messages: DataFrame, path: str, checkpoint: str):
+def dedup_in_batches(messages: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
     """De-duplication that never forgets, as one job per micro-batch.
 
-    ``path/fresh`` gets the messages whose id was in no earlier batch, ``path/seen`` their ids; both by
-    batch, so a repeated batch replaces itself and looks only at the ids before it. The stored ids are
-    scanned against the ids of the batch, which are few, and are not shuffled for that. Messages
-    without an id all pass.
+    ``path/fresh`` gets the messages whose id was in no earlier batch, by batch, so that a repeated batch
+    replaces itself; their ids go to the store ``path/seen`` (``SeenIds``), in which a batch looks only at the
+    ids of earlier ones. Messages without an id all pass.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        with released(spark):
+        store = SeenIds(batch.sparkSession, f"{path}/seen", buckets)
+        with released(batch.sparkSession):
             batch = stage(batch, "arrived")
-            seen = spark.createDataFrame([], "message_id string")
-            if earlier := [f"{path}/seen/batch={n}" for n in _numbers(spark, f"{path}/seen", "batch") if n < batch_id]:
-                ids = batch.select("message_id").filter("message_id <> ''").distinct()
-                seen = attach(spark.read.schema("message_id string").parquet(*earlier), ids, ["message_id"], "left_semi")
-            fresh = stage(not_seen(batch, seen), "fresh")
+            ids = stage(batch.select("message_id").filter("message_id <> ''").distinct(), "ids")
+            fresh = stage(not_seen(batch, store.seen_of(ids, batch_id)), "fresh")
             fresh.write.mode("overwrite").parquet(f"{path}/fresh/batch={batch_id}")
-            fresh.filter("message_id <> ''").select("message_id").write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+            store.add(fresh.filter("message_id <> ''").select("message_id", F.col("event_ts").alias("created_at")), batch_id)
 
     return messages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
