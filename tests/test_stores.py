@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tillwork.plans.report_runs import ReportRuns
+from tillwork.plans.reporting import report_tables
 from tillwork.schemas import CLIENTS
 from tillwork.sources.buckets import BucketTable, create
 from tillwork.sources.client_store import ClientStore
@@ -135,3 +137,60 @@ def test_repeated_batch_of_the_stream(spark, tmp_path):
         store.add(fresh, 1)
     assert sorted(r.message_id for r in store.ids().collect()) == ["a", "b", "c"]
     assert windows.BUCKETS == seen.BUCKETS
+
+
+@pytest.fixture
+def runs(spark, tmp_path):
+    rows = [
+        ("a", "Azul", "retalho", "semanal", None, None, 0, "[]", None, START), ("b", "Mar", "retalho", "mensal", None, None, 0, "[]", None, START),
+        ("c", "Sem", "retalho", None, None, None, 0, "[]", None, START), ("d", "Novo", "retalho", "semanal", None, None, 2, "[]", None, START),
+    ]
+    return ReportRuns.create(spark.createDataFrame(rows, CLIENTS), str(tmp_path / "runs"), 2)
+
+
+def uploads_of(spark, *uploads):
+    """(client, source, time, amounts) as sources and raw cells."""
+    header = ["data", "valor", "produto"]
+    sources = [(source, client, "csv", header, at) for client, source, at, _ in uploads]
+    raw = [(source, i, ["2026-05-30", str(v), "x"]) for _, source, _, amounts in uploads for i, v in enumerate(amounts)]
+    return (
+        spark.createDataFrame(sources, "source_id string, client_id string, format string, header array<string>, uploaded_at long"),
+        spark.createDataFrame(raw, "source_id string, row_ix long, cells array<string>"),
+    )
+
+
+def seen_reports(runs):
+    figures = runs.read("kpis")
+    clients = {r.client_id: (r.last_file, (r.last_report or "").split("kpis/")[-1]) for r in runs.clients().collect()}
+    return clients, figures and {r.client_id: (r.total, str(r.as_of)) for r in figures.collect()}
+
+
+def test_a_run_counts_the_newest_upload_and_shows_when_committed(spark, runs, monkeypatch):
+    assert seen_reports(runs) == ({c: (None, "") for c in "abcd"}, None)
+    first = uploads_of(spark, ("a", "a1", 1, [10]), ("a", "a2", 2, [10, 20]), ("b", "b1", 1, [5]), ("d", "d1", 1, [9]), ("nobody", "n", 1, [7]))
+    runs.run(*first, dt.datetime(2026, 6, 1, 8, 10))
+    want = {"a": ("a2", "as_of=2026-06-01/run_cadence=semanal"), "b": ("b1", "as_of=2026-06-01/run_cadence=mensal"), "c": (None, ""), "d": ("d1", "")}
+    assert seen_reports(runs) == (want, {"a": (30.0, "2026-06-01"), "b": (5.0, "2026-06-01")})
+    assert [r.client_id for r in runs.read("reminders").collect()] == ["c"]
+    assert {r.source_id: r.status for r in runs.status().collect()} == {"a2": "ok", "b1": "ok"}
+
+    # A run that is stopped before its commit, with all its tables written, changes nothing that is read.
+    second = uploads_of(spark, ("a", "a3", 3, [100]), ("c", "c1", 3, [1]))
+    with monkeypatch.context() as patch:
+        patch.setattr(CommitLog, "commit", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            runs.run(*second, dt.datetime(2026, 6, 8, 8, 10))
+    assert seen_reports(runs) == (want, {"a": (30.0, "2026-06-01"), "b": (5.0, "2026-06-01")}) and runs.log.versions() == [0, 1]
+
+    runs.run(*second, dt.datetime(2026, 6, 8, 8, 10))
+    clients, figures = seen_reports(runs)
+    assert clients["a"] == ("a3", "as_of=2026-06-08/run_cadence=semanal") and clients["b"] == want["b"] and clients["c"][0] == "c1"
+    assert figures == {"a": (100.0, "2026-06-08"), "b": (5.0, "2026-06-01"), "c": (1.0, "2026-06-08")}
+    assert runs.read("reminders").count() == 0
+
+
+def test_sales_that_know_their_upload_count_once(spark, sales):
+    sale = {"amount": 100.0, "quantity": 1.0, "item": "x", "sale_ts": dt.datetime(2026, 6, 7), "client_id": "c"}
+    twice = sales({**sale, "source_id": "one"}, {**sale, "source_id": "two"}).withColumn("uploaded_at", F.when(F.col("source_id") == "one", 5).otherwise(3))
+    clients = spark.createDataFrame([("c", "L", "retalho", "semanal")], "client_id string, name string, business_type string, cadence string")
+    assert report_tables(twice, clients, "semanal", dt.date(2026, 6, 7))["kpis"].first().total == 100.0

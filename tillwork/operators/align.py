@@ -180,12 +180,13 @@ def live_headers(raw_cells: DataFrame, sources: DataFrame) -> DataFrame:
 def to_sales(raw_cells: DataFrame, mapping: DataFrame, mapping_bytes: int | None = None) -> DataFrame:
     """Source rows to typed sales rows; numbers and dates are parsed once, from text.
 
-    ``mapping_bytes`` is the size of a mapping that is staged already. Rows of sources whose mapping is not ``ok`` are left out: ``source_status`` lists those.
+    ``mapping_bytes`` is the size of a mapping that is staged already. Sources that say when they were uploaded
+    pass ``uploaded_at`` on to their rows. Rows of sources whose mapping is not ``ok`` are left out: ``source_status`` lists those.
     """
     picks = mapping.filter("status = 'ok'").select(
         "source_id", "client_id", "business_type",
         F.get("names", F.col("order_ix") - 1).alias("order_name"),
-        *[f"{r}_ix" for r in ROLES],
+        *[f"{r}_ix" for r in ROLES], *(known := [c for c in ("uploaded_at",) if c in mapping.columns]),
     )
     rows = attach(raw_cells, picks, ["source_id"], "inner", size=mapping_bytes)
 
@@ -208,6 +209,7 @@ def to_sales(raw_cells: DataFrame, mapping: DataFrame, mapping_bytes: int | None
         F.col("quantity_ix").isNotNull().alias("has_qty"),
         F.col("item_ix").isNotNull().alias("has_item"),
         F.col("order_ix").isNotNull().alias("has_order"),
+        *known,
     )
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tillwork.operators import align, client_ops, kpis, periods, report, silver
 from tillwork.sources.client_table import with_defaults
-from tillwork.sources.sinks import write_report
 from tillwork.staging import attach, stage, stage_measured
 from tillwork.vocabulary import DEFAULT_BUSINESS_TYPE
 
@@ -57,9 +56,12 @@ def report_tables(
 ) -> dict[str, DataFrame]:
     """All report tables for the clients of one cadence; daily reports cover today only.
 
-    With ``uploads`` (``client_id``, ``source_id``, ``uploaded_at``) only each client's newest source
-    counts, so that a sale sent again in a later file is not counted twice.
+    Only each client's newest source counts, so that a sale sent again in a later file is not counted twice:
+    by ``uploads`` (``client_id``, ``source_id``, ``uploaded_at``), or by the sales' own ``uploaded_at``. Sales
+    that carry no such column are taken to be those of the newest source.
     """
+    if uploads is None and "uploaded_at" in sales.columns:
+        uploads = sales.groupBy("client_id", "source_id").agg(F.max("uploaded_at").alias("uploaded_at"))
     if uploads is not None:
         sales = client_ops.sales_of_latest_sources(sales, uploads)
     chosen, size = stage_measured(client_ops.of_cadence(clients, cadence), "clients")
@@ -105,18 +107,3 @@ def record_reports(clients: DataFrame, reported: DataFrame, location: str) -> Da
         "client_id", F.lit(location).alias("last_report"), F.array(F.lit("last_report")).alias("changed"), F.lit(0).alias("at")
     )
     return client_ops.update_fields(clients, updates, ["last_report"], ["at"])
-
-
-def run_reports(
-    sources: DataFrame, raw_cells: DataFrame, clients: DataFrame, uploads: DataFrame, run_ts: dt.datetime, path: str
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From uploads to report pointers: (client table with its pointers set, reminders, status per source).
-
-    Reports of the newest upload of every due client are written under ``path``.
-    """
-    sales, status = ingest(sources, raw_cells, clients)
-    reports, reminders = due_reports(stage(sales, "sales"), clients, run_ts, uploads)
-    for cadence, tables in reports.items():
-        write_report(tables, path, run_ts.date(), cadence)
-        clients = record_reports(clients, tables["kpis"], f"{path}/kpis/as_of={run_ts.date()}/run_cadence={cadence}")
-    return clients, reminders, status

@@ -108,7 +108,11 @@ class BucketTable:
 
 def create(rows: DataFrame, path: str, key: str, count: int) -> BucketTable:
     """A new table of ``count`` buckets; rows need a key."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    made = BucketTable(path.rstrip("/"), key, columns, count, {})
+    made = BucketTable(path.rstrip("/"), key, columns_of(rows), count, {})
     return made.appended(rows)
 
+
+
+def columns_of(rows: DataFrame) -> str:
+    """Names and types, as a table definition has them."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

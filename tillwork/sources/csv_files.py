@@ -19,14 +19,14 @@ def folder_name(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, paths: list[str], client_of: Callable[[Column], Column] = folder_name) -> DataFrame:
-    """Every non-empty file with its client and format; file contents are not read.
+    """Every non-empty file with its client, format and time of upload; file contents are not read.
 
     Spark's file index leaves out zero-byte files, so an upload list is needed to report those.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     path = F.col("source_id")
-    return files.select(F.col(FILE_PATH).alias("source_id")).select(
-        "source_id", client_of(path).alias("client_id"), extension(path).alias("format")
+    return files.select(F.col(FILE_PATH).alias("source_id"), F.col("_metadata.file_modification_time").alias("uploaded_at")).select(
+        "source_id", client_of(path).alias("client_id"), extension(path).alias("format"), "uploaded_at"
     )
 
 
@@ -67,7 +67,8 @@ def read_csv_sources(
     listed = list_files(spark, paths, client_of)
     if uploads is not None:
         expected = uploads.select("source_id", "client_id", extension(F.col("source_id")).alias("format"))
-        listed = expected.unionByName(listed.join(expected, "source_id", "left_anti"))
+        times = listed.select("source_id", "uploaded_at")
+        listed = expected.join(times, "source_id", "left").unionByName(listed.join(expected, "source_id", "left_anti"))
     sources = listed.join(headers, "source_id", "left")
     rows = (
         spark.read.schema(schema)
