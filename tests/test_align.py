@@ -3,10 +3,11 @@ import shutil
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillwork.operators import align
 from tillwork.plans.reporting import ingest
-from tillwork.sources.csv_files import read_csv_sources
+from tillwork.sources.csv_files import read_csv_sources, split_line
 from tillwork.sources.page_tables import read_page_tables
 
 SAMPLE = Path(__file__).parent / "data" / "sample_sales.csv"
@@ -94,6 +95,32 @@ def test_csv_files(spark, files):
     assert sales.filter("client_id = 'a'").count() == 26
 
 
+@pytest.mark.parametrize("line, cells", [
+    ("a,b,,c", ["a", "b", "", "c"]), ("", [""]), (",", ["", ""]), ('"a,b",c', ["a,b", "c"]), ('"say ""hi"", you",1', ['say "hi", you', "1"]),
+    ('"",x', ["", "x"]), ('5" tube,2', ['5" tube', "2"]), ('"open, end', ['"open', " end"]), ('"a"b,c', ['"a"b', "c"]), (' "a" ,b', [' "a" ', "b"]),
+    ('"two\nlines",x', ["two\nlines", "x"]), ('"' + "y" * 100_000 + '"', ["y" * 100_000]), ("é,ü;x\t,", ["é", "ü;x\t", ""]),
+])
+def test_cells_of_a_record(spark, line, cells):
+    assert spark.createDataFrame([(line,)], "line string").select(split_line(F.col("line")).alias("c")).first().c == cells
+
+
+def test_a_wide_file_does_not_widen_the_others(spark, tmp_path):
+    for client, header, row in [("wide", ["data", "valor", *(f"x{i}" for i in range(4998))], ["2026-06-07", "5", *["1"] * 4998]), ("thin", ["valor", "data", "vazio"], ["7", "2026-06-08", "N/A"])]:
+        (tmp_path / client).mkdir()
+        (tmp_path / client / "f.csv").write_text(",".join(header) + "\n\n" + (",".join(row) + "\n") * 3)
+    sources, raw = read_csv_sources(spark, [str(tmp_path)])
+    assert sorted({len(r.cells) for r in raw.collect()}) == [3, 5000]
+    # The text itself is read by the one job that stores the records.
+    for df in (sources, raw):
+        plan = df._jdf.queryExecution().toString()
+        assert "FileScan text" not in plan and "FileScan csv" not in plan
+    live = {r.client_id: [n for n in r.header if n] for r in align.live_headers(raw, sources).collect()}
+    assert live["thin"] == ["valor", "data"] and len(live["wide"]) == 5000
+    clients = spark.createDataFrame([], "client_id string, business_type string")
+    sales, status = ingest(sources, raw, clients)
+    assert {(r.client_id, r.amount) for r in sales.collect()} == {("wide", 5.0), ("thin", 7.0)} and {r.status for r in status.collect()} == {"ok"}
+
+
 def test_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "f.csv").write_text('data,valor,produto\n2026-06-07,5,"two\nlines"\n')

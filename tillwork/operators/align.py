@@ -30,7 +30,6 @@ from tillwork.vocabulary import (
 
 ROLES = ["date", "total", "quantity", "price", "order", "item"]
 _FIELDS = list(FIELD_WORDS)
-_WORD_BITS = 62  # columns described by one bigint of the live-column mask
 
 
 def normalise_header(header: Column) -> Column:
@@ -149,32 +148,21 @@ def map_headers(headers: DataFrame, override: DataFrame | None = None) -> DataFr
 def live_headers(raw_cells: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources with the names of all-empty columns set to NULL, plus the row count.
 
-    Which columns hold anything is a bit mask per row, combined map-side by ``bit_or``, so a
-    source of any size costs a few bytes in the shuffle.
+    Rows are counted by which of their cells hold anything, map-side, so that a source of any size comes
+    down to the few patterns that its rows have; columns are looked at in those only.
     """
-    cells = F.col("cells")
-    chunks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(cells) / _WORD_BITS).cast("int") - 1, F.lit(0)))
-
-    def mask(chunk: Column) -> Column:
-        part = F.slice(cells, chunk * _WORD_BITS + 1, F.lit(_WORD_BITS))
-        bits = F.transform(part, lambda cell: cell.isNotNull().cast("long"))
-        return F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda acc, bit: acc * 2 + bit)
-
-    per_row = raw_cells.select("source_id", F.posexplode(F.transform(chunks, mask)).alias("chunk", "mask"))
-    per_chunk = per_row.groupBy("source_id", "chunk").agg(F.bit_or("mask").alias("mask"), F.count("*").alias("rows"))
-    per_source = per_chunk.groupBy("source_id").agg(
-        F.max("rows").alias("rows"),
-        F.map_from_entries(F.collect_list(F.struct("chunk", "mask"))).alias("masks"),
+    pattern = F.array_join(F.transform("cells", lambda cell: F.when(cell.isNull(), "0").otherwise("1")), "")
+    patterns = raw_cells.groupBy("source_id", pattern.alias("pattern")).agg(F.count("*").alias("rows"))
+    columns = patterns.select("source_id", "rows", F.posexplode(F.split("pattern", "")).alias("at", "held"))
+    columns = columns.groupBy("source_id", "at").agg(F.max("held").alias("held"), F.sum("rows").alias("rows"))
+    # Every row has a first place, so the most rows of a place are all of them.
+    per_source = columns.groupBy("source_id").agg(
+        F.max("rows").alias("rows"), F.collect_set(F.when(F.col("held") == "1", F.col("at"))).alias("live")
     )
-
-    def live(name: Column, i: Column) -> Column:
-        chunk_mask = F.try_element_at("masks", F.floor(i / _WORD_BITS).cast("int"))
-        bit = F.call_function("shiftright", chunk_mask, (i % _WORD_BITS).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-        return F.when(bit == 1, name)
-
     joined = sources.join(per_source, "source_id", "left")
     rows = F.coalesce("rows", F.lit(0).cast("long"))
-    return joined.withColumns({"rows": rows, "header": F.transform("header", live)}).drop("masks")
+    header = F.transform("header", lambda name, i: F.when(F.array_contains("live", i), name))
+    return joined.withColumns({"rows": rows, "header": header}).drop("live")
 
 
 def to_sales(raw_cells: DataFrame, mapping: DataFrame, mapping_bytes: int | None = None) -> DataFrame:
