@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillwork.plans.report_runs import ReportRuns
-from tillwork.plans.reporting import report_tables
+from tillwork.plans.reporting import key_figures, report_tables
+from tillwork.plans.rollups import Rollup
 from tillwork.schemas import CLIENTS
 from tillwork.sources.buckets import BucketTable, create
 from tillwork.sources.client_store import ClientStore
@@ -194,3 +195,34 @@ def test_sales_that_know_their_upload_count_once(spark, sales):
     twice = sales({**sale, "source_id": "one"}, {**sale, "source_id": "two"}).withColumn("uploaded_at", F.when(F.col("source_id") == "one", 5).otherwise(3))
     clients = spark.createDataFrame([("c", "L", "retalho", "semanal")], "client_id string, name string, business_type string, cadence string")
     assert report_tables(twice, clients, "semanal", dt.date(2026, 6, 7))["kpis"].first().total == 100.0
+
+
+def test_an_upload_replaces_its_own_source_only(spark, sales, tmp_path):
+    day, as_of = dt.datetime(2026, 6, 7, 9, 30), dt.date(2026, 6, 7)
+    base = {"quantity": 1.0, "item": "x", "sale_ts": day, "business_type": "retalho"}
+    made = sales(
+        *[{**base, "client_id": f"c{i}", "source_id": "one", "amount": 10.0, "order_ref": f"o{j}"} for i in range(20) for j in (1, 1, 2)],
+        {**base, "client_id": "c3", "source_id": "two", "amount": 5.0, "order_ref": "o9"}, {**base, "client_id": "c3", "source_id": "two", "amount": -1.0, "order_ref": "o9"},
+    )
+    rollup = Rollup(spark, str(tmp_path / "rollup"))
+    rollup.replace(made, as_of, 8)
+    before = rollup.log.latest()[1]["rollup"]["folders"]
+    clients = spark.createDataFrame([("c3", "retalho"), ("c4", "retalho"), ("none", "retalho")], "client_id string, business_type string")
+
+    def figures():
+        rows, top = rollup.figures(clients, as_of, "hoje")
+        ranked = {r.client_id: r.quantity for r in top.collect()}
+        return {r.client_id: (r.total, r.transactions, ranked.get(r.client_id), r.status) for r in rows.collect()}
+
+    assert figures() == {"c3": (35.0, 3, 4, "ok"), "c4": (30.0, 2, 3, "ok"), "none": (0.0, 0, None, "no_valid_rows")}
+    # The rows of one hour, item and order are one row of the rollup.
+    assert {r.order_ref: r.rows for r in rollup.rows().filter("client_id = 'c4'").collect()} == {"o1": 2, "o2": 1}
+    rollup.replace(sales({**base, "client_id": "c3", "source_id": "two", "amount": 8.0, "order_ref": "o7"}), as_of)
+    after = rollup.log.latest()[1]["rollup"]["folders"]
+    changed = [b for b in after if after[b] != before[b]]
+    assert len(changed) == 1 and figures()["c3"] == (38.0, 3, 4, "ok")
+    # An upload without a good row takes its source's old rows away.
+    rollup.replace(sales({**base, "client_id": "c3", "source_id": "one", "amount": -8.0, "order_ref": "o7"}), as_of)
+    assert figures()["c3"] == (8.0, 1, 1, "ok") and figures()["c4"] == (30.0, 2, 3, "ok")
+    same, _ = key_figures(made.filter("client_id = 'c4'"), clients, as_of, "hoje")
+    assert {r.client_id: (r.total, r.transactions) for r in same.collect()}["c4"] == (30.0, 2)

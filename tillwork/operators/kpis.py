@@ -34,6 +34,13 @@ def exact_sum(c: Column | str) -> Column:
     return F.when(F.count(money) == F.count(value), F.coalesce(exact, F.sum(value.cast("double")))).otherwise(F.sum(value.cast("double")))
 
 
+def rows_where(df: DataFrame, condition: Column | None = None) -> Column:
+    """Number of rows; in a rollup, of the rows that its rows stand for (its column ``rows``)."""
+    if "rows" not in df.columns:
+        return F.count("*" if condition is None else F.when(condition, 1))
+    return F.coalesce(F.sum("rows" if condition is None else F.when(condition, F.col("rows"))), F.lit(0).cast("long"))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys of which some may be NULL: NULL meets NULL."""
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -48,7 +55,7 @@ def ratio(total: Column, count: Column) -> Column:
 def by_day(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
     """Revenue and rows per day."""
     return sales.groupBy(*keys, F.to_date("sale_ts").alias("day")).agg(
-        exact_sum("amount").alias("revenue"), F.count("*").alias("rows")
+        exact_sum("amount").alias("revenue"), rows_where(sales).alias("rows")
     )
 
 
@@ -66,18 +73,18 @@ def transactions(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
 
     Spark groups by key and reference first, so one huge client is spread over its references.
     """
-    return sales.groupBy(*keys).agg(_transactions())
+    return sales.groupBy(*keys).agg(_transactions(sales))
 
 
-def _transactions() -> Column:
+def _transactions(sales: DataFrame) -> Column:
     has_order = F.coalesce("has_order", F.lit(False))
     refs = F.count_distinct(F.when(has_order, F.col("order_ref")))
-    return (refs + F.count(F.when(~has_order, 1))).alias("transactions")
+    return (refs + rows_where(sales, ~has_order)).alias("transactions")
 
 
 def totals(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
     """Revenue and transactions in one aggregate."""
-    return sales.groupBy(*keys).agg(exact_sum("amount").alias("total"), _transactions())
+    return sales.groupBy(*keys).agg(exact_sum("amount").alias("total"), _transactions(sales))
 
 
 def revenue(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
@@ -86,7 +93,7 @@ def revenue(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
 
 def peak_hour(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
     """Busiest hour as ``14h-15h``, earliest of equals; NULL if all rows share one hour."""
-    hours = sales.filter("sale_ts is not null").groupBy(*keys, F.hour("sale_ts").alias("hour")).agg(F.count("*").alias("n"))
+    hours = sales.filter("sale_ts is not null").groupBy(*keys, F.hour("sale_ts").alias("hour")).agg(rows_where(sales).alias("n"))
     return _peak_of_hours(hours, keys)
 
 
@@ -164,10 +171,10 @@ def _main_figures(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
     has_order = F.coalesce("has_order", F.lit(False))
     rows = sales.select(
         *keys, F.to_date("sale_ts").alias("day"), F.when(has_order, F.col("order_ref")).alias("_ref"),
-        "amount", has_order.alias("_has_ref"),
+        "amount", has_order.alias("_has_ref"), *[c for c in ("rows",) if c in sales.columns],
     )
     sets = rows.groupingSets([[*keys, "day"], [*keys, "_ref"]], *keys, "day", "_ref").agg(
-        F.grouping("_ref").alias("_by_day"), exact_sum("amount").alias("revenue"), F.count(F.when(~F.col("_has_ref"), 1)).alias("_plain")
+        F.grouping("_ref").alias("_by_day"), exact_sum("amount").alias("revenue"), rows_where(rows, ~F.col("_has_ref")).alias("_plain")
     )
     of_day = F.col("_by_day") == 1
     refs = F.count(F.when(~of_day, F.col("_ref")))
@@ -215,9 +222,9 @@ def source_facts(classified: DataFrame, in_period: Column, keys: Sequence[str] =
     good = F.col("reason").isNull()
     past_row_checks = good | (F.col("reason") == "bad_date")
     return classified.groupBy(*keys).agg(
-        F.count(F.when(past_row_checks, 1)).alias("rows_valid"),
-        F.count(F.when(good, 1)).alias("rows_dated"),
-        F.count(F.when(good & ~in_period, 1)).alias("rows_outside_period"),
+        rows_where(classified, past_row_checks).alias("rows_valid"),
+        rows_where(classified, good).alias("rows_dated"),
+        rows_where(classified, good & ~in_period).alias("rows_outside_period"),
         F.coalesce(F.max(F.when(good, F.col("has_item"))), F.lit(False)).alias("has_item"),
     )
 

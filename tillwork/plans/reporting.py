@@ -35,15 +35,22 @@ def key_figures(
     The cleaned rows are staged once with their reason and period flag; every figure then reads
     only its own columns of that table.
     """
-    classified = silver.fill_fallbacks(silver.classify(sales), as_of)
+    return figures_of(silver.fill_fallbacks(silver.classify(sales), as_of), clients, as_of, period, daily)
+
+
+def figures_of(
+    classified: DataFrame, clients: DataFrame, as_of: dt.date, period: str | None = None, daily: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """``key_figures`` of rows that have their ``reason``, or of a rollup of such rows."""
+    counted = [c for c in ("rows",) if c in classified.columns]
     good = classified.filter("reason is null")
     if period is None:
         good = periods.in_latest_year(good)
     else:
         good = good.withColumn("in_period", periods.between("sale_ts", *periods.period_range(period, as_of)))
-    valid = stage(good.select(*FIGURE_COLUMNS, "in_period"), "valid")
-    dateless = classified.filter("reason = 'bad_date'").select("client_id", "has_item", "reason", F.lit(False).alias("in_period"))
-    known = valid.select("client_id", "has_item", F.lit(None).cast("string").alias("reason"), "in_period").unionByName(dateless)
+    valid = stage(good.select(*FIGURE_COLUMNS, *counted, "in_period"), "valid")
+    dateless = classified.filter("reason = 'bad_date'").select("client_id", "has_item", "reason", *counted, F.lit(False).alias("in_period"))
+    known = valid.select("client_id", "has_item", F.lit(None).cast("string").alias("reason"), *counted, "in_period").unionByName(dateless)
     facts = kpis.source_facts(known, F.col("in_period"))
     in_period = valid.filter("in_period").drop("in_period")
     comparison = periods.today_and_yesterday(valid, as_of) if period == periods.TODAY else None

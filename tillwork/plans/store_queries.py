@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwork.plans.figure_queries import quartiles_sql
+from tillwork.operators import kpis, periods
+from tillwork.plans.figure_queries import LATEST_SHIP_SQL, best_day_sql, change_sql, peak_sql, quartiles_sql, top_sql
 from tillwork.plans.registry import query
 from tillwork.plans.report_runs import ReportRuns
-from tillwork.plans.views import CLIENTS_SQL, client_table, table
+from tillwork.plans.rollups import Rollup
+from tillwork.plans.views import CLIENTS_SQL, EVENT_SALES_SQL, SALES_SQL, client_table, event_sales, last_day, sales_view, table
 from tillwork.sources.client_store import ClientStore
 from tillwork.staging import new_path
 
@@ -111,3 +113,56 @@ def report_run(spark: SparkSession, sf: str) -> DataFrame:
     clients = runs.clients().select("client_id", "last_file", pointer)
     joined = clients.join(figures, "client_id", "left").join(reminded, "client_id", "left")
     return joined.withColumn("reminded", F.coalesce("reminded", F.lit(False)))
+
+
+_ROLLUP_SQL = f"""WITH {SALES_SQL}, {CLIENTS_SQL}, {LATEST_SHIP_SQL}, sourced AS (SELECT *, order_ref % 2 AS source FROM sv),
+{quartiles_sql('sourced', 'client_id, source')},
+fenced AS (SELECT sourced.* FROM sourced JOIN quart USING (client_id, source) WHERE NOT (total >= 4 AND q3 > q1 AND amount > q3 + 3 * (q3 - q1))),
+kept AS (SELECT * FROM fenced QUALIFY year(sale_ts) = max(year(sale_ts)) OVER (PARTITION BY client_id, source)),
+{best_day_sql('kept')}, {peak_sql('kept')}, {change_sql('kept', '(SELECT d FROM last_ship)')},
+{top_sql('kept', 'sum(CAST(quantity AS DECIMAL(18,2)))', 'sum(CAST(quantity AS DECIMAL(18,2)))', n=1)},
+sums AS (SELECT client_id, CAST(sum(cents) AS DOUBLE) AS total, count(DISTINCT order_ref) AS transactions FROM kept GROUP BY client_id),
+outside AS (SELECT client_id, count(*) AS n FROM fenced GROUP BY client_id)
+SELECT k AS client_id, coalesce(s.total, 0) AS total, coalesce(transactions, 0) AS transactions, strftime(coalesce(best_day, (SELECT d FROM last_ship)), '%Y-%m-%d') AS best_day,
+  peak_hour, vs_yesterday_pct, top.item AS top_item, top.quantity AS top_quantity, top.amount AS top_amount,
+  coalesce(o.n - (SELECT count(*) FROM kept WHERE kept.client_id = k), 0) AS rows_outside_period, CASE WHEN s.total IS NULL THEN 'no_valid_rows' ELSE 'ok' END AS status
+FROM clients LEFT JOIN sums s ON s.client_id = k LEFT JOIN best b ON b.client_id = k LEFT JOIN peak p ON p.client_id = k
+LEFT JOIN change ch ON ch.client_id = k LEFT JOIN top ON top.client_id = k LEFT JOIN outside o ON o.client_id = k"""
+
+
+@query("rollup_kpis", _ROLLUP_SQL)
+def rollup_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sources per customer; the second comes first with wrong amounts and is then replaced. All figures come from the rollup."""
+    as_of = last_day(table(spark, sf, "lineitem"), "l_shipdate")
+    sales = sales_view(spark, sf).withColumn("source_id", (F.col("order_ref") % 2).cast("string"))
+    wrong = F.when(F.col("source_id") == "1", F.col("amount") * 3 + 1).otherwise(F.col("amount"))
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    rollup.replace(sales.withColumn("amount", wrong), as_of, BUCKETS)
+    rollup.replace(sales.filter("source_id = '1'"), as_of)
+    clients = client_table(spark, sf).select(F.col("client_id").cast("long").alias("client_id"), "business_type")
+    rows, _ = rollup.figures(clients, as_of, daily=True)
+    item = F.col("item_of_day")
+    return rows.select(
+        "client_id", "total", "transactions", F.date_format("best_day", "yyyy-MM-dd").alias("best_day"), "peak_hour", "vs_yesterday_pct",
+        item["item"].alias("top_item"), item["quantity"].alias("top_quantity"), item["amount"].alias("top_amount"), "rows_outside_period", "status",
+    )
+
+
+@query("rollup_periods", f"""WITH {EVENT_SALES_SQL}, {quartiles_sql('ev', 'client_id')},
+kept AS (SELECT ev.* FROM ev JOIN quart USING (client_id) WHERE NOT (total >= 4 AND q3 > q1 AND amount > q3 + 3 * (q3 - q1)))
+SELECT client_id, CAST(coalesce(sum(cents) FILTER (day = d), 0) AS DOUBLE) AS today, CAST(coalesce(sum(cents) FILTER (day >= date_trunc('week', d)), 0) AS DOUBLE) AS week,
+  CAST(coalesce(sum(cents) FILTER (year(day) = year(d) AND month(day) = month(d)), 0) AS DOUBLE) AS month, count(*) FILTER (day >= date_trunc('week', d)) AS week_rows
+FROM kept, as_of GROUP BY client_id""")
+def rollup_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Day, week and month of event users out of one rollup."""
+    events = table(spark, sf, "events")
+    as_of = last_day(events, "ts")
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    rollup.replace(event_sales(spark, sf), as_of, BUCKETS)
+    rows = rollup.rows().filter("reason is null")
+    within = {p: periods.between("sale_ts", *periods.period_range(p, as_of)) for p in (periods.TODAY, periods.WEEK, periods.MONTH)}
+    total = lambda p: F.coalesce(kpis.exact_sum(F.when(within[p], F.col("amount"))), F.lit(0.0))
+    return rows.groupBy("client_id").agg(
+        total(periods.TODAY).alias("today"), total(periods.WEEK).alias("week"), total(periods.MONTH).alias("month"),
+        kpis.rows_where(rows, within[periods.WEEK]).alias("week_rows"),
+    )
