@@ -280,3 +280,30 @@ def test_main_figures_read_costly_input_once(spark, tmp_path):
     assert got == {None: (6.0, "2026-06-02", 2, 3.0), "c": (6.0, "2026-06-01", 2, 3.0)}
     plan = figures._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_stored_sales_are_pruned_by_month(spark, sales, tmp_path):
+    rows = sales(*[{"sale_ts": dt.datetime(y, m, 15), "amount": 1.0} for y in (2025, 2026) for m in range(1, 13)], {"sale_ts": None, "amount": 1.0})
+    sinks.write_sales(rows, str(tmp_path / "s"))
+    read = sinks.read_sales(spark, str(tmp_path / "s"), dt.date(2025, 12, 1), dt.date(2026, 2, 1))
+    assert sorted(r.sale_ts for r in read.collect()) == [dt.datetime(2025, 12, 15), dt.datetime(2026, 1, 15)]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "sale_year" in pruned and "sale_month" in pruned
+    scan = read._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 2
+
+
+def test_change_against_the_day_before(spark):
+    days = [("a", dt.date(2026, 6, d), float(v)) for d, v in ((1, 10), (2, 15), (4, 30))] + [("a", None, 7.0), (None, dt.date(2026, 6, 1), 4.0), (None, dt.date(2026, 6, 2), 2.0)]
+    changed = kpis.daily_change(spark.createDataFrame(days, "client_id string, day date, revenue double"))
+    got = {(r.client_id, r.day and r.day.day): (r.revenue_before, r.change_pct) for r in changed.collect()}
+    assert got == {("a", 1): (None, None), ("a", 2): (10.0, 50.0), ("a", 4): (None, None), ("a", None): (None, None), (None, 1): (None, None), (None, 2): (4.0, -50.0)}
+    assert changed._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_sketches_unite_days(spark, sales):
+    rows = sales(*[{"client_id": "c", "sale_ts": dt.datetime(2026, 6, 1 + i % 3), "order_ref": f"o{i % 700}", "amount": 1.0, "has_order": True} for i in range(2000)],
+                 {"client_id": "c", "sale_ts": dt.datetime(2026, 6, 1), "amount": 1.0, "has_order": False}, {"client_id": "d", "sale_ts": dt.datetime(2026, 6, 1), "amount": 1.0, "has_order": False})
+    got = {r.client_id: r.transactions for r in kpis.about_transactions(kpis.order_sketches(rows)).collect()}
+    assert got["d"] == 1 and abs(got["c"] - 701) <= 14

@@ -115,10 +115,33 @@ def _change(days: DataFrame, as_of: dt.date, keys: Sequence[str]) -> DataFrame:
 
 
 def daily_change(days: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
-    """Change against the calendar day before, for every day. Gaps give NULL, which ``lag`` would not."""
-    before = days.select(*keys, F.date_add("day", 1).alias("day"), F.col("revenue").alias("revenue_before"))
+    """Change against the calendar day before, for every day. Gaps give NULL, which ``lag`` would not.
+
+    The frame is the one day before by its number; a client has one row a day, so the calendar bounds a window.
+    """
+    day_before = Window.partitionBy(*keys).orderBy(F.unix_date("day")).rangeBetween(-1, -1)
+    before = F.when(F.col("day").isNotNull(), F.max("revenue").over(day_before))
+    dated = days.withColumn("revenue_before", before)
     change = F.try_divide(F.col("revenue") - F.col("revenue_before"), F.col("revenue_before")) * 100
-    return days.join(before, [*keys, "day"], "left").withColumn("change_pct", round_even(change, 1))
+    return dated.withColumn("change_pct", round_even(change, 1))
+
+
+def order_sketches(sales: DataFrame, keys: Sequence[str] = CLIENT, precision: int = 12) -> DataFrame:
+    """Per day a sketch of the distinct order references, and the rows that have none: a few KB however many orders.
+
+    Days can be kept and united later, for any period, without the sales; the exact count cannot.
+    """
+    has_order = F.coalesce("has_order", F.lit(False))
+    refs = F.when(has_order, F.col("order_ref").cast("string"))
+    return sales.groupBy(*keys, F.to_date("sale_ts").alias("day")).agg(
+        F.hll_sketch_agg(refs, F.lit(precision)).alias("orders"), rows_where(sales, ~has_order).alias("plain")
+    )
+
+
+def about_transactions(sketches: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
+    """Transactions out of ``order_sketches``; with the usual precision mostly within 2 % of ``transactions``."""
+    united = F.hll_sketch_estimate(F.hll_union_agg("orders"))
+    return sketches.groupBy(*keys).agg((united + F.sum("plain")).alias("transactions"))
 
 
 def item_totals(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:

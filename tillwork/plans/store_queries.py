@@ -14,6 +14,7 @@ from tillwork.plans.report_runs import ReportRuns
 from tillwork.plans.rollups import Rollup
 from tillwork.plans.views import CLIENTS_SQL, EVENT_SALES_SQL, SALES_SQL, client_table, event_sales, last_day, sales_view, table
 from tillwork.sources.client_store import ClientStore
+from tillwork.sources.sinks import read_sales, write_sales
 from tillwork.staging import new_path
 
 FIRST_RUN, SECOND_RUN = dt.datetime(2026, 6, 1, 8, 10), dt.datetime(2026, 6, 8, 8, 10)
@@ -166,3 +167,29 @@ def rollup_periods(spark: SparkSession, sf: str) -> DataFrame:
         total(periods.TODAY).alias("today"), total(periods.WEEK).alias("week"), total(periods.MONTH).alias("month"),
         kpis.rows_where(rows, within[periods.WEEK]).alias("week_rows"),
     )
+
+
+@query("sink_period", f"""WITH {SALES_SQL}, {LATEST_SHIP_SQL}
+SELECT client_id, CAST(sum(cents) AS DOUBLE) AS total, count(DISTINCT order_ref) AS transactions FROM sv, last_ship
+WHERE sale_ts >= date_trunc('month', d) - INTERVAL 1 MONTH AND sale_ts < date_trunc('month', d) + INTERVAL 1 MONTH GROUP BY client_id""")
+def sink_period(spark: SparkSession, sf: str) -> DataFrame:
+    """The last two months out of stored sales, of which only those months' folders are read."""
+    path = new_path(spark, "sink")
+    write_sales(sales_view(spark, sf, items=False), path)
+    month, end = periods.period_range(periods.MONTH, last_day(table(spark, sf, "lineitem"), "l_shipdate"))
+    first = (month - dt.timedelta(days=1)).replace(day=1)
+    return kpis.totals(read_sales(spark, path, first, end))
+
+
+@query("transactions_by_sketch", f"""WITH {SALES_SQL}
+SELECT client_id, count(DISTINCT order_ref) AS transactions, true AS close FROM sv GROUP BY client_id
+UNION ALL SELECT NULL, count(DISTINCT order_ref), true FROM sv""")
+def transactions_by_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact transactions of each customer and of all, and whether the united sketches of their days come within 5 %."""
+    sales = sales_view(spark, sf, items=False)
+    days = kpis.order_sketches(sales)
+    whole = days.withColumn("client_id", F.lit(None).cast("long"))
+    about = kpis.about_transactions(days.unionByName(whole)).withColumnRenamed("transactions", "about")
+    exact = kpis.transactions(sales).unionByName(kpis.transactions(sales.withColumn("client_id", F.lit(None).cast("long"))))
+    joined = kpis.null_safe_join(exact, about, ["client_id"])
+    return joined.select("client_id", "transactions", (F.abs(F.col("about") - F.col("transactions")) <= F.col("transactions") * 0.05).alias("close"))

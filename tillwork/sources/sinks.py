@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwork.operators.periods import between
+
 
 def write_sales(sales: DataFrame, path: str, mode: str = "append") -> None:
     """Sales as parquet by year and month, so period filters prune folders."""
@@ -15,6 +17,17 @@ def write_sales(sales: DataFrame, path: str, mode: str = "append") -> None:
     dated.hint("rebalance", "sale_year", "sale_month").write.mode(mode).partitionBy("sale_year", "sale_month").parquet(path)
 
 
+def read_sales(spark: SparkSession, path: str, first: dt.date, end: dt.date) -> DataFrame:
+    """Stored sales from ``first`` until before ``end``; folders of other months are not listed into the scan.
+
+    Rows without a date lie in a folder of their own and belong to no period.
+    """
+    month = F.col("sale_year") * 12 + F.col("sale_month")
+    last = end - dt.timedelta(days=1)
+    stored = spark.read.parquet(path).filter(month.between(first.year * 12 + first.month, last.year * 12 + last.month))
+    return stored.filter(between("sale_ts", first, end)).drop("sale_year", "sale_month")
+
+
 def write_sales_csv(sales: DataFrame, path: str, mode: str = "append") -> None:
     sales.write.mode(mode).option("header", True).csv(path)
 
