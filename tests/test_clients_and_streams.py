@@ -15,9 +15,50 @@ from tillwork.sources.text_sales import text_lines, text_sales
 from tillwork.streaming import folds as stream_folds
 from tillwork.streaming import windows
 from tillwork.streaming.seen import SeenIds
+from tillwork.vocabulary import (
+    BUSINESS_TYPE_CODES,
+    CADENCE_CODES,
+    CANCEL,
+    COMMANDS,
+    DEFAULT_BUSINESS_TYPE,
+    DEFAULT_CADENCE,
+    FIRST_CONTACT_GREETINGS,
+    MODE_CADENCE,
+    MODE_SALES,
+)
 
 START = dt.datetime(2026, 6, 1)
 
+# The registration and chat rules, one message at a time.
+NEW = (1, None, None, DEFAULT_CADENCE, None)
+
+
+def next_profile(state: tuple, text: str) -> tuple[tuple, str]:
+    """State after one message, and what the message did."""
+    step, name, kind, cadence, mode = state
+    answer = text.strip()
+    word = answer.lower()
+    if step == 1:
+        if word in FIRST_CONTACT_GREETINGS or len(answer) <= 2:
+            return state, "ask_name"
+        return (2, answer, kind, cadence, mode), "set_name"
+    if step == 2:
+        kind = BUSINESS_TYPE_CODES.get(answer, word or DEFAULT_BUSINESS_TYPE)
+        return (3, name, kind, cadence, mode), "set_business_type"
+    if step == 3:
+        return (0, name, kind, CADENCE_CODES.get(answer, DEFAULT_CADENCE), mode), "set_cadence"
+    if mode == MODE_SALES:
+        return (step, name, kind, cadence, None), "cancel" if word == CANCEL else "sales_text"
+    if mode == MODE_CADENCE:
+        if word == CANCEL:
+            return (step, name, kind, cadence, None), "cancel"
+        if answer in CADENCE_CODES:
+            return (step, name, kind, CADENCE_CODES[answer], None), "set_cadence"
+        return state, "invalid_option"
+    action = next((label for label, words in COMMANDS.items() if word in words), "help")
+    opened = {"sales": MODE_SALES, "cadence": MODE_CADENCE}.get(action)
+    return (step, name, kind, cadence, opened), action
+
 
 @pytest.fixture
 def clients(spark):
@@ -139,9 +180,9 @@ def by_client(chat):
 
 
 def test_registration_script():
-    state, actions = stream_folds._NEW, []
+    state, actions = NEW, []
     for text in ["oi", "Loja Azul", "1", "3"]:
-        state, action = stream_folds.next_profile(state, text)
+        state, action = next_profile(state, text)
         actions.append(action)
     assert actions == ["ask_name", "set_name", "set_business_type", "set_cadence"] and state == (0, "Loja Azul", "servicos", "mensal", None)
 
@@ -149,10 +190,10 @@ def test_registration_script():
 def test_profile_fold_equals_message_by_message(chat):
     expected = {}
     for client, messages in by_client(chat).items():
-        state = stream_folds._NEW
+        state = NEW
         for m in messages:
             if state[0] != 0:
-                state, _ = stream_folds.next_profile(state, m.text)
+                state, _ = next_profile(state, m.text)
         expected[client] = (state[1], state[2], state[3] if state[0] == 0 else None, state[0])
     got = {r.client_id: (r.name, r.business_type, r.cadence, r.onboarding_step) for r in folds.profile_fold(chat).collect()}
     assert got == expected
@@ -165,7 +206,7 @@ def test_mode_fold_equals_message_by_message(chat, block):
         state = (0, "n", "retalho", "semanal", None)
         for m in messages:
             mode = state[4] or ""
-            state, action = stream_folds.next_profile(state, m.text)
+            state, action = next_profile(state, m.text)
             expected[m.message_id] = (mode, action)
     got = {r.message_id: (r.mode, r.action) for r in folds.mode_fold(chat, block=block and F.date_trunc(block, "event_ts")).collect()}
     assert got == expected
@@ -185,7 +226,7 @@ def test_mode_fold_of_one_client_in_many_blocks(spark, begin):
     state, expected = (0, "n", "retalho", "semanal", begin or None), {}
     for m in sorted(rows.collect(), key=lambda r: r.message_id):
         mode = state[4] or ""
-        state, action = stream_folds.next_profile(state, m.text)
+        state, action = next_profile(state, m.text)
         expected[m.message_id] = (mode, action)
     assert got == expected
 
@@ -206,18 +247,48 @@ def run(df, path, mode="append"):
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def test_stream_fold_over_batches(spark, chat, tmp_path):
-    folded = run(stream_folds.fold_profile(stream_of(spark, chat, str(tmp_path / "in"), 3)), str(tmp_path))
-    expected = {}
+def delivered(spark, rows, schema, path, parts):
+    """A stream that delivers the given lists of rows one after the other."""
+    for i, part in enumerate(parts(rows) if callable(parts) else parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def test_fold_in_order_of_a_shuffled_feed(spark, chat, tmp_path):
+    """Messages arrive up to two hours late, over three batches, and are folded as if in order; the last ones wait."""
+    rng, rows = random.Random(4), chat.collect()
+    rows.sort(key=lambda r: r.event_ts + dt.timedelta(minutes=rng.randint(0, 120)))
+    size = -(-len(rows) // 3)
+    feed = delivered(spark, rows, chat.schema, str(tmp_path / "in"), [rows[i * size:(i + 1) * size] for i in range(3)])
+    out = str(tmp_path / "out")
+    stream_folds.fold_in_order(feed, out, str(tmp_path / "ck"), dt.timedelta(hours=2)).trigger(availableNow=True).start().awaitTermination()
+    actions, expected = spark.read.parquet(out + "/actions"), {}
     for messages in by_client(chat).values():
-        state = stream_folds._NEW
+        state = NEW
         for m in messages:
-            state, action = stream_folds.next_profile(state, m.text)
-            expected[m.message_id] = (action, state[0], state[1], state[4])
-    assert {r.message_id: (r.action, r.onboarding_step, r.name, r["mode"]) for r in folded.collect()} == expected
-    sold = stream_folds.sales_from_chat(folded)
-    assert {r.item for r in sold.collect()} <= {"Frango"}
-    assert sold.count() == sum(m.text == "Frango, 2, 30" and expected[m.message_id][0] == "sales_text" for ms in by_client(chat).values() for m in ms)
+            state, expected[m.message_id] = next_profile(state, m.text)
+    waiting, profiles = stream_folds.waiting_effects(spark, out)
+    folded = {r.message_id: r.action for r in actions.collect()}
+    rest = {r.message_id: r.action for r in waiting.collect()}
+    newest = max(r.event_ts for r in rows)
+    assert rest and set(rest) == {r.message_id for r in rows if r.event_ts > newest - dt.timedelta(hours=2)}
+    assert folded | rest == expected and not folded.keys() & rest.keys() and actions.filter("late").count() == 0
+    sold = stream_folds.sales_from_chat(actions.filter("action = 'sales_text'").withColumn("business_type", F.lit(None).cast("string")))
+    assert sold.count() == sum(m.text == "Frango, 2, 30" and folded.get(m.message_id) == "sales_text" for m in rows)
+
+
+def test_messages_after_their_time_are_kept_and_marked(spark, tmp_path):
+    schema = "client_id string, message_id string, event_ts timestamp, text string"
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    parts = [
+        [("c", "m2", at(2), "1"), ("c", "m1", at(1), "Loja"), ("c", "m9", at(90), "6")], [("c", "m3", at(3), "3"), (None, "m0", None, "x")], [("d", "m8", at(300), "oi")],
+    ]
+    feed, out = delivered(spark, None, schema, str(tmp_path / "in"), parts), str(tmp_path / "out")
+    stream_folds.fold_in_order(feed, out, str(tmp_path / "ck"), dt.timedelta(minutes=30)).trigger(availableNow=True).start().awaitTermination()
+    got = {r.message_id: (r.action, r.late) for r in spark.read.parquet(out + "/actions").collect()}
+    assert got["m1"] == ("set_name", False) and got["m2"] == ("set_business_type", False) and got["m3"] == ("set_cadence", True)
+    assert got["m9"][1] is False and "m8" not in got
+    assert [r.message_id for r in stream_folds.waiting_effects(spark, out)[0].collect()] == ["m8"]
 
 
 def test_fold_in_batches_equals_message_by_message(spark, chat, tmp_path):
@@ -225,9 +296,9 @@ def test_fold_in_batches_equals_message_by_message(spark, chat, tmp_path):
     stream_folds.fold_in_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     actions, profiles = {}, {}
     for client, messages in by_client(chat).items():
-        state = stream_folds._NEW
+        state = NEW
         for m in messages:
-            state, actions[m.message_id] = stream_folds.next_profile(state, m.text)
+            state, actions[m.message_id] = next_profile(state, m.text)
         profiles[client] = state
     assert {r.message_id: r.action for r in spark.read.parquet(str(tmp_path / "out" / "actions")).collect()} == actions
     newest = windows.latest_updates(spark, str(tmp_path / "out" / "profiles"), ["client_id"]).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tillwork.plans.registry import query
 from tillwork.plans.views import CHAT_SQL, CLIENTS_SQL, chat_messages, client_table, table
 from tillwork.staging import new_path
 from tillwork.streaming import windows
-from tillwork.streaming.folds import fold_in_batches, sales_from_chat
+from tillwork.streaming.folds import fold_in_batches, fold_in_order, sales_from_chat, waiting_effects
 from tillwork.vocabulary import COMMANDS, FIRST_CONTACT_GREETINGS
 
 _AT = "yyyy-MM-dd HH:mm:ss"
@@ -199,6 +201,21 @@ def chat_batches(spark: SparkSession, sf: str) -> DataFrame:
     return _fold_chat(spark, messages.filter(~later), messages.filter(later))[0].select("client_id", "message_id", "action")
 
 
+@query("chat_in_order", f"""WITH RECURSIVE {CHAT_SQL}, {_MACHINE_SQL.format(step=1)} SELECT client_id, message_id, action FROM acted""")
+def chat_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The same history arriving up to twelve hours late in three deliveries, folded in the order of event time."""
+    messages = chat_messages(spark, sf)
+    arrival = F.col("event_ts") + F.make_dt_interval(mins=F.pmod(F.xxhash64("message_id"), F.lit(720)).cast("int"))
+    part = F.when(arrival < F.lit("2024-01-11").cast("timestamp"), 0).when(arrival < F.lit("2024-01-21").cast("timestamp"), 1).otherwise(2)
+    path = new_path(spark, "chat")
+    for i in range(3):
+        _deliver(messages.filter(part == i), path)
+        feed = spark.readStream.schema(messages.schema).parquet(f"{path}/in")
+        fold_in_order(feed, path, f"{path}/checkpoint", dt.timedelta(days=1)).trigger(availableNow=True).start().awaitTermination()
+    columns = ["client_id", "message_id", "action"]
+    return spark.read.parquet(f"{path}/actions").select(*columns).unionByName(waiting_effects(spark, path)[0].select(*columns))
+
+
 @query("chat_sales", f"""WITH RECURSIVE {CHAT_SQL}, {_MACHINE_SQL.format(step=1)}
 SELECT client_id, message_id AS source_id, 'Frango' AS item, 2.0::DOUBLE AS quantity, 30.0::DOUBLE AS amount FROM acted
 WHERE action = 'sales_text' AND text = 'Frango, 2, 30'""")

@@ -1,106 +1,32 @@
-"""Registration and chat mode as per-client state over the message stream."""
+"""Registration and chat mode over the message stream, as one batch job per micro-batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tillwork.operators.folds import chat_fold
 from tillwork.sources.text_sales import text_sales
 from tillwork.staging import released, stage
-from tillwork.streaming.windows import compact, latest_updates
-from tillwork.vocabulary import (
-    BUSINESS_TYPE_CODES,
-    CADENCE_CODES,
-    CANCEL,
-    COMMANDS,
-    DEFAULT_BUSINESS_TYPE,
-    DEFAULT_CADENCE,
-    FIRST_CONTACT_GREETINGS,
-    MODE_CADENCE,
-    MODE_SALES,
-)
-
-STATE = "step int, name string, business_type string, cadence string, mode string"
-OUTPUT = (
-    "client_id string, message_id string, event_ts timestamp, text string, action string, "
-    "onboarding_step int, name string, business_type string, cadence string, mode string"
-)
-_PROFILE_COLUMNS = "onboarding_step int, name string, business_type string, cadence string, mode string"
-_NEW = (1, None, None, DEFAULT_CADENCE, None)
-
-
-def next_profile(state: tuple, text: str) -> tuple[tuple, str]:
-    """State after one message, and what the message did."""
-    step, name, kind, cadence, mode = state
-    answer = text.strip()
-    word = answer.lower()
-    if step == 1:
-        if word in FIRST_CONTACT_GREETINGS or len(answer) <= 2:
-            return state, "ask_name"
-        return (2, answer, kind, cadence, mode), "set_name"
-    if step == 2:
-        kind = BUSINESS_TYPE_CODES.get(answer, word or DEFAULT_BUSINESS_TYPE)
-        return (3, name, kind, cadence, mode), "set_business_type"
-    if step == 3:
-        return (0, name, kind, CADENCE_CODES.get(answer, DEFAULT_CADENCE), mode), "set_cadence"
-    if mode == MODE_SALES:
-        return (step, name, kind, cadence, None), "cancel" if word == CANCEL else "sales_text"
-    if mode == MODE_CADENCE:
-        if word == CANCEL:
-            return (step, name, kind, cadence, None), "cancel"
-        if answer in CADENCE_CODES:
-            return (step, name, kind, CADENCE_CODES[answer], None), "set_cadence"
-        return state, "invalid_option"
-    action = next((label for label, words in COMMANDS.items() if word in words), "help")
-    opened = {"sales": MODE_SALES, "cadence": MODE_CADENCE}.get(action)
-    return (step, name, kind, cadence, opened), action
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current = state.get if state.exists else _NEW
-    # One client's messages may come as several frames; order holds over all of them.
-    messages = pd.concat(batches).sort_values(["event_ts", "message_id"])
-    results = []
-    for text in messages["text"]:
-        current, action = next_profile(tuple(current), text or "")
-        results.append((action, *current))
-    state.update(tuple(current))
-    columns = ["action", "onboarding_step", "name", "business_type", "cadence", "mode"]
-    out = pd.DataFrame(results, columns=columns, index=messages.index, dtype=object)
-    out["onboarding_step"] = out["onboarding_step"].astype("int32")
-    done = pd.concat([messages[["message_id", "event_ts", "text"]], out], axis=1)
-    done.insert(0, "client_id", key[0])
-    yield done
-
-
-def fold_profile(messages: DataFrame) -> DataFrame:
-    """Each text message with its effect and the client's profile after it.
-
-    ``messages`` has ``client_id``, ``message_id``, ``event_ts`` and ``text``.
-    """
-    narrow = messages.select("client_id", "message_id", F.col("event_ts").cast("timestamp").alias("event_ts"), "text")
-    return narrow.groupBy("client_id").applyInPandasWithState(_fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+from tillwork.streaming.windows import batch_numbers, compact, latest_updates
 
+MESSAGE = ["client_id", "message_id", "event_ts", "text"]
+_PROFILE_COLUMNS = "onboarding_step int, name string, business_type string, cadence string, mode string"
 
 def fold_in_batches(messages: DataFrame, path: str, checkpoint: str):
-    """The same fold as one batch job per micro-batch, for feeds in which one client may dominate.
+    """Each message on top of the profiles that the batches before left; ``messages`` has the ``MESSAGE`` columns.
 
     ``path/actions`` gets each message with its effect, ``path/profiles`` the profiles that changed;
-    both by batch, so a repeated batch replaces itself and reads only the profiles before it.
+    both by batch, so a repeated batch replaces itself and reads only the profiles before it. Messages are
+    in order inside a batch; ``fold_in_order`` also puts those of different batches in order.
     """
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with released(spark):
-            if batch_id == 0:
-                profiles = spark.createDataFrame([], f"client_id string, {_PROFILE_COLUMNS}")
-            else:
-                profiles = latest_updates(spark, f"{path}/profiles", ["client_id"], before=batch_id)
-            narrow = stage(batch.select("client_id", "message_id", "event_ts", "text"), "messages")
+            profiles = _profiles(spark, path, batch_id)
+            narrow = stage(batch.select(*MESSAGE), "messages")
             actions, changed = chat_fold(narrow, profiles)
             actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
             changed.write.mode("overwrite").parquet(f"{path}/profiles/batch={batch_id}")
@@ -109,6 +35,60 @@ def fold_in_batches(messages: DataFrame, path: str, checkpoint: str):
     return messages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
 
 
+def fold_in_order(messages: DataFrame, path: str, checkpoint: str, delay: dt.timedelta):
+    """Like ``fold_in_batches``, in the order of event time whatever order messages arrive in.
+
+    Messages wait in ``path/pending`` until the newest event time seen is ``delay`` past theirs, and are
+    folded in order then; so only the last ``delay`` of the feed is kept and read again. A message that comes later
+    than that is not lost: it is folded at once, behind newer ones, and marked ``late``. Messages without a
+    time do not wait. All of it is written by batch, so a repeated batch replaces itself. ``waiting_effects``
+    shows what the messages that still wait would do.
+    """
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with released(spark):
+            held, newest = _pending(spark, path, batch_id)
+            passed = newest and newest - delay
+            late = F.lit(False) if passed is None else F.coalesce(F.col("event_ts") <= F.lit(passed), F.lit(False))
+            arrived = stage(batch.select(*MESSAGE).withColumn("late", late), "messages")
+            seen = arrived.agg(F.max("event_ts")).first()[0]
+            newest = max((t for t in (newest, seen) if t is not None), default=None)
+            due = F.lit(True) if newest is None else F.col("event_ts").isNull() | (F.col("event_ts") <= F.lit(newest - delay))
+            waiting = stage(held.unionByName(arrived).withColumn("due", due), "waiting")
+            ready = waiting.filter("due").drop("due")
+            actions, changed = chat_fold(ready, _profiles(spark, path, batch_id))
+            actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
+            changed.write.mode("overwrite").parquet(f"{path}/profiles/batch={batch_id}")
+            rest = waiting.filter("not due").drop("due").withColumn("newest", F.lit(newest).cast("timestamp"))
+            clock = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in rest.drop("newest").dtypes], F.lit(newest).cast("timestamp").alias("newest"))
+            rest.unionByName(clock).write.mode("overwrite").parquet(f"{path}/pending/batch={batch_id}")
+        compact(spark, f"{path}/profiles", ["client_id"], batch_id)
+
+    return messages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+
+
+def waiting_effects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(effects of the messages that ``fold_in_order`` still holds back, the profiles they would leave); nothing is written."""
+    held, _ = _pending(spark, path, None)
+    return chat_fold(held, _profiles(spark, path, None))
+
+
+def _profiles(spark: SparkSession, path: str, before: int | None) -> DataFrame:
+    if not [n for n in batch_numbers(spark, f"{path}/profiles") if before is None or n < before]:
+        return spark.createDataFrame([], f"client_id string, {_PROFILE_COLUMNS}")
+    return latest_updates(spark, f"{path}/profiles", ["client_id"], before=before)
+
+
+def _pending(spark: SparkSession, path: str, before: int | None) -> tuple[DataFrame, dt.datetime | None]:
+    """Messages held back by the batches before, and the newest event time they have seen."""
+    done = [n for n in batch_numbers(spark, f"{path}/pending") if before is None or n < before]
+    if not done:
+        return spark.createDataFrame([], "client_id string, message_id string, event_ts timestamp, text string, late boolean"), None
+    kept = spark.read.parquet(f"{path}/pending/batch={done[-1]}")
+    # Every file set has one row that only tells the time.
+    return kept.filter("late is not null").drop("newest"), kept.agg(F.max("newest")).first()[0]
+
+
 def sales_from_chat(folded: DataFrame) -> DataFrame:
     """Sales rows out of the messages that were read in sales mode."""
     texts = folded.filter("action = 'sales_text'").select(

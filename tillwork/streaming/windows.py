@@ -86,6 +86,11 @@ def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in done)
 
 
+def batch_numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that are written whole, in order."""
+    return _numbers(spark, path, "batch")
+
+
 def latest_updates(spark: SparkSession, path: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
     """Newest row per key out of what was written by batch, optionally up to a batch.
 
