@@ -1,5 +1,6 @@
 """Trie, LM scores, neighbours, near copies and toxicity: against plain versions, and odd inputs."""
 
+import os
 import math
 from collections import Counter
 
@@ -141,6 +142,20 @@ def test_weights_are_learnt_from_a_few_long_texts(spark, monkeypatch):
     assert len(chosen) == 1 and chosen == lm_score._dev_texts(docs.repartition(5), "text", model.tokens)
 
 
+def test_a_lost_level_file_is_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the cat sat on the mat {i % 3}") for i in range(30)], "doc_id long, text string")
+    model = lm_score.train(docs)
+    assert {level for level, _ in model.files} == {lm_score.WORDS, lm_score.PAIRS, lm_score.TRIPLES}
+    trie = lm_score.Trie(model.folder, model.shards, model.files)
+    monkeypatch.setattr(lm_score, "MOST_OPEN", 1)
+    assert all(trie.level(*key) is not None for key in model.files) and len(trie.open) == 1
+    for (level, shard), spoil in zip(sorted(model.files), [os.remove, lambda path: os.truncate(path, 100)], strict=False):
+        spoil(lm_score._file(model.folder, level, shard))
+        with pytest.raises(FileNotFoundError):
+            lm_score.Trie(model.folder, model.shards, model.files).level(level, shard)
+    assert lm_score.Trie(model.folder, model.shards, {}).level(lm_score.WORDS, 0) is None
+
+
 def test_chunks_of_one_context_are_merged_as_they_come(monkeypatch):
     monkeypatch.setattr(lm_score, "MERGE", 500)
     largest = []
