@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tillwork.operators import silver
 from tillwork.plans.report_runs import ReportRuns
 from tillwork.plans.reporting import key_figures, report_tables
 from tillwork.plans.rollups import Rollup
@@ -14,6 +15,7 @@ from tillwork.sources.buckets import BucketTable, create
 from tillwork.sources.client_store import ClientStore
 from tillwork.sources.commits import CommitLog, Conflict
 from tillwork.streaming import seen, windows
+from tillwork.streaming.fence import FenceState
 
 START = dt.datetime(2026, 6, 1)
 
@@ -132,7 +134,7 @@ def test_repeated_batch_of_the_stream(spark, tmp_path):
     first = spark.createDataFrame([("a", START), ("b", START)], "message_id string, created_at timestamp")
     store.add(first, 0)
     again = spark.createDataFrame([("b", START), ("c", START)], "message_id string, created_at timestamp")
-    for _ in range(2):
+    for _ in range(4):
         fresh = again.join(store.seen_of(again, 1), "message_id", "left_anti")
         assert [r.message_id for r in fresh.collect()] == ["c"]
         store.add(fresh, 1)
@@ -226,3 +228,19 @@ def test_an_upload_replaces_its_own_source_only(spark, sales, tmp_path):
     assert figures()["c3"] == (8.0, 1, 1, "ok") and figures()["c4"] == (30.0, 2, 3, "ok")
     same, _ = key_figures(made.filter("client_id = 'c4'"), clients, as_of, "hoje")
     assert {r.client_id: (r.total, r.transactions) for r in same.collect()}["c4"] == (30.0, 2)
+
+
+def test_fence_of_batches_is_that_of_all_rows(spark, sales, tmp_path):
+    """Sources that grow from batch to batch, one whose limit goes again, and a repeated batch."""
+    parts = [
+        [("a", 10.0), ("a", 11.0), ("a", 12.0), ("b", 5.0), ("b", 6.0), ("b", 7.0), ("b", 100.0)],
+        [("a", 13.0), ("a", 1000.0), ("b", 90.0), ("b", 95.0), ("b", 110.0), ("c", 1.0)], [("a", 12.5), ("a", -3.0), ("a", None), ("c", float("nan"))],
+    ]
+    rows = [sales(*[{"client_id": c, "source_id": "s", "amount": v} for c, v in part]) for part in parts]
+    state, found = FenceState(spark, str(tmp_path / "state"), 2), {}
+    for i, part in enumerate(rows):
+        for _ in range(3 if i == 1 else 1):
+            found |= {r.client_id: r.fence for r in state.add(part, i).collect()}
+    whole = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    limits = {r.client_id: r.fence for r in silver.fence_limits(whole).collect()}
+    assert limits.keys() == {"a"} and {c: f for c, f in found.items() if f is not None} == limits and found["b"] is None

@@ -21,7 +21,7 @@ _INFINITE = 2**31 - 1
 _PROBABILITIES = {"q1": 0.25, "q3": 0.75}
 
 
-def _bin(value: Column) -> Column:
+def bin_of(value: Column) -> Column:
     """Order-preserving bin of a positive value; infinity has a bin of its own."""
     return F.when(value == float("inf"), _INFINITE).otherwise(F.floor(F.ln(value) * BINS_PER_E).try_cast("int"))
 
@@ -40,19 +40,27 @@ def quartiles(df: DataFrame, keys: Sequence[str], value: str = "amount") -> Data
 
     ``value`` must be positive; other rows are ignored.
     """
-    keys = list(keys)
     v = F.col(value)
-    ranked = _by_bins(df.filter((v > 0) & ~F.isnan(v)).select(*keys, v.alias("v")), keys)
+    values = df.filter((v > 0) & ~F.isnan(v)).select(*keys, bin_of(v).alias("bin"), v.alias("v"), F.lit(1).cast("long").alias("n"))
+    return quartiles_of_bins(bins_of(values, keys), values, keys)
+
+
+def bins_of(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, least and largest value per bin; bins of parts of the rows can be united. ``values`` has ``bin``, ``v``, ``n``."""
+    return values.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def quartiles_of_bins(bins: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``quartiles`` out of ``bins_of``; ``values`` are read in the few bins where counts do not tell."""
+    keys = list(keys)
+    ranked = _by_bins(bins, values, keys)
     for q, p in _PROBABILITIES.items():
         ranked = ranked.withColumn(q, _between(F.col(f"{q}_low"), F.col(f"{q}_high"), (F.col("total") - 1) * p))
     return ranked.select(*keys, "total", "top", "q1", "q3")
 
 
-def _by_bins(values: DataFrame, keys: list[str]) -> DataFrame:
+def _by_bins(bins: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """Values at the wanted ranks by counting bins; no task sees more than a group's bins or one bin's values."""
-    binned = values.withColumn("bin", _bin(F.col("v")))
-    bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-
     # Windows run over bins, of which a group has some ten thousand, not over rows.
     whole = Window.partitionBy(*keys)
     up_to = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -74,7 +82,7 @@ def _by_bins(values: DataFrame, keys: list[str]) -> DataFrame:
     ranks, size = stage_measured(ranks, "ranks")
     open_ranks = ranks.filter(F.col("v").isNull()).drop("v")
     found = ranks.filter(F.col("v").isNotNull()).select(*keys, "name", "total", "top", "v")
-    found = found.unionByName(_values_at(binned, open_ranks, keys, size))
+    found = found.unionByName(_values_at(values, open_ranks, keys, size))
     at = {name: F.max(F.when(F.col("name") == name, F.col("v"))) for name in offsets}
     return found.groupBy(*keys).agg(
         F.max("total").alias("total"), F.max("top").alias("top"), *[c.alias(n) for n, c in at.items()]
@@ -95,7 +103,7 @@ def _values_at(binned: DataFrame, open_ranks: DataFrame, keys: list[str], size:
     wanted = open_ranks.select(group, "bin", "name", "offset", *keys, "total", "top")
     # Equal values are counted before the join, so copies of one value cannot pile up in a task.
     # A broadcast semi join is pushed below the count by Spark, so then only open bins are counted.
-    counted = binned.groupBy(group, "bin", "v").agg(F.count("*").alias("n"))
+    counted = binned.groupBy(group, "bin", "v").agg(F.sum("n").alias("n"))
     values = attach(counted, wanted.select(*at_bin).distinct(), at_bin, "left_semi", size=size)
     up_to = Window.partitionBy(*at_bin).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = values.withColumn("before", F.sum("n").over(up_to) - F.col("n"))

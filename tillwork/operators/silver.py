@@ -76,8 +76,13 @@ def row_reason(tol: float = 0.10) -> Column:
 
 def fence_limits(sales: DataFrame, keys: Sequence[str] = DATASET, k: float = 3.0, min_rows: int = 4) -> DataFrame:
     """Upper limit per dataset, only for datasets that have an amount above it."""
+    return limits_of(quartiles(sales, keys), keys, k, min_rows)
+
+
+def limits_of(found: DataFrame, keys: Sequence[str] = DATASET, k: float = 3.0, min_rows: int = 4) -> DataFrame:
+    """``fence_limits`` out of quartiles."""
     spread = F.col("q3") - F.col("q1")
-    limits = quartiles(sales, keys).withColumn("fence", F.col("q3") + k * spread)
+    limits = found.withColumn("fence", F.col("q3") + k * spread)
     return limits.filter((F.col("total") >= min_rows) & (spread > 0) & (F.col("top") > F.col("fence"))).select(*keys, "fence")
 
 

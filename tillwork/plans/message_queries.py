@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.messages import command, is_first_contact_greeting
 from tillwork.operators import client_ops, folds
+from tillwork.plans.figure_queries import quartiles_sql
 from tillwork.plans.registry import query
-from tillwork.plans.views import CHAT_SQL, CLIENTS_SQL, chat_messages, client_table, table
+from tillwork.plans.views import CHAT_SQL, CLIENTS_SQL, EVENT_SALES_SQL, chat_messages, client_table, event_sales, table
 from tillwork.staging import new_path
 from tillwork.streaming import windows
+from tillwork.streaming.fence import fence_in_batches, within_fence
 from tillwork.streaming.folds import fold_in_batches, fold_in_order, sales_from_chat, waiting_effects
 from tillwork.vocabulary import COMMANDS, FIRST_CONTACT_GREETINGS
 
@@ -169,6 +171,18 @@ def rate_windows(spark: SparkSession, sf: str) -> DataFrame:
     return newest.withColumn("window_start", F.date_format("window_start", _AT))
 
 
+@query("stream_fence", f"""WITH {EVENT_SALES_SQL}, {quartiles_sql('ev', 'client_id')}
+SELECT client_id, event_id, amount FROM ev JOIN quart USING (client_id) WHERE NOT (total >= 4 AND q3 > q1 AND amount > q3 + 3 * (q3 - q1))""")
+def stream_fence(spark: SparkSession, sf: str) -> DataFrame:
+    """The outlier fence of event users' sales, which arrive in three deliveries."""
+    sales, path = event_sales(spark, sf).select("client_id", "source_id", "row_ix", "amount"), new_path(spark, "fence")
+    for i in range(3):
+        _deliver(sales.filter(F.col("row_ix") % 3 == i), path)
+        feed = spark.readStream.schema(sales.schema).parquet(f"{path}/in")
+        fence_in_batches(feed, path, f"{path}/checkpoint", 8).trigger(availableNow=True).start().awaitTermination()
+    return within_fence(spark, path).select("client_id", F.col("row_ix").alias("event_id"), "amount")
+
+
 @query("running_kpis", """SELECT user_id AS client_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total,
   count(*) AS transactions FROM events GROUP BY ALL""")
 def running_kpis(spark: SparkSession, sf: str) -> DataFrame:

@@ -69,9 +69,17 @@ class CommitLog:
             raise
         return after + 1
 
-    def forget(self, keep: int) -> list[dict]:
-        """Drop all but the ``keep`` newest entries; returns those that are left."""
+    def latest_before(self, batch: int | None) -> tuple[int, dict] | None:
+        """The newest (version, entry) whose ``batch`` is an earlier one; None if there is none."""
+        for version in reversed(self.versions()):
+            entry = self.read(version)
+            if batch is None or entry["batch"] < batch:
+                return version, entry
+        return None
+
+    def forget(self, before: int) -> list[dict]:
+        """Drop the entries of versions before ``before``; returns those that are left."""
         versions = self.versions()
-        for version in versions[:-keep]:
+        for version in (v for v in versions if v < before):
             self._fs.delete(self._file(version), False)
-        return [self.read(v) for v in versions[-keep:]]
+        return [self.read(v) for v in versions if v >= before]

@@ -39,10 +39,9 @@ class SeenIds:
 
     def _before(self, batch: int | None) -> dict:
         """The newest entry of an earlier batch."""
-        for version in reversed(self.log.versions()):
-            entry = self.log.read(version)
-            if batch is None or entry["batch"] < batch:
-                return entry
+        found = self.log.latest_before(batch)
+        if found is not None:
+            return found[1]
         return {"batch": -1, "rows": 0, "ids": self._empty("ids", "message_id", IDS).entry(), "filters": self._empty("filters", "home", FILTERS).entry()}
 
     def _empty(self, name: str, key: str, columns: str) -> BucketTable:
@@ -78,11 +77,12 @@ class SeenIds:
             filters = filters.merged(_bitmaps(fresh, table), _united, _held(fresh.select(table.bucket().alias("home")), filters))
         version, _ = self.log.latest()
         self.log.commit({"batch": batch, "rows": total, "ids": table.entry(), "filters": filters.entry()}, version)
-        self._tidy()
+        self._tidy(batch)
 
-    def _tidy(self) -> None:
-        """Drop all but the two newest entries, and folders that neither names; a repeated batch needs the older one."""
-        kept = self.log.forget(2)
+    def _tidy(self, batch: int) -> None:
+        """Drop entries, and folders that none names, but for what a repetition of ``batch`` starts from."""
+        base = self.log.latest_before(batch)
+        kept = self.log.forget(base[0] if base else 0)
         used = {f for entry in kept for name in ("ids", "filters") for folders in entry[name]["folders"].values() for f in folders}
         runs = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in used}
         hadoop = self.spark._jvm.org.apache.hadoop.fs
