@@ -19,7 +19,7 @@ NUMBERS = {
     "250 MT": 250.0, "Mt 5": None, "1 500 000": 1500000.0, "1,234.56": None, "1,234": 1.234, "0.125": 125.0,
     "inf": None, "nan": None, "None": None, "": None, "-100": -100.0, "$5": None, "1d": None, "0x10": None,
     " 12 ": 12.0, "1_000": None, "12%": None, "+5": 5.0, "1.234.567,89": 1234567.89, "1 500": 1500.0, "1e5": 100000.0,
-    "5 MT 30": None, "5 MT 300": 5300.0, "1.5 000": 15000.0, "usd7": 7.0, "MMTT 5": 5.0, "1e400": None, ".5": 0.5, "5.": 5.0,
+    "5 MT 30": None, "5 MT 300": 5300.0, "1.5 000": 15000.0, "usd7": 7.0, "MMTT 5": 5.0, "1e400": None, "1" * 250: float("1" * 250), "9" * 400: None, "1e9999999999": None, "25e-101": 25e-101, "0" * 300 + "7": 7.0, ".5": 0.5, "5.": 5.0,
 }
 DATES = {
     "2026-06-03 14:30:05": "2026-06-03 14:30:05", "2026-06-03 14:30": "2026-06-03 14:30:00", "03/06/2026 14:30": "2026-06-03 14:30:00",

@@ -11,13 +11,19 @@ _SPACE = r"[\s\x1c-\x1f]"
 _CURRENCY = "(?:" + "|".join(CURRENCY_WORDS) + ")"
 # Already plain: neither currency, thousands mark nor comma can occur in it.
 _PLAIN = r"^[0-9]+(?:\.[0-9]{1,2})?$"
-# What a cast may accept. Keeps out Java spellings such as 1d, NaN, Infinity, and lengths that overflow.
-_DECIMAL = rf"(?U)^{_SPACE}*([+-]?(?:[0-9]{{1,200}}\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{{1,2}})?){_SPACE}*$"
+# What a cast may accept. Keeps out Java spellings such as 1d, NaN and Infinity.
+_DECIMAL = rf"(?U)^{_SPACE}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){_SPACE}*$"
+
+
+def _finite(text: Column) -> Column:
+    """A number beyond the range of a double is NULL."""
+    number = text.try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def parse_decimal(c: Column) -> Column:
-    """Plain decimal text to double; anything else is NULL."""
-    return F.regexp_extract(c, _DECIMAL, 1).try_cast("double")
+    """Plain decimal text to double, however long; anything else is NULL."""
+    return _finite(F.regexp_extract(c, _DECIMAL, 1))
 
 
 def parse_number(c: Column) -> Column:
@@ -30,4 +36,4 @@ def parse_number(c: Column) -> Column:
     text = F.regexp_replace(text, r"(?U)\s(?=\d{3}(?!\d))", "")
     text = F.regexp_replace(text, r"\.(?=[0-9]{3})", "")
     local = parse_decimal(F.replace(text, F.lit(","), F.lit(".")))
-    return F.when(c.rlike(_PLAIN), c.try_cast("double")).otherwise(local)
+    return F.when(c.rlike(_PLAIN), _finite(c)).otherwise(local)

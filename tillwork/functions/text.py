@@ -65,6 +65,12 @@ def round_even(c: Column, decimals: int) -> Column:
     return fixed(c, decimals).cast("double")
 
 
+def whole(c: Column) -> Column:
+    """A double without its fraction; no size is out of range."""
+    # From 2^53 on a double has no fraction.
+    return F.when(F.abs(c) < 2.0**53, c.cast("long").cast("double")).otherwise(c)
+
+
 def money(c: Column) -> Column:
     return F.concat(F.lit("MZN "), F.format_number(c, 2))
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwork.functions.text import hour_band, is_service, round_even
+from tillwork.functions.text import hour_band, is_service, round_even, whole
 
 CLIENT = ["client_id"]
 TOP_N = 5
@@ -20,9 +20,6 @@ EMPTY_PERIOD = "empty_period"
 NO_ITEM_COLUMN = "no_item_column"
 
 
-MOST = 2**63 - 1  # what a whole number column holds; larger quantities are shown as this
-
-
 def exact_sum(c: Column | str) -> Column:
     """Sum that does not depend on row order, as double.
 
@@ -159,14 +156,14 @@ def item_totals(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
 
 
 def top_items(sales: DataFrame, n: int = TOP_N, keys: Sequence[str] = CLIENT) -> DataFrame:
-    """The ``n`` leading items per client with rank, whole quantity and revenue.
+    """The ``n`` leading items per client with rank, whole quantity (a double, so of any size) and revenue.
 
     Items are summed before they are ranked, and Spark cuts each task to its own ``n`` rows per
     client before the shuffle, so the window never sees a client's full item list.
     """
     order = Window.partitionBy(*keys).orderBy(F.desc("weight"), F.asc("item"))
     ranked = item_totals(sales, keys).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return ranked.select(*keys, "rank", "item", F.coalesce(F.col("quantity").try_cast("long"), F.when(F.col("quantity") > 0, F.lit(MOST))).alias("quantity"), "amount")
+    return ranked.select(*keys, "rank", "item", whole(F.col("quantity")).alias("quantity"), "amount")
 
 
 def item_of_day(sales: DataFrame, keys: Sequence[str] = CLIENT) -> DataFrame:
@@ -232,7 +229,7 @@ def kpis(
         result = result.withColumns({
             "peak_hour": F.lit(None).cast("string"),
             "vs_yesterday_pct": F.lit(None).cast("double"),
-            "item_of_day": F.lit(None).cast("struct<item:string,quantity:bigint,amount:double>"),
+            "item_of_day": F.lit(None).cast("struct<item:string,quantity:double,amount:double>"),
         })
     return result.withColumns({
         "month_name": F.date_format(F.lit(as_of).cast("date"), "MMMM"),

@@ -53,7 +53,7 @@ def highlights(kpi_rows: DataFrame) -> DataFrame:
     """Item of the day, peak hour and change against yesterday; ``-`` where missing."""
     item = F.col("item_of_day")
     item_text = F.concat(
-        title_case(strip(item["item"])), F.lit("\n"), item["quantity"].cast("string"), F.lit(" un . "), money(item["amount"])
+        title_case(strip(item["item"])), F.lit("\n"), fixed(item["quantity"], 0), F.lit(" un . "), money(item["amount"])
     )
     change = F.concat(signed_percent(F.col("vs_yesterday_pct"), " "), F.lit(" vs ontem"))
     dash = F.lit("-")
@@ -72,7 +72,7 @@ def top_rows(top: DataFrame) -> DataFrame:
         "client_id", "rank", "item", "quantity",
         F.concat(fixed(F.col("share_pct"), 1), F.lit("% do Top 5")).alias("share"),
         short.alias("short_name"),
-        F.concat(F.col("quantity").cast("string"), F.lit(" oc.")).alias("count_label"),
+        F.concat(fixed(F.col("quantity"), 0), F.lit(" oc.")).alias("count_label"),
         F.concat(fixed(F.col("share_pct"), 0), F.lit("% do total")).alias("share_label"),
         "ratio_to_max",
     )
@@ -122,7 +122,7 @@ def summary_text(kpi_rows: DataFrame, as_of: dt.date) -> DataFrame:
         F.concat(F.lit("Faturação: "), total, F.lit(" MZN")),
         count_line,
         ticket_line,
-        F.concat(label("summary_item_of_day"), F.lit(": "), item["item"], F.lit(" ("), item["quantity"].cast("string"), F.lit(" un)")),
+        F.concat(label("summary_item_of_day"), F.lit(": "), item["item"], F.lit(" ("), fixed(item["quantity"], 0), F.lit(" un)")),
         F.concat(F.lit("Hora de pico: "), F.col("peak_hour")),
         F.concat(F.lit("Vs ontem: "), signed_percent(F.col("vs_yesterday_pct"))),
     )
@@ -138,7 +138,7 @@ def top_text(clients: DataFrame, top: DataFrame) -> DataFrame:
     five lines per client.
     """
     line = F.concat(
-        F.col("rank").cast("string"), F.lit(". "), F.col("item"), F.lit(" - "), F.col("quantity").cast("string"), F.lit(" ocorrências")
+        F.col("rank").cast("string"), F.lit(". "), F.col("item"), F.lit(" - "), fixed(F.col("quantity"), 0), F.lit(" ocorrências")
     )
     listed = top.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))["line"].alias("_lines"))
     heading = F.concat(F.lit("Top 5 "), label("plural"), F.lit(" ("), F.col("cadence"), F.lit("):\n"))

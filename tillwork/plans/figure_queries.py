@@ -88,7 +88,9 @@ def sales_sink(spark: SparkSession, sf: str) -> DataFrame:
     CASE (order_ref + row_ix) % 50 WHEN 0 THEN 1e15 WHEN 1 THEN 1e30 ELSE amount END AS amount,
     CASE (order_ref + row_ix) % 50 WHEN 2 THEN 1e20 WHEN 3 THEN 1e30 ELSE quantity END AS quantity, cents, (order_ref + row_ix) % 50 < 4 AS odd FROM sv)
 SELECT client_id, count(*) AS rows, CAST(sum(cents) FILTER (NOT odd) AS DOUBLE) AS plain_total, max(amount) AS most,
-       sum(amount) >= 1e15 AS far, max(quantity) >= 1e20 AS many FROM planted GROUP BY client_id""")
+       sum(amount) >= 1e15 AS far, any_value(top_quantity) AS top_quantity
+FROM planted JOIN (SELECT client_id, CAST(format('{{:.4g}}', max(q)) AS DOUBLE) AS top_quantity FROM
+  (SELECT client_id, item, trunc(sum(quantity)) AS q FROM planted GROUP BY client_id, item) GROUP BY client_id) USING (client_id) GROUP BY client_id""")
 def extreme_values(spark: SparkSession, sf: str) -> DataFrame:
     """Sales with totals of 1e15 and 1e30 and quantities of 1e20 and 1e30 planted by key: nothing stops or is dropped."""
     pick = (F.col("order_ref") + F.col("row_ix")) % 50
@@ -96,7 +98,8 @@ def extreme_values(spark: SparkSession, sf: str) -> DataFrame:
         "amount": F.when(pick == 0, 1e15).when(pick == 1, 1e30).otherwise(F.col("amount")),
         "quantity": F.when(pick == 2, 1e20).when(pick == 3, 1e30).otherwise(F.col("quantity")), "odd": pick < 4,
     })
-    top = kpis.top_items(planted, 1).select("client_id", (F.col("quantity") >= kpis.MOST).alias("many"))
+    # Four digits, since doubles of this size are not added in one order.
+    top = kpis.top_items(planted, 1).select("client_id", F.format_string("%.3e", "quantity").cast("double").alias("top_quantity"))
     sums = planted.groupBy("client_id").agg(
         F.count("*").alias("rows"), kpis.exact_sum(F.when(~F.col("odd"), F.col("amount"))).alias("plain_total"), F.max("amount").alias("most"),
         (kpis.exact_sum("amount") >= 1e15).alias("far"),
@@ -114,12 +117,12 @@ def daily_change(spark: SparkSession, sf: str) -> DataFrame:
     return days.select("client_id", _day("day"), "revenue", "rows", "revenue_before", "change_pct")
 
 
-@query("top5_items_by_client", f"WITH {SALES_SQL}, {SV_TOP} SELECT * FROM top")
+@query("top5_items_by_client", f"WITH {SALES_SQL}, {SV_TOP} SELECT * REPLACE (CAST(quantity AS DOUBLE) AS quantity) FROM top")
 def top5_items_by_client(spark: SparkSession, sf: str) -> DataFrame:
     return kpis.top_items(sales_view(spark, sf))
 
 
-@query("top5_services_by_revenue", f"WITH {EVENT_SALES_SQL}, {top_sql('ev', 'count(*)', 'sum(cents)')} SELECT * FROM top")
+@query("top5_services_by_revenue", f"WITH {EVENT_SALES_SQL}, {top_sql('ev', 'count(*)', 'sum(cents)')} SELECT * REPLACE (CAST(quantity AS DOUBLE) AS quantity) FROM top")
 def top5_services_by_revenue(spark: SparkSession, sf: str) -> DataFrame:
     return kpis.top_items(event_sales(spark, sf, "servicos"))
 
@@ -129,7 +132,7 @@ shares AS (SELECT client_id, rank, quantity,
    array_to_string(list_transform(string_split(item, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS item,
    CAST(quantity AS DOUBLE) / CAST(sum(quantity) OVER (PARTITION BY client_id) AS DOUBLE) * 100 AS pct,
    CAST(quantity AS DOUBLE) / CAST(max(quantity) OVER (PARTITION BY client_id) AS DOUBLE) AS ratio_to_max FROM top)
-SELECT client_id, rank, item, quantity, CASE WHEN length(item) > 26 THEN item[1:24] || '...' ELSE item END AS short_name,
+SELECT client_id, rank, item, CAST(quantity AS DOUBLE) AS quantity, CASE WHEN length(item) > 26 THEN item[1:24] || '...' ELSE item END AS short_name,
        format('{{:.1f}}', pct) || '% do Top 5' AS share,
        quantity || ' oc.' AS count_label, format('{{:.0f}}', pct) || '% do total' AS share_label, ratio_to_max FROM shares""")
 def top5_share(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +140,7 @@ def top5_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("item_of_day", f"""WITH {EVENT_SALES_SQL}, today AS (SELECT * FROM ev WHERE day = (SELECT d FROM as_of)),
-{top_sql('today', 'count(*)', 'count(*)', n=1)} SELECT client_id, item, quantity, amount FROM top""")
+{top_sql('today', 'count(*)', 'count(*)', n=1)} SELECT client_id, item, CAST(quantity AS DOUBLE) AS quantity, amount FROM top""")
 def item_of_day(spark: SparkSession, sf: str) -> DataFrame:
     events = event_sales(spark, sf)
     today = periods.filter_period(events, periods.TODAY, last_day(table(spark, sf, "events"), "ts"))
@@ -240,7 +243,7 @@ SELECT k AS client_id, coalesce(s.total, 0) AS total, coalesce(transactions, 0)
        coalesce(s.total / transactions, 0) AS avg_ticket,
        strftime(coalesce(best_day, (SELECT d FROM last_ship)), '%Y-%m-%d') AS best_day,
        strftime((SELECT d FROM last_ship), '%B') AS month_name, peak_hour, vs_yesterday_pct,
-       top.item AS top_item, top.quantity AS top_quantity, top.amount AS top_amount,
+       top.item AS top_item, CAST(top.quantity AS DOUBLE) AS top_quantity, top.amount AS top_amount,
        coalesce(nullif(business_type, ''), 'retalho') AS business_type, coalesce(o.n, 0) AS rows_outside_period,
        CASE WHEN s.total IS NULL THEN 'no_valid_rows' ELSE 'ok' END AS status
 FROM clients c LEFT JOIN sums s ON s.client_id = k LEFT JOIN best b ON b.client_id = k LEFT JOIN peak p ON p.client_id = k

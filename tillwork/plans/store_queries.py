@@ -125,7 +125,7 @@ kept AS (SELECT * FROM fenced QUALIFY year(sale_ts) = max(year(sale_ts)) OVER (P
 sums AS (SELECT client_id, CAST(sum(cents) AS DOUBLE) AS total, count(DISTINCT order_ref) AS transactions FROM kept GROUP BY client_id),
 outside AS (SELECT client_id, count(*) AS n FROM fenced GROUP BY client_id)
 SELECT k AS client_id, coalesce(s.total, 0) AS total, coalesce(transactions, 0) AS transactions, strftime(coalesce(best_day, (SELECT d FROM last_ship)), '%Y-%m-%d') AS best_day,
-  peak_hour, vs_yesterday_pct, top.item AS top_item, top.quantity AS top_quantity, top.amount AS top_amount,
+  peak_hour, vs_yesterday_pct, top.item AS top_item, CAST(top.quantity AS DOUBLE) AS top_quantity, top.amount AS top_amount,
   coalesce(o.n - (SELECT count(*) FROM kept WHERE kept.client_id = k), 0) AS rows_outside_period, CASE WHEN s.total IS NULL THEN 'no_valid_rows' ELSE 'ok' END AS status
 FROM clients LEFT JOIN sums s ON s.client_id = k LEFT JOIN best b ON b.client_id = k LEFT JOIN peak p ON p.client_id = k
 LEFT JOIN change ch ON ch.client_id = k LEFT JOIN top ON top.client_id = k LEFT JOIN outside o ON o.client_id = k"""
