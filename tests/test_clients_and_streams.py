@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwork import staging
 from tillwork.operators import client_ops, folds
+from tillwork.plans import chat_reports
 from tillwork.schemas import CLIENTS, SEEN_MESSAGES
 from tillwork.sources import client_table, events
 from tillwork.sources.text_sales import text_lines, text_sales
@@ -212,6 +213,42 @@ def test_mode_fold_equals_message_by_message(chat, block):
     assert got == expected
 
 
+def test_mode_fold_of_a_burst_without_times(spark):
+    """One client's 3000 messages of one second, and as many without a time, are cut into several blocks."""
+    words = F.array(*[F.lit(w) for w in ["5", "6", "x", "1", "5", "cancelar"]])
+    rows = spark.range(6000).select(
+        F.lit("c").alias("client_id"), F.format_string("m%06d", "id").alias("message_id"),
+        F.when(F.col("id") >= 3000, F.timestamp_seconds(F.lit(60))).alias("event_ts"), F.get(words, (F.abs(F.xxhash64("id")) % 6).cast("int")).alias("text"),
+    )
+    got = {r.message_id: (r.mode, r.action) for r in folds.mode_fold(rows).collect()}
+    state, expected = (0, "n", "retalho", "semanal", None), {}
+    for m in sorted(rows.collect(), key=lambda r: r.message_id):
+        mode = state[4] or ""
+        state, action = next_profile(state, m.text)
+        expected[m.message_id] = (mode, action)
+    assert got == expected
+    ranges = rows.repartitionByRange(8, "client_id", "event_ts", "message_id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) == 8 and max(r["count"] for r in ranges) < 1500
+
+
+def test_chat_figures(spark):
+    at = dt.datetime(2026, 6, 7, 9)
+    told = spark.createDataFrame([
+        ("c", "m1", at, "Frango, 2, 30\nPeixe, 1, 50\nFrango, 1, 15\nlixo", "sales_text", "retalho"), ("c", "m2", at, "Frango, 0, 30", "sales_text", "retalho"),
+        ("c", "m3", at, "vendi muito", "sales_text", "retalho"), ("s", "m4", at, "", "sales_text", "servicos"), ("s", "m5", at, "Corte, 1, 9", "help", "servicos"),
+    ], "client_id string, message_id string, event_ts timestamp, text string, action string, business_type string")
+    rows, top = chat_reports.chat_figures(told)
+    got = {r.source_id: r for r in rows.collect()}
+    assert {k: (r.total, r.transactions, r.status) for k, r in got.items()} == {
+        "m1": (95.0, 3, "ok"), "m2": (0.0, 0, "no_valid_rows"), "m3": (0.0, 0, "unreadable"), "m4": (0.0, 0, "unreadable"),
+    }
+    assert got["m1"].best_day == at.date() and got["m1"].reply is None and got["m2"].reply is None
+    assert "Frango, 3, 250" in got["m3"].reply and "Consultoria" in got["m4"].reply
+    assert [(r.source_id, r.item, r.quantity) for r in top.orderBy("source_id", "rank").collect()] == [("m1", "Frango", 3.0), ("m1", "Peixe", 1.0)]
+    none, _ = chat_reports.chat_figures(told.filter("false"))
+    assert none.count() == 0
+
+
 @pytest.mark.parametrize("begin", ["", "aguardar_vendas", "aguardar_frequencia"])
 def test_mode_fold_of_one_client_in_many_blocks(spark, begin):
     """A third of the words change modes, every message is a block of its own, and ten have no time."""

@@ -93,6 +93,11 @@ def test_fence_is_per_dataset(sales):
     assert {(r.client_id, r.amount) for r in kept.collect()} == {(r["client_id"], r["amount"]) for r in rows} - {("a", 50.0)}
 
 
+def test_fence_of_a_client_without_a_name(sales):
+    kept = silver.iqr_fence(sales(*[{"client_id": c, "source_id": s, "amount": float(x)} for c, s in ((None, "s"), ("a", None)) for x in (10, 11, 12, 13, 50)]))
+    assert sorted((r.amount, r.client_id is None) for r in kept.collect()) == sorted((float(x), c) for x in (10, 11, 12, 13) for c in (True, False))
+
+
 def test_shared_folder_is_required_off_local(spark, monkeypatch):
     class Context:
         master = "yarn"

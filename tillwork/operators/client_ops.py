@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.text import normalise_phone
 from tillwork.staging import attach
-from tillwork.vocabulary import DEFAULT_CADENCE
+from tillwork.vocabulary import DEFAULT_CADENCE, REMINDER, UNNAMED
 
 GRACE_SECONDS = 3600
 # Hour of the day at which each cadence fires.
@@ -114,11 +114,8 @@ def with_file(clients: DataFrame) -> DataFrame:
 
 def reminders(clients: DataFrame, files: DataFrame) -> DataFrame:
     """Clients that have no file yet, with the text that asks for one."""
-    name = F.coalesce(F.nullif("name", F.lit("")), F.lit("Cliente"))
-    text = F.concat(
-        F.lit("Ola "), name,
-        F.lit("! Ainda nao recebi os teus dados. Envia o ficheiro para receberes o teu relatorio!"),
-    )
+    name = F.coalesce(F.nullif("name", F.lit("")), F.lit(UNNAMED))
+    text = F.format_string(REMINDER, name)
     return clients.join(files.select("client_id"), "client_id", "left_anti").select("client_id", text.alias("reminder"))
 
 

@@ -64,15 +64,21 @@ def mode_fold(
     """Mode in which each message of a registered client is read, and what it does there.
 
     A message in sales mode is sales text whatever it says, and ends the mode; cadence mode lasts
-    until ``cancelar`` or a valid code. Histories are cut into blocks (by default minutes, so that a
-    burst is split too): each block is worked out for the three modes it may start in, and the rows
-    pick the case that applies. Only a client's blocks, whose number the calendar bounds, are put in
-    order behind each other; that is a window, which spills and gathers nothing.
+    until ``cancelar`` or a valid code. Histories are cut into blocks: each is worked out for the
+    three modes it may start in, and the rows pick the case that applies. By default messages are dealt by
+    range of client and order, and a client's messages in one range are a block: so a burst, or many messages
+    without a time, are cut wherever they are dense. ``block`` gives other blocks, as a column that rises with the order.
+    Only a client's blocks are put in order behind each other, in a window; of ranges it has at most as many as there are tasks.
     ``initial`` (``client_id``, ``mode``) says in which mode clients begin, if not in none.
     Messages without a time come first.
     """
     if block is None:
-        block = F.coalesce(F.date_trunc("minute", "event_ts"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+        ranges = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = messages.repartitionByRange(ranges, "client_id", *order)
+        # Written, so that a message never changes its block.
+        messages = stage(dealt.withColumn("block", F.spark_partition_id()), "blocks")
+        block = F.col("block")
+    columns = [c for c in messages.columns if c != "block"]
     text = F.col("text")
     ends_cadence = is_cancel(text) | cadence_code(text).isNotNull()
     kind = (
@@ -106,7 +112,7 @@ def mode_fold(
             state = F.when(F.col("n") == 1, MODE_SALES).otherwise(state)
         rows = rows.withColumn(f"in_{start}", state)
     rows = rows.withColumn("in_cadence", F.when(F.col("last_exit") == 0, MODE_CADENCE).otherwise(F.col("in_idle")))
-    rows = stage(rows.select(*messages.columns, "block", "kind", "n", "in_idle", "in_sales", "in_cadence"), "modes")
+    rows = stage(rows.select(*columns, "block", "kind", "n", "in_idle", "in_sales", "in_cadence"), "modes")
 
     ends = rows.groupBy("client_id", "block").agg(*[
         F.max_by(_next_mode(F.col(f"in_{s}"), F.col("kind")), "n").alias(f"end_{s}") for s in ("idle", "sales", "cadence")
@@ -115,7 +121,7 @@ def mode_fold(
     mode = _pick(F.col("start"), F.col("in_idle"), F.col("in_sales"), F.col("in_cadence"))
     result = starts.withColumn("mode", mode)
     return result.select(
-        *messages.columns, "mode", _action(F.col("mode"), text).alias("action"),
+        *columns, "mode", _action(F.col("mode"), text).alias("action"),
         F.when(F.col("mode") == MODE_CADENCE, cadence_code(text)).alias("new_cadence"),
         _next_mode(F.col("mode"), F.col("kind")).alias("mode_after"),
     )

@@ -45,7 +45,7 @@ def in_latest_year(sales: DataFrame, keys: Sequence[str] = DATASET, ts: str = "s
     Datasets that span a single year need no lookup and are left out of the joined table.
     """
     several = latest_years(sales, keys, ts).filter("latest_year > first_year").drop("first_year")
-    joined = attach(sales, several, list(keys), "left")
+    joined = attach(sales, several, list(keys), "left", null_safe=True)
     return joined.withColumn("in_period", F.coalesce(F.year(ts) == F.col("latest_year"), F.lit(True))).drop("latest_year")
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwork import vocabulary
 from tillwork.functions.text import fixed, is_service, money, safe_filename, signed_percent, strip, title_case
 from tillwork.operators.kpis import with_shares
 from tillwork.vocabulary import (
@@ -53,9 +55,9 @@ def highlights(kpi_rows: DataFrame) -> DataFrame:
     """Item of the day, peak hour and change against yesterday; ``-`` where missing."""
     item = F.col("item_of_day")
     item_text = F.concat(
-        title_case(strip(item["item"])), F.lit("\n"), fixed(item["quantity"], 0), F.lit(" un . "), money(item["amount"])
+        title_case(strip(item["item"])), F.lit("\n"), fixed(item["quantity"], 0), F.lit(vocabulary.UNITS), money(item["amount"])
     )
-    change = F.concat(signed_percent(F.col("vs_yesterday_pct"), " "), F.lit(" vs ontem"))
+    change = F.concat(signed_percent(F.col("vs_yesterday_pct"), " "), F.lit(vocabulary.AGAINST_YESTERDAY))
     dash = F.lit("-")
     return _rows(kpi_rows, [
         (label("item_of_day"), F.coalesce(item_text, dash)),
@@ -70,10 +72,10 @@ def top_rows(top: DataFrame) -> DataFrame:
     short = F.when(F.length("item") > 26, F.concat(F.substring("item", 1, 24), F.lit("..."))).otherwise(F.col("item"))
     return with_shares(top).withColumn("item", name).select(
         "client_id", "rank", "item", "quantity",
-        F.concat(fixed(F.col("share_pct"), 1), F.lit("% do Top 5")).alias("share"),
+        F.concat(fixed(F.col("share_pct"), 1), F.lit(vocabulary.OF_TOP)).alias("share"),
         short.alias("short_name"),
-        F.concat(fixed(F.col("quantity"), 0), F.lit(" oc.")).alias("count_label"),
-        F.concat(fixed(F.col("share_pct"), 0), F.lit("% do total")).alias("share_label"),
+        F.concat(fixed(F.col("quantity"), 0), F.lit(vocabulary.COUNT_UNITS)).alias("count_label"),
+        F.concat(fixed(F.col("share_pct"), 0), F.lit(vocabulary.OF_TOTAL)).alias("share_label"),
         "ratio_to_max",
     )
 
@@ -91,10 +93,11 @@ def top_chart(top: DataFrame) -> DataFrame:
 def insights(clients: DataFrame, top: DataFrame) -> DataFrame:
     """Recommendation built on the leading item, or the sentence for too little data."""
     leading = top.filter("rank = 1").select("client_id", F.upper(strip(F.col("item"))).alias("_leader"))
-    sentence = F.concat(
-        F.lit("O "), label("insight_item"), F.lit(" "), F.col("_leader"),
-        F.lit(" lidera o periodo em volume. "), label("insight_action"),
-    )
+    parts = {"item": label("insight_item"), "leader": F.col("_leader"), "action": label("insight_action")}
+    sentence = F.concat(*[
+        part for text, name, _, _ in Formatter().parse(vocabulary.INSIGHT_LEADER)
+        for part in (F.lit(text), *([parts[name]] if name else []))
+    ])
     text = F.concat(F.lit(INSIGHT_PREFIX), F.coalesce(sentence, F.lit(INSIGHT_NO_DATA)))
     return clients.select("client_id", "business_type").join(leading, "client_id", "left").select("client_id", text.alias("insight"))
 
@@ -103,30 +106,30 @@ def summary_text(kpi_rows: DataFrame, as_of: dt.date) -> DataFrame:
     """Short message per client; its form depends on ``cadence``. Lines without a value are left out."""
     total, ticket = fixed(F.col("total"), 2), fixed(F.col("avg_ticket"), 2)
     count = F.col("transactions").cast("string")
-    best_day = F.concat(F.lit("Melhor dia: "), F.date_format("best_day", "yyyy-MM-dd"))
+    best_day = F.concat(F.lit(vocabulary.SUMMARY_BEST_DAY), F.date_format("best_day", "yyyy-MM-dd"))
     ticket_line = F.concat(label("summary_ticket"), F.lit(": "), ticket, F.lit(" MZN"))
     count_line = F.concat(label("summary_items"), F.lit(": "), count)
-    revenue_line = F.concat(F.lit("Faturação total: "), total, F.lit(" MZN"))
+    revenue_line = F.concat(F.lit(vocabulary.SUMMARY_REVENUE), total, F.lit(" MZN"))
     item = F.col("item_of_day")
     monthly = F.concat_ws(
         "\n",
-        F.concat(F.lit("Resumo do Mês ("), F.col("month_name"), F.lit("):")),
+        F.concat(F.lit(vocabulary.SUMMARY_MONTH), F.col("month_name"), F.lit("):")),
         revenue_line,
-        F.concat(F.lit("Transacções: "), count),
+        F.concat(F.lit(vocabulary.SUMMARY_TRANSACTIONS), count),
         ticket_line,
         best_day,
     )
     daily = F.concat_ws(
         "\n",
-        F.concat(F.lit("Resumo de hoje ("), F.date_format(F.lit(as_of), _DAY), F.lit("):")),
-        F.concat(F.lit("Faturação: "), total, F.lit(" MZN")),
+        F.concat(F.lit(vocabulary.SUMMARY_DAY), F.date_format(F.lit(as_of), _DAY), F.lit("):")),
+        F.concat(F.lit(vocabulary.SUMMARY_DAY_REVENUE), total, F.lit(" MZN")),
         count_line,
         ticket_line,
-        F.concat(label("summary_item_of_day"), F.lit(": "), item["item"], F.lit(" ("), fixed(item["quantity"], 0), F.lit(" un)")),
-        F.concat(F.lit("Hora de pico: "), F.col("peak_hour")),
-        F.concat(F.lit("Vs ontem: "), signed_percent(F.col("vs_yesterday_pct"))),
+        F.concat(label("summary_item_of_day"), F.lit(": "), item["item"], F.lit(" ("), fixed(item["quantity"], 0), F.lit(vocabulary.UNITS_OF_ITEM)),
+        F.concat(F.lit(vocabulary.SUMMARY_PEAK_HOUR), F.col("peak_hour")),
+        F.concat(F.lit(vocabulary.SUMMARY_CHANGE), signed_percent(F.col("vs_yesterday_pct"))),
     )
-    weekly = F.concat_ws("\n", F.lit("Resumo da semana:"), revenue_line, count_line, ticket_line, best_day)
+    weekly = F.concat_ws("\n", F.lit(vocabulary.SUMMARY_WEEK), revenue_line, count_line, ticket_line, best_day)
     text = F.when(F.col("cadence") == MONTHLY, monthly).when(F.col("cadence") == DAILY, daily).otherwise(weekly)
     return kpi_rows.select("client_id", text.alias("summary"))
 
@@ -138,11 +141,11 @@ def top_text(clients: DataFrame, top: DataFrame) -> DataFrame:
     five lines per client.
     """
     line = F.concat(
-        F.col("rank").cast("string"), F.lit(". "), F.col("item"), F.lit(" - "), fixed(F.col("quantity"), 0), F.lit(" ocorrências")
+        F.col("rank").cast("string"), F.lit(". "), F.col("item"), F.lit(" - "), fixed(F.col("quantity"), 0), F.lit(vocabulary.OCCURRENCES)
     )
     listed = top.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))["line"].alias("_lines"))
-    heading = F.concat(F.lit("Top 5 "), label("plural"), F.lit(" ("), F.col("cadence"), F.lit("):\n"))
-    none = F.concat(F.lit("Não foi possível identificar "), label("plural"), F.lit(" no teu ficheiro."))
+    heading = F.concat(F.lit(vocabulary.TOP_HEADING), label("plural"), F.lit(" ("), F.col("cadence"), F.lit("):\n"))
+    none = F.concat(F.lit(vocabulary.TOP_NONE), label("plural"), F.lit(vocabulary.TOP_NONE_END))
     text = F.coalesce(F.concat(heading, F.array_join("_lines", "\n")), none)
     return clients.join(listed, "client_id", "left").select("client_id", text.alias("top_text"))
 
@@ -156,13 +159,13 @@ def period_label(clients: DataFrame, as_of: dt.date) -> DataFrame:
     own = F.col("report_label")
     generated = F.coalesce(own.contains("_"), F.lit(False))
     day = F.date_format(F.lit(as_of), _DAY)
-    month = F.concat(F.lit("Mes de "), F.date_format(F.lit(as_of), "MMMM"))
-    week = F.concat(F.lit("Semana Comercial ate "), day)
+    month = F.concat(F.lit(vocabulary.MONTH_OF), F.date_format(F.lit(as_of), "MMMM"))
+    week = F.concat(F.lit(vocabulary.WEEK_UNTIL), day)
     heading = (
-        F.when(F.col("cadence") == DAILY, F.concat(F.lit("Relatorio Diario - "), day))
-        .when(generated, F.concat(F.lit("Periodo Comercial ate "), day))
+        F.when(F.col("cadence") == DAILY, F.concat(F.lit(vocabulary.DAY_HEADING), day))
+        .when(generated, F.concat(F.lit(vocabulary.PERIOD_UNTIL), day))
         .otherwise(F.coalesce(F.nullif(own, F.lit("")), F.when(F.col("cadence") == MONTHLY, month).otherwise(week)))
     )
-    file_name = F.when(generated, own).otherwise(F.concat(safe_filename(F.lower("name")), F.lit("_estrategico")))
+    file_name = F.when(generated, own).otherwise(F.concat(safe_filename(F.lower("name")), F.lit(vocabulary.REPORT_NAME_END)))
     return clients.select("client_id", heading.alias("period_label"), file_name.alias("report_name"))
 

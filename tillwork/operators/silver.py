@@ -88,7 +88,7 @@ def limits_of(found: DataFrame, keys: Sequence[str] = DATASET, k: float = 3.0, m
 
 def mark_outliers(sales: DataFrame, limits: DataFrame, keys: Sequence[str] = DATASET) -> DataFrame:
     """Adds ``is_outlier``; datasets without a limit have none."""
-    joined = attach(sales, limits, list(keys), "left")
+    joined = attach(sales, limits, list(keys), "left", null_safe=True)
     return joined.withColumn("is_outlier", F.coalesce(F.col("amount") > F.col("fence"), F.lit(False))).drop("fence")
 
 

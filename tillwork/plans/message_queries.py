@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from tillwork.functions.messages import command, is_first_contact_greeting
 from tillwork.operators import client_ops, folds
 from tillwork.plans.figure_queries import quartiles_sql
+from tillwork.plans.chat_reports import chat_figures as figures_of_chat
 from tillwork.plans.registry import query
 from tillwork.plans.views import CHAT_SQL, CLIENTS_SQL, EVENT_SALES_SQL, chat_messages, client_table, event_sales, table
 from tillwork.staging import new_path
 from tillwork.streaming import windows
 from tillwork.streaming.fence import fence_in_batches, within_fence
 from tillwork.streaming.folds import fold_in_batches, fold_in_order, sales_from_chat, waiting_effects
-from tillwork.vocabulary import COMMANDS, FIRST_CONTACT_GREETINGS
+from tillwork.vocabulary import COMMANDS, FIRST_CONTACT_GREETINGS, SERVICE_TYPES, UNREAD_SALES, UNREAD_SERVICES
 
 _AT = "yyyy-MM-dd HH:mm:ss"
 _SECOND_DELIVERY = "2024-01-16 00:00:00"
@@ -238,3 +239,21 @@ def chat_sales(spark: SparkSession, sf: str) -> DataFrame:
     actions, profiles = _fold_chat(spark, chat_messages(spark, sf))
     told = actions.filter("action = 'sales_text'").join(profiles.select("client_id", "business_type"), "client_id", "left")
     return sales_from_chat(told).select("client_id", "source_id", "item", "quantity", "amount")
+
+
+@query("chat_figures", f"""WITH RECURSIVE {CHAT_SQL}, {_MACHINE_SQL.format(step=1)},
+told AS (SELECT a.client_id, a.message_id AS source_id, kind0, strftime(event_ts, '%Y-%m-%d') AS best_day, a.text = 'Frango, 2, 30' AS read
+  FROM acted a JOIN chat USING (client_id, message_id) WHERE action = 'sales_text')
+SELECT client_id, source_id, CASE WHEN read THEN 30.0 ELSE 0.0 END AS total, CASE WHEN read THEN 1 ELSE 0 END AS transactions,
+  CASE WHEN read THEN 30.0 ELSE 0.0 END AS avg_ticket, best_day, CASE WHEN read THEN 'Frango' END AS top_item, CASE WHEN read THEN 2.0 END AS top_quantity,
+  CASE WHEN read THEN 'ok' ELSE 'unreadable' END AS status,
+  CASE WHEN NOT read THEN CASE WHEN kind0 IN {_in(SERVICE_TYPES)} THEN '{UNREAD_SERVICES}' ELSE '{UNREAD_SALES}' END END AS reply FROM told""")
+def chat_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of every message that the stream read in sales mode, or the reply to one that cannot be read."""
+    actions, profiles = _fold_chat(spark, chat_messages(spark, sf))
+    rows, _ = figures_of_chat(actions.join(profiles.select("client_id", "business_type"), "client_id", "left"))
+    item = F.col("item_of_day")
+    return rows.select(
+        "client_id", "source_id", "total", "transactions", "avg_ticket", F.date_format("best_day", "yyyy-MM-dd").alias("best_day"),
+        item["item"].alias("top_item"), item["quantity"].alias("top_quantity"), "status", "reply",
+    )

@@ -87,15 +87,24 @@ def attach(
     how: str = "left",
     size: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    *,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join a table with one row per group to the rows of those groups.
 
     Up to ``broadcast_bytes`` the table is broadcast, so the rows are not shuffled. Above that it is
     a plain shuffled join, in which the engine splits the partitions of heavy keys at run time
     (``spark.sql.adaptive.skewJoin``): only what a heavy key needs is read more than once.
-    ``size`` skips staging when the caller has measured it.
+    ``size`` skips staging when the caller has measured it. With ``null_safe`` a NULL key is a key like others.
     """
     on = list(on)
     if size is None:
         values, size = stage_measured(values, "attach")
-    return rows.join(F.broadcast(values) if size <= broadcast_bytes else values.hint("merge"), on, how)
+    if not null_safe:
+        return rows.join(_hinted(values, size, broadcast_bytes), on, how)
+    other = _hinted(values.withColumnsRenamed({k: f"_right_{k}" for k in on}), size, broadcast_bytes)
+    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in on], how).drop(*[f"_right_{k}" for k in on])
+
+
+def _hinted(values: DataFrame, size: int, broadcast_bytes: int) -> DataFrame:
+    return F.broadcast(values) if size <= broadcast_bytes else values.hint("merge")

@@ -132,3 +132,20 @@ INSIGHT_NO_DATA = (
     "Volume analitico insuficiente para este periodo. "
     "Assegura que os registos do periodo estao completos e exporta novamente o ficheiro."
 )
+INSIGHT_LEADER = "O {item} {leader} lidera o periodo em volume. {action}"
+SUMMARY_MONTH, SUMMARY_DAY, SUMMARY_WEEK = "Resumo do Mês (", "Resumo de hoje (", "Resumo da semana:"
+SUMMARY_REVENUE, SUMMARY_DAY_REVENUE = "Faturação total: ", "Faturação: "
+SUMMARY_TRANSACTIONS, SUMMARY_BEST_DAY = "Transacções: ", "Melhor dia: "
+SUMMARY_PEAK_HOUR, SUMMARY_CHANGE = "Hora de pico: ", "Vs ontem: "
+AGAINST_YESTERDAY, OF_TOP, OF_TOTAL = " vs ontem", "% do Top 5", "% do total"
+UNITS, UNITS_OF_ITEM, COUNT_UNITS, OCCURRENCES = " un . ", " un)", " oc.", " ocorrências"
+TOP_HEADING = "Top 5 "
+TOP_NONE, TOP_NONE_END = "Não foi possível identificar ", " no teu ficheiro."
+MONTH_OF, WEEK_UNTIL = "Mes de ", "Semana Comercial ate "
+DAY_HEADING, PERIOD_UNTIL, REPORT_NAME_END = "Relatorio Diario - ", "Periodo Comercial ate ", "_estrategico"
+
+# --- chat texts -------------------------------------------------------------
+UNNAMED = "Cliente"
+REMINDER = "Ola %s! Ainda nao recebi os teus dados. Envia o ficheiro para receberes o teu relatorio!"
+UNREAD_SALES = "Não consegui ler as vendas. Usa o formato:\nproduto, quantidade, valor\n\nExemplo:\nFrango, 3, 250"
+UNREAD_SERVICES = "Não consegui ler os serviços. Usa o formato:\nserviço, quantidade, valor\n\nExemplo:\nConsultoria, 1, 5000"
