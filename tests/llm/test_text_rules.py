@@ -1,6 +1,7 @@
 """Decontamination, secrets, HTML text and language: against plain versions, and odd inputs."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -152,8 +153,36 @@ def plain_cut(costs, edges):
     return best
 
 
+def test_names_tell_what_a_block_is():
+    long = "A sentence of the story that goes on for a good while, with commas and all. " * 3
+    text = long.strip()
+    side = f"<main><article><p>{long}</p></article></main>"
+    assert html_text.main_text(f'{side}<div class="no-js sidebar"><p>{long}</p></div>') == text
+    assert html_text.main_text(f'{side}<div class="reader-feedback"><p>{long}</p></div>') == text
+    assert html_text.main_text(f'<article><p>{long}</p></article><div class="legal"><p>{long}</p></div>') == text
+    assert html_text.main_text(f'<main><article class="post social"><p>{long}</p></article></main>') == text
+    assert html_text.main_text(f'<main><div class="legal news"><p>{long}</p></div></main>') == text
+    assert html_text.main_text(f'<main><div class="post category-legal tag-social"><p>{long}</p></div></main>') == text
+    assert html_text.main_text(f'{side}<article class="comment"><p>{long}</p></article>') == text
+    assert html_text.name_words("no-js sidebar withSidebar tag-legal") == {"no", "sidebar", "with", "tag"}
+
+
+def test_minimum_cut_of_many_blocks():
+    begin = time.monotonic()
+    n = 50_000
+    costs = [8.0 if i % 2 else -8.0 for i in range(n)]
+    assert html_text.minimum_cut(costs, [(i - 1, i, 0.9) for i in range(1, n)]) == [bool(i % 2) for i in range(n)]
+    inside = html_text.minimum_cut([0.5 if i % 2 else -0.51 for i in range(n)], [(i - 1, i, 0.9) for i in range(1, n)])
+    assert len(inside) == n and not any(inside)
+    text = "Words of the story go on and on until the end of this line. " * 2
+    page = "<main>" + f"<p>{text}</p><div class='sidebar'>{text}</div>" * 10_000 + "</main>"
+    assert html_text.main_text(page) == " ".join([text.strip()] * 10_000)
+    assert time.monotonic() - begin < 20
+
+
 def test_minimum_cut_is_least():
     import random
+import time
 
     rng = random.Random(4)
     for _ in range(60):

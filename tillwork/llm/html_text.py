@@ -6,10 +6,11 @@ elements above it (kind, class and id words), the share of linked text, length a
 costs are the capacities from the source (content) and to the sink (boilerplate). Blocks that follow each
 other, and blocks of one container, are tied by smoothness edges that grow with the depth of the
 container they share. The minimum cut of that graph is the labelling of least total cost; it is
-found by augmenting paths. Blocks that stay on the source's side are the text.
+found by maximum flow. Blocks that stay on the source's side are the text.
 
 Pages are independent, so nothing is shuffled. NULL, empty and broken html give what can be read of
-it, or the empty text. White space means Unicode white space, as in ``str.split``.
+it, or the empty text. A very long page is one task's work, which grows little faster than its blocks. White space
+means Unicode white space, as in ``str.split``.
 """
 
 from __future__ import annotations
@@ -52,13 +53,17 @@ _GOOD_WORD = 3.0
 # Words of class, id and role names.
 _BAD = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo "
-    "cookie cookies copyright disclaimer discussion disqus footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice "
-    "notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses "
+    "cookie cookies copyright disclaimer discussion disqus feedback footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice "
+    "notices notification outbrain overlay pager pagination paywall popup promo promoted promotion reactions recommended related replies reply respond responses "
     "share sharing sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription taboola tags toolbar topbar trending "
     "widget widgets header alert alerts".split()
 )
-_ABOUT = frozenset("with without has no".split())  # names such as "with-sidebar" are of what stands beside it
+# Names such as "with-sidebar" or "tag-social" tell what stands beside a block or what it is about, not what it is.
+_ABOUT = frozenset("with without has no category tag topic".split())
+# Words that also name what an article is about; they say nothing beside a word of an article, or on an article itself.
+_TOPIC = frozenset("alert alerts discussion legal recommended social trending".split())
 _GOOD = frozenset("article content entry main post story text body".split())
+_ARTICLE_WORDS = _GOOD | {"news"}
 _LINKED = -5.0  # all text in links
 _PER_WORD, _MOST_BY_LENGTH = 0.04, 2.0
 _SHORT = -0.6
@@ -134,7 +139,14 @@ class _Reader:
 
 
 def name_words(text: str) -> set[str]:
-    return set(_WORDS.findall(_BETWEEN.sub(" ", text).lower()))
+    """Words of the names in an attribute, without those that a name only refers to."""
+    found = set()
+    for name in text.split():
+        for word in _WORDS.findall(_BETWEEN.sub(" ", name).lower()):
+            found.add(word)
+            if word in _ABOUT:
+                break
+    return found
 
 
 def element_cost(tag: str, attributes: str, in_article: bool) -> tuple[float, bool]:
@@ -151,7 +163,10 @@ def element_cost(tag: str, attributes: str, in_article: bool) -> tuple[float, bo
             words |= name_words(value)
     if in_article:
         words.discard("header")  # an article's own heading
-    if words & _BAD and not words & _ABOUT:
+    bad = words & _BAD
+    if bad <= _TOPIC and (tag in ("article", "main") or words & _ARTICLE_WORDS):
+        bad = set()
+    if bad:
         cost += _BAD_WORD
     elif words & _GOOD:
         cost += _GOOD_WORD
@@ -207,41 +222,104 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     return edges
 
 
+_TINY = 1e-12
+
+
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for nodes on the source's side; capacities are the costs (source if positive, else sink) and the edges."""
-    n = len(costs)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    """True for nodes on the source's side; capacities are the costs (source if positive, else sink) and the edges.
+
+    A node whose own capacity outweighs all its edges lies on that side of every minimum cut; such nodes are settled
+    first, and what they are tied to takes the tie as capacity of its own. The maximum flow through the rest is found in
+    phases: levels by breadth first search, then all shortest paths of that length, no arc being tried twice.
+    """
+    cost = list(costs)
+    near: list[dict[int, float]] = [{} for _ in cost]
     for a, b, c in edges:
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
-    supply = [max(0.0, c) for c in costs]
-    demand = [max(0.0, -c) for c in costs]
-    tiny = 1e-12
+    settled: dict[int, bool] = {}
+    waiting = deque(range(len(cost)))
+    while waiting:
+        u = waiting.popleft()
+        if u in settled:
+            continue
+        ties = sum(near[u].values())
+        # Of several minimum cuts the one with the fewest nodes on the source's side counts.
+        if cost[u] <= ties + _TINY and cost[u] > -ties:
+            continue
+        settled[u] = cost[u] > 0
+        for v, c in near[u].items():
+            cost[v] += c if settled[u] else -c
+            del near[v][u]
+            waiting.append(v)
+        near[u] = {}
+    supply = [0.0 if u in settled else max(0.0, c) for u, c in enumerate(cost)]
+    demand = [0.0 if u in settled else max(0.0, -c) for u, c in enumerate(cost)]
     while True:
-        came = {i: -1 for i in range(n) if supply[i] > tiny}
-        queue, goal = deque(came), -1
-        while queue and goal < 0:
-            u = queue.popleft()
-            for v, room in near[u].items():
-                if room > tiny and v not in came:
-                    came[v] = u
-                    if demand[v] > tiny:
-                        goal = v
-                        break
-                    queue.append(v)
-        if goal < 0:
+        level, last = _levels(near, supply, demand)
+        if last < 0:
             # What the source still reaches is content; the rest is cut off.
-            return [i in came for i in range(n)]
-        path = [goal]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min(supply[path[0]], demand[goal], *(near[a][b] for a, b in zip(path, path[1:], strict=False)))
-        supply[path[0]] -= flow
-        demand[goal] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            near[a][b] -= flow
-            near[b][a] += flow
+            return [settled.get(u, level[u] >= 0) for u in range(len(cost))]
+        _fill(near, supply, demand, level, last)
+
+
+def _levels(near: list[dict[int, float]], supply: list[float], demand: list[float]) -> tuple[list[int], int]:
+    """(steps from the source, the least number of steps to a node with demand, -1 if there is none)."""
+    level = [0 if s > _TINY else -1 for s in supply]
+    front, steps = [u for u, at in enumerate(level) if at == 0], 0
+    while front:
+        ahead, found = [], False
+        for u in front:
+            for v, room in near[u].items():
+                if room > _TINY and level[v] < 0:
+                    level[v] = steps + 1
+                    ahead.append(v)
+                    found = found or demand[v] > _TINY
+        front, steps = ahead, steps + 1
+        if found:
+            return level, steps
+    return level, -1
+
+
+def _fill(near: list[dict[int, float]], supply: list[float], demand: list[float], level: list[int], last: int) -> None:
+    """Push what goes through along paths that rise one level a step, up to nodes with demand at level ``last``."""
+    arcs: dict[int, Iterator[int]] = {}
+    tried: dict[int, int] = {}
+
+    def following(u: int) -> int:
+        """The next node of ``u`` that is not known to lead nowhere; -1 if there is none."""
+        if u not in arcs:
+            arcs[u] = iter(list(near[u]))
+            tried[u] = next(arcs[u], -1)
+        while tried[u] >= 0 and not (near[u][tried[u]] > _TINY and level[tried[u]] == level[u] + 1):
+            tried[u] = next(arcs[u], -1)
+        return tried[u]
+
+    for start in [u for u, s in enumerate(supply) if s > _TINY]:
+        path = [start]
+        while path and supply[start] > _TINY:
+            u = path[-1]
+            if level[u] == last and demand[u] > _TINY:
+                flow = min(supply[start], demand[u], *(near[a][b] for a, b in zip(path, path[1:], strict=False)))
+                supply[start] -= flow
+                demand[u] -= flow
+                keep = len(path) if demand[u] > _TINY else len(path) - 1
+                for i in range(len(path) - 1, 0, -1):
+                    a, b = path[i - 1], path[i]
+                    near[a][b] -= flow
+                    near[b][a] += flow
+                    if near[a][b] <= _TINY:
+                        keep = i
+                del path[max(1, keep):]
+                continue
+            v = following(u) if level[u] < last else -1
+            if v >= 0:
+                path.append(v)
+                continue
+            path.pop()
+            if path:
+                # Nothing more goes through ``u`` in this phase.
+                level[u] = -2
 
 
 def main_text(html: str | None) -> str:
