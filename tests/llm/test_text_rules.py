@@ -1,5 +1,6 @@
 """Decontamination, secrets, HTML text and language: against plain versions, and odd inputs."""
 
+import random
 import re
 import time
 
@@ -181,9 +182,6 @@ def test_minimum_cut_of_many_blocks():
 
 
 def test_minimum_cut_is_least():
-    import random
-import time
-
     rng = random.Random(4)
     for _ in range(60):
         n = rng.randint(1, 9)
