@@ -65,7 +65,7 @@ def plain_tokens(text):
 
 
 def plain_model(texts):
-    """Counts of words, and of pairs and triples that occur twice or more, with totals by context."""
+    """Counts of words, pairs and triples."""
     words, pairs, triples = Counter(), Counter(), Counter()
     for t in texts:
         seq = [b"<s>", *plain_tokens(t)]
@@ -82,19 +82,19 @@ def plain_score(text, counted, model):
     base = score = 0.0
 
     def mixed(shorter, table, context, word, weights, total):
-        kept = sum(c for g, c in table.items() if g[:-1] == context and c >= 2)
+        kept = sum(c for g, c in table.items() if g[:-1] == context)
         if not kept:
             return shorter
         c = table.get((*context, word), 0)
         weight = weights[lm_score._bucket(np.array([kept]), np.array([total]))[0]]
-        return weight * (c / kept if c >= 2 else 0) + (1 - weight) * shorter
+        return weight * c / kept + (1 - weight) * shorter
 
     for i in range(1, len(seq)):
         p = (words[seq[i]] + 0.1) / (n + 0.1 * (v + 1))
         base += math.log10(p)
         total = sum(c for g, c in pairs.items() if g[0] == seq[i - 1])
         p = mixed(p, pairs, (seq[i - 1],), seq[i], model.pair_weights, total)
-        if i >= 2 and pairs[seq[i - 2], seq[i - 1]] >= 2:
+        if i >= 2 and pairs[seq[i - 2], seq[i - 1]]:
             p = mixed(p, triples, (seq[i - 2], seq[i - 1]), seq[i], model.triple_weights, pairs[seq[i - 2], seq[i - 1]])
         score += math.log10(p)
     return len(seq) - 1, sum(words[w] > 0 for w in seq[1:]), base, score
