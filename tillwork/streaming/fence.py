@@ -42,7 +42,7 @@ class FenceState:
         """Count the amounts of ``sales`` and return the new limit of every source they belong to; NULL: none."""
         bins, values = self._before(batch)
         amount = F.col("amount")
-        good = sales.filter((amount > 0) & ~F.isnan(amount) & F.col("client_id").isNotNull())
+        good = sales.filter(amount.isNotNull() & ~F.isnan(amount) & F.col("client_id").isNotNull())
         keyed = good.select(F.col("client_id").cast("string").alias("client_id"), "source_id", bin_of(amount).alias("bin"), amount.alias("v"))
         counted = stage(keyed.groupBy(*DATASET, "bin", "v").agg(F.count("*").alias("n")), "counted")
         sources = stage(counted.select(*DATASET).distinct(), "sources")
