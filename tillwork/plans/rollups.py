@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +47,12 @@ class Rollup:
         table = BucketTable(**entry["rollup"])
         return table.read(self.spark, None if clients is None else table.touched(clients))
 
-    def replace(self, sales: DataFrame, run_day: dt.date, count: int = 64) -> int:
-        """Clean the sales of some sources and put their sums in place of what there was of those sources."""
+    def replace(
+        self, sales: DataFrame, run_day: dt.date, count: int = 64, checks: Callable[[DataFrame], DataFrame] = silver.classify
+    ) -> int:
+        """Clean the sales of some sources by ``checks`` and put their sums in place of what there was of those sources."""
         version, entry = self.log.latest()
-        new = stage(rolled_up(silver.fill_fallbacks(silver.classify(sales), run_day)), "rollup")
+        new = stage(rolled_up(silver.fill_fallbacks(checks(sales), run_day)), "rollup")
         if version < 0:
             table = buckets.create(new, self.path, "client_id", count)
         else:
