@@ -8,11 +8,10 @@
 
 All pairs and triples are in the trie, also those that occur once. Probabilities are p1 (the base score's), p2 = m2 share2 + (1 - m2) p1 and p3 = m3 share3 +
 (1 - m3) p2, where the shares of a context's children add up to one, so all add up to one. The
-weights depend on how often and how surely a context was seen; they are learnt by expectation
-maximisation on some ``DEV_TOKENS`` tokens of training texts (whole texts by smallest hash, one at least), each
-with its own counts taken out.
+weights depend on how often a context was seen: a weight is the part of all training occurrences after such contexts
+that are seen again when they are left out themselves, counted while the level files are built.
 
-Counts cover all training texts. A task holds a chunk of ``CHUNK`` bytes, or a shard of some
+Counts and weights cover all training texts. A task holds a chunk of ``CHUNK`` bytes, or a shard of some
 ``SHARD_TOKENS`` tokens: the number of shards grows with the table. Words are known by 60-bit
 hashes, contexts by 40 bits beside those that choose their shard. The shared folder must be mounted where tasks run, since files are mapped; a folder that is
 not raises an error.
@@ -53,7 +52,7 @@ _WIDTH = {WORDS: 1, PAIRS: 5, TRIPLES: 4}  # bytes of a child
 _CONTEXT_WIDTH = {WORDS: 8, PAIRS: 5, TRIPLES: 5}
 _SHARD_BITS = 20
 PACKED = "level int, shard int, context binary, sizes binary, child binary, count binary"
-MADE = "level int, shard int, tokens long, types long, bytes long"
+MADE = "level int, shard int, tokens long, types long, bytes long, left array<long>, again array<long>"
 
 
 @dataclass
@@ -234,6 +233,7 @@ def _file(folder: str, level: int, shard: int) -> str:
 def _build(folder: str, level: int, shard: int, batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
     """Writes the level file of one shard; running again writes the same file."""
     context, child, count = _unpacked(level, batches)
+    left, again = _left_out(context, child, count)
     if level == WORDS:
         tokens, types = int(count.sum()), len(context)
         size = write_parts(_file(folder, level, shard), word_level(context, count))
@@ -241,7 +241,7 @@ def _build(folder: str, level: int, shard: int, batches: Iterator[pa.RecordBatch
         made = context_level(context, child, count, OTHER if level == TRIPLES else int(_CHILD) + 1)
         tokens, types = int(count.sum()), len(made["code"])
         size = write_parts(_file(folder, level, shard), made)
-    return pa.RecordBatch.from_pydict({"level": pa.array([level], pa.int32()), "shard": pa.array([shard], pa.int32()), "tokens": [tokens], "types": [types], "bytes": [size]})
+    return pa.RecordBatch.from_pydict({"level": pa.array([level], pa.int32()), "shard": pa.array([shard], pa.int32()), "tokens": [tokens], "types": [types], "bytes": [size], "left": [left.tolist()], "again": [again.tolist()]})
 
 
 class Trie:
@@ -398,6 +398,25 @@ def _mixed(shorter: np.ndarray, share: np.ndarray, kept: np.ndarray, total: np.n
     return weight * share + (1 - weight) * shorter
 
 
+def _left_out(context: np.ndarray, child: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket: occurrences whose context is still seen when they are left out, and those of them whose child is too.
+
+    Rows are in order of (context, child).
+    """
+    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    total = np.add.reduceat(count, starts)
+    rest = np.repeat(total, np.diff(np.r_[starts, len(context)])) - 1
+    bucket, held = _bucket(rest, rest), rest > 0
+    found = held & (count > 1) & (child != OTHER)
+    return tuple(np.bincount(bucket[at], weights=count[at], minlength=BUCKETS).astype(np.int64) for at in (held, found))
+
+
+def _whole_weights(made: list, level: int) -> np.ndarray:
+    """Weight of each bucket out of all training occurrences; few of them pull it to a small prior."""
+    left, again = (sum((np.array(r[name]) for r in made if r.level == level), np.zeros(BUCKETS)) for name in ("left", "again"))
+    return np.minimum((again + 0.2) / (left + 4.0), 0.98)
+
+
 def _without_own(found: dict, context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``share``, ``kept`` and ``total`` after taking a text's own ``count`` of each (context, child) out; rows in order of context."""
     seen = np.rint(found["share"] * found["kept"]).astype(np.int64)
@@ -421,8 +440,11 @@ def _weights(share: np.ndarray, kept: np.ndarray, total: np.ndarray, shorter: np
     return np.minimum(weights, 0.98)
 
 
-def _learn(model: Model, texts: list[str | None]) -> None:
-    """Weights from training texts, each read with its own counts taken out."""
+def fit_to(model: Model, texts: list[str | None]) -> None:
+    """Other weights, for a use known beforehand: fitted to some training texts, each read with its own counts taken out.
+
+    ``train`` does not use it; its weights come from all texts.
+    """
     trie = Trie(model.folder, model.shards, model.files)
     pairs, triples = [], []
     for text in texts:
@@ -469,12 +491,11 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     folder = mounted_folder(spark)
     made = _gather(docs, text, partial(_count_words_and_pairs, shards), folder)
     files = {(r.level, r.shard): r.bytes for r in made}
-    files |= {(r.level, r.shard): r.bytes for r in _gather(docs, text, partial(_count_triples, folder, shards, files), folder)}
+    made += _gather(docs, text, partial(_count_triples, folder, shards, files), folder)
+    files = {(r.level, r.shard): r.bytes for r in made}
     words = [r for r in made if r.level == WORDS]
-    model = Model(folder, shards, files, sum(r.tokens for r in words), sum(r.types for r in words), np.zeros(BUCKETS), np.zeros(BUCKETS))
-    if sizes.rows:
-        _learn(model, _dev_texts(docs, text, model.tokens))
-    return model
+    weights = [_whole_weights(made, level) for level in (PAIRS, TRIPLES)]
+    return Model(folder, shards, files, sum(r.tokens for r in words), sum(r.types for r in words), *weights)
 
 
 def _dev_texts(docs: DataFrame, text: str, tokens: int) -> list[str | None]:

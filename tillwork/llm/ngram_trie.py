@@ -17,18 +17,18 @@ import uuid
 
 import numpy as np
 
-CODE_STEP = 4096  # codes per power of ten; 16 bits reach below 1e-15
+CODE_STEP = 16384  # codes per root of a power of ten, so closest near one; 16 bits reach below 1e-15
 _BIT = np.uint8([[([i for i in range(8) if b >> i & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)])
 U = np.uint64
 _STEPS = 3  # elements of a bucket that are looked at one by one
 
 
 def encode(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(p) * CODE_STEP), 0, 65535).astype(np.uint16)
+    return np.clip(np.rint(np.sqrt(np.maximum(-np.log10(p), 0)) * CODE_STEP), 0, 65535).astype(np.uint16)
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-codes.astype(np.float64) / CODE_STEP)
+    return 10.0 ** -((codes / np.float64(CODE_STEP)) ** 2)
 
 
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
