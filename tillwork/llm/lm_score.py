@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from tillwork.llm.common import free_name, map_columns, text_remainder
 from tillwork.llm.ngram_trie import ContextLevel, U, WordLevel, context_level, map_parts, word_level, write_parts
-from tillwork.staging import shared_folder
+from tillwork.staging import shared_folder, shuffles_dropped
 
 CHUNK = 5 * 1024 * 1024  # bytes of text
 _WORDS_AT_ONCE = 200_000
@@ -365,7 +365,8 @@ def _gather(docs: DataFrame, text: str, count, folder: str) -> list:
     def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _build(folder, key[0].as_py(), key[1].as_py(), batches)
 
-    return packed.groupBy("level", "shard").applyInArrow(build, MADE).collect()  # a row per file
+    with shuffles_dropped(docs.sparkSession):  # the level files hold all that was shuffled
+        return packed.groupBy("level", "shard").applyInArrow(build, MADE).collect()  # a row per file
 
 
 # Buckets of contexts for the weights: how often kept children were seen, and their part of all occurrences.
