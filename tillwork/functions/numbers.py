@@ -12,7 +12,8 @@ _CURRENCY = "(?:" + "|".join(CURRENCY_WORDS) + ")"
 # Already plain: neither currency, thousands mark nor comma can occur in it.
 _PLAIN = r"^[0-9]+(?:\.[0-9]{1,2})?$"
 # What a cast may accept. Keeps out Java spellings such as 1d, NaN and Infinity.
-_DECIMAL = rf"(?U)^{_SPACE}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){_SPACE}*$"
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_DECIMAL = rf"(?U)^{_SPACE}*({_NUMBER}){_SPACE}*$"
 
 
 def _finite(text: Column) -> Column:
@@ -26,6 +27,11 @@ def parse_decimal(c: Column) -> Column:
     return _finite(F.regexp_extract(c, _DECIMAL, 1))
 
 
+def is_decimal(c: Column) -> Column:
+    """Whether text without surrounding white space is a plain decimal; a cast to double then reads it."""
+    return c.rlike(rf"^{_NUMBER}$")
+
+
 def parse_number(c: Column) -> Column:
     """Local number text to double: currency words, space and dot thousands, decimal comma.
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.functions.numbers import parse_decimal
+from tillwork.functions.numbers import is_decimal, parse_decimal
 from tillwork.functions.text import fields, lines, strip
 
 
@@ -41,11 +41,20 @@ def text_sales(texts: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     no, yes = F.lit(False), F.lit(True)
     # Counting commas drops most unusable lines before anything is split.
     commas = F.length("line") - F.length(F.replace("line", F.lit(","), F.lit("")))
-    usable = _numbers(_lines(texts).filter(commas == 2)).filter("quantity is not null and amount is not null")
+    # Spark repeats what a filter reads for every use of it, so the filters test short texts that plain cuts give.
+    line = F.col("line")
+    parts = _lines(texts).filter(commas == 2).withColumns({
+        "item": strip(F.substring_index(line, ",", 1)),
+        "quantity": strip(F.substring_index(F.substring_index(line, ",", 2), ",", -1)),
+        "amount": strip(F.substring_index(line, ",", -1)),
+    })
+    usable = parts.filter(is_decimal(F.col("quantity")) & is_decimal(F.col("amount"))).withColumns({
+        c: F.col(c).try_cast("double") for c in ("quantity", "amount")
+    }).filter((F.abs("quantity") < float("inf")) & (F.abs("amount") < float("inf")))
     return usable.select(
         "client_id", "source_id", F.col("line_no").cast("long").alias("row_ix"), "business_type",
         day.cast("timestamp_ntz").alias("sale_ts"),
-        F.get("parts", F.lit(0)).alias("item"), "quantity",
+        "item", "quantity",
         F.lit(None).cast("double").alias("unit_price"), "amount",
         F.lit(None).cast("string").alias("order_ref"), F.lit(None).cast("string").alias("order_name"),
         no.alias("is_blank"), yes.alias("has_date"), yes.alias("has_total"), no.alias("has_price"),
