@@ -429,3 +429,24 @@ def test_terms_of_shared_beginnings():
     assert len(four) == 11 and two < four  # terms for two and for four
     assert two == set(toxicity.terms_of("Stembo stemma STEMMA stembo", cache).tolist())
     assert len(toxicity.terms_of(None, cache)) == len(toxicity.terms_of("", cache)) == 0
+
+
+def test_low_parts_and_neighbours_of_a_sequence():
+    """Low parts are read from any byte, and a value with the one behind it, also across words and at both widths."""
+    rng = np.random.default_rng(3)
+    for top, n in ((1 << 12, 5000), (1 << 40, 3000), (1 << 60, 3), (1 << 60, 1)):
+        values = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+        held = EliasFano.build(values)
+        assert (held.access(np.arange(n)) == values).all()
+        first, behind = held.pair(np.arange(n - 1))
+        assert (first == values[:-1]).all() and (behind == values[1:]).all()
+
+
+@pytest.mark.parametrize("high", [50, 1 << 31])
+def test_pairs_are_counted_with_and_without_room_for_places(high):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, high, 999) // 7, np.where(rng.random(999) < 0.1, lm_score.OTHER, rng.integers(0, 40, 999))
+    first, second, count, inverse = lm_score._counted(a, b)
+    want = sorted(Counter(zip(a.tolist(), b.tolist(), strict=True)).items())
+    assert list(zip(zip(first.tolist(), second.tolist(), strict=True), count.tolist(), strict=True)) == want
+    assert (first[inverse] == a).all() and (second[inverse] == b).all()

@@ -80,16 +80,20 @@ _SPAN = 32
 _TABLE = np.random.default_rng(60).integers(0, 1 << 64, (_SPAN, 256), np.uint64)  # one number per place and byte
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """60-bit tabulation hash of each word: the sum of its bytes' numbers, mixed."""
-    out = np.zeros(len(starts), U)
-    for i in range(0, len(starts), _WORDS_AT_ONCE):
-        begin, sizes = starts[i : i + _WORDS_AT_ONCE], (ends - starts)[i : i + _WORDS_AT_ONCE]
-        first = np.r_[0, np.cumsum(sizes)[:-1]]
-        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-        at = place + np.repeat(begin, sizes)
-        number = _TABLE[place % _SPAN, data[at]] * (2 * (place // _SPAN) + 1).astype(U)
+def _word_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """60-bit tabulation hash of each word: the sum of its bytes' numbers, mixed. ``data`` has the words without what is between them."""
+    out, byte = np.zeros(len(sizes), U), 0
+    for i in range(0, len(sizes), _WORDS_AT_ONCE):
+        size = sizes[i : i + _WORDS_AT_ONCE].astype(np.int32)
+        end = np.cumsum(size)
+        first = end - size
+        place = np.arange(end[-1], dtype=np.int32)
+        place -= np.repeat(first, size)
+        number = _TABLE.ravel().take((place & (_SPAN - 1)) << 8 | data[byte : byte + end[-1]])
+        if size.max() > _SPAN:
+            number *= (2 * (place // _SPAN) + 1).astype(U)
         out[i : i + _WORDS_AT_ONCE] = np.add.reduceat(number, first)
+        byte += int(end[-1])
     out = (out ^ (out >> U(31))) * U(0x9E3779B97F4A7C15)
     return (out ^ (out >> U(28))) >> U(4)
 
@@ -109,7 +113,7 @@ def _chunk(data: np.ndarray, offsets: np.ndarray) -> Chunk:
     first = np.r_[0, np.cumsum(words_of + 2)[:-1]]
     tokens = np.empty(len(starts) + 2 * n, U)
     tokens[first], tokens[first + words_of + 1] = BEGIN, END
-    tokens[np.arange(len(starts)) + 2 * text + 1] = _word_hashes(data, starts, ends)
+    tokens[np.arange(len(starts)) + 2 * text + 1] = _word_hashes(data[~space], ends - starts)
     order = np.argsort(tokens)
     tokens = tokens[order]
     new = np.r_[True, tokens[1:] != tokens[:-1]]
@@ -145,23 +149,41 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _places(level: int, contexts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each context, and its hash there: 40 bits beside those that tell the shard, in the same order."""
+    """The shard of each context, and its hash there: 40 bits beside those that tell the shard."""
     if level == WORDS:
         return _shard(contexts, shards), contexts
-    shard = (contexts & U((1 << _SHARD_BITS) - 1)) % U(shards)
-    return shard.astype(np.uint16 if shards <= 1 << 16 else np.int64), contexts >> U(_SHARD_BITS)
+    shard = (contexts >> U(40)) % U(shards)
+    return shard.astype(np.uint16 if shards <= 1 << 16 else np.int64), contexts & _CHILD
+
+
+def _turned(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as contexts: the lowest bits, which tell the shard, on top, so that sorted hashes stay sorted within a shard."""
+    return hashes >> U(_SHARD_BITS) | (hashes & U((1 << _SHARD_BITS) - 1)) << U(40)
 
 
 def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of small numbers in order, their counts, and the pair of each row."""
-    pair = a.astype(np.int64) << 32 | b.astype(np.int64)
-    order = np.argsort(pair)
-    pair = pair[order]
-    new = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
+    if not len(a):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    # The row's place stands below the pair, if there is room: sorting numbers is faster than sorting places by them.
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    last = int(b.max(initial=-1, where=b != OTHER)) + 1
+    place_bits, b_bits = len(a).bit_length(), last.bit_length()
+    if place_bits + b_bits + int(a.max()).bit_length() > 63:
+        pair = a << 32 | b
+        order = np.argsort(pair)
+        pair, b_bits, last = pair[order], 32, OTHER
+    else:
+        pair = np.sort((a << b_bits | np.minimum(b, last)) << place_bits | np.arange(len(a)))
+        order = pair & ((1 << place_bits) - 1)
+        pair >>= place_bits
+    new = np.r_[True, pair[1:] != pair[:-1]]
     starts = np.flatnonzero(new)
     inverse = np.empty(len(pair), np.int64)
     inverse[order] = np.cumsum(new) - 1
-    return pair[starts] >> 32, pair[starts] & 0xFFFFFFFF, np.diff(np.r_[starts, len(pair)]), inverse
+    first, second = pair[starts] >> b_bits, pair[starts] & ((1 << b_bits) - 1)
+    second[second == last] = OTHER
+    return first, second, np.diff(np.r_[starts, len(pair)]), inverse
 
 
 def _planes(numbers: np.ndarray, width: int) -> bytes:
@@ -280,7 +302,7 @@ class Trie:
         return out
 
     def find(self, level: int, contexts: np.ndarray, number: np.ndarray, child: np.ndarray, places_only: bool = False) -> dict[str, np.ndarray]:
-        """See ``ContextLevel.find``; contexts are sorted and ``number`` rises."""
+        """See ``ContextLevel.find``; fast if contexts are sorted within a shard; ``number`` rises."""
         n = len(number)
         out = {"place": np.full(n, -1), "share": np.zeros(n), "kept": np.zeros(n, np.int64), "total": np.zeros(n, np.int64)}
         shard_of, hashes = _places(level, contexts, self.shards)
@@ -303,7 +325,7 @@ def _read_pairs(chunk: Chunk, trie: Trie | None, places_only: bool = False) -> d
     first, second, count, pair = _counted(word[target - 1], word[target])
     read = {"words": words, "word": word, "target": target, "first": first, "second": second, "count": count, "pair": pair}
     if trie is not None:
-        read["found"] = trie.find(PAIRS, words, first, words[second] & _CHILD, places_only)
+        read["found"] = trie.find(PAIRS, _turned(words), first, words[second] & _CHILD, places_only)
     return read
 
 
@@ -325,7 +347,7 @@ def _read_triples(chunk: Chunk, read: dict) -> dict:
     rank[order] = np.arange(len(order))
     last = place[pair[held]]
     context, child, count, triple = _counted(rank[number] if len(held) else number, np.where(last >= 0, last, OTHER))
-    return {"contexts": contexts[order], "context": context, "child": child, "count": count, "triple": triple, "held": held}
+    return {"contexts": _turned(contexts[order]), "context": context, "child": child, "count": count, "triple": triple, "held": held}
 
 
 def _count_words_and_pairs(shards: int, batches: Iterator[pa.Array]) -> Iterator[tuple]:
@@ -336,7 +358,7 @@ def _count_words_and_pairs(shards: int, batches: Iterator[pa.Array]) -> Iterator
         yield from _packed(WORDS, shards, read["words"][used], np.zeros(len(used), U), counted[used])
         words, first = read["words"], read["first"]
         child = words[read["second"]] & _CHILD
-        yield from _packed(PAIRS, shards, words[first], child, read["count"])
+        yield from _packed(PAIRS, shards, _turned(words)[first], child, read["count"])
 
 
 def _count_triples(folder: str, shards: int, files: dict[tuple[int, int], int], batches: Iterator[pa.Array]) -> Iterator[tuple]:
@@ -394,9 +416,15 @@ class Model:
         return (counts + 0.1) / (self.tokens + 0.1 * (self.types + 1))
 
 
+def _parts(found: dict, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each (context, child) adds to a probability, and its factor for that of the shorter context."""
+    weight = np.where(found["kept"] > 0, weights[_bucket(found["kept"], found["total"])], 0.0)
+    return weight * found["share"], 1 - weight
+
+
 def _mixed(shorter: np.ndarray, share: np.ndarray, kept: np.ndarray, total: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    weight = np.where(kept > 0, weights[_bucket(kept, total)], 0.0)
-    return weight * share + (1 - weight) * shorter
+    own, rest = _parts({"share": share, "kept": kept, "total": total}, weights)
+    return own + rest * shorter
 
 
 def _left_out(context: np.ndarray, child: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -538,17 +566,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 def _scores(chunk: Chunk, trie: Trie, model: Model) -> tuple[np.ndarray, ...]:
     read = _read_pairs(chunk, trie)
-    target, pair, found = read["target"], read["pair"], read["found"]
-    counts = trie.counts(read["words"])[read["word"][target]]
+    target, pair = read["target"], read["pair"]
+    # Worked out once a word, pair and triple, then dealt to the tokens.
+    word, counts = read["word"][target], trie.counts(read["words"])
     p1 = model.word_probability(counts)
-    p = _mixed(p1, found["share"][pair], found["kept"][pair], found["total"][pair], model.pair_weights)
+    own, rest = _parts(read["found"], model.pair_weights)
+    p = own[pair] + rest[pair] * p1[word]
     t = _read_triples(chunk, read)
-    got = trie.find(TRIPLES, t["contexts"], t["context"], t["child"].astype(U))
+    own, rest = _parts(trie.find(TRIPLES, t["contexts"], t["context"], t["child"].astype(U)), model.triple_weights)
     three, held = t["triple"], t["held"]
-    p[held] = _mixed(p[held], got["share"][three], got["kept"][three], got["total"][three], model.triple_weights)
+    p[held] = own[three] + rest[three] * p[held]
     first = np.searchsorted(target, chunk.first)
     sizes = np.diff(np.r_[first, len(target)])
-    known, base, whole = (np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64), np.log10(p1), np.log10(p)))
+    known, base, whole = (np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64)[word], np.log10(p1)[word], np.log10(p)))
     return sizes, known, base, whole
 
 

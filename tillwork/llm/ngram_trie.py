@@ -50,6 +50,8 @@ class EliasFano:
         self.high, self.ones, self.low = arrays["high"], arrays["ones"], arrays["low"]
         self.size, self.low_bits = size, low_bits
         self.zeros = None
+        # The 64 bits from any byte on; the low parts end in a spare word.
+        self.low_from = np.ndarray((self.low.nbytes - 7,), "<u8", self.low, strides=(1,))
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -75,6 +77,8 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(i), U)
         bit = i * self.low_bits
+        if self.low_bits <= 57:
+            return self.low_from[bit >> 3] >> (bit & 7).astype(U) & U((1 << self.low_bits) - 1)
         word, shift = bit >> 6, (bit & 63).astype(U)
         value = self.low[word] >> shift
         over = shift + U(self.low_bits) > U(64)
@@ -88,6 +92,21 @@ class EliasFano:
         at = (word << 6) + _select_in_word(self.high[word], i - self.ones[word].astype(np.int64))
         return ((at - i).astype(U) << U(self.low_bits)) | self._low(i)
 
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places ``i`` and at the places behind them."""
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
+        high = self.high[word]
+        bit = _select_in_word(high, i - self.ones[word].astype(np.int64))
+        at = (word << 6) + bit
+        # The next set bit mostly stands in the same 64.
+        after = high & (U(0xFFFFFFFFFFFFFFFE) << bit.astype(U))
+        near = after != 0
+        following = (word << 6) + np.bitwise_count((after & (~after + U(1))) - U(1))
+        values, upper = ((at - i).astype(U) << U(self.low_bits)) | self._low(i), np.empty(len(i), U)
+        upper[near] = (following[near] - i[near] - 1).astype(U) << U(self.low_bits) | self._low(i[near] + 1)
+        upper[~near] = self.access(i[~near] + 1)
+        return values, upper
+
     def _from(self, h: np.ndarray) -> np.ndarray:
         """Number of elements whose high part is below ``h``."""
         if self.zeros is None:
@@ -228,13 +247,16 @@ class ContextLevel:
         here = np.flatnonzero(found[number]) if n else np.zeros(0, np.int64)
         if not len(here):
             return out
-        known = np.where(found, at, 0)
-        begin, end = self.pointers.access(known).astype(np.int64), self.pointers.access(known + 1).astype(np.int64)
+        used = np.flatnonzero(found)
+        known, number = at[used], (np.cumsum(found) - 1)[number]
+        begin, end = (x.astype(np.int64) for x in self.pointers.pair(known))
         base = np.where(begin > 0, self.children.access(np.maximum(begin - 1, 0)).astype(np.int64), 0)
         of = number[here]
         if not places_only:
-            kept = (self.kept.access(known + 1) - self.kept.access(known)).astype(np.int64)
-            left = 0 if self.whole else (self.left.access(known + 1) - self.left.access(known)).astype(np.int64)
+            before, until = self.kept.pair(known)
+            kept = (until - before).astype(np.int64)
+            before, until = (U(0), U(0)) if self.whole else self.left.pair(known)
+            left = np.asarray(until - before).astype(np.int64)
             out["kept"][here], out["total"][here] = kept[of], (kept + left)[of]
         place, same = self.children.successor((base[of] + 1 + child[here].astype(np.int64)).astype(U))
         same &= (place >= begin[of]) & (place < end[of])
