@@ -52,7 +52,7 @@ class Rollup:
     ) -> int:
         """Clean the sales of some sources by ``checks`` and put their sums in place of what there was of those sources."""
         version, entry = self.log.latest()
-        new = stage(rolled_up(silver.fill_fallbacks(checks(sales), run_day)), "rollup")
+        new = rolled_up(silver.fill_fallbacks(checks(sales), run_day))
         if version < 0:
             table = buckets.create(new, self.path, "client_id", count)
         else:

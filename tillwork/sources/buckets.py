@@ -61,7 +61,8 @@ class BucketTable:
         """Write rows into new folders, one per bucket that has any: {bucket: folder}."""
         spark, folder = rows.sparkSession, f"{self.path}/data/{uuid.uuid4().hex}"
         name = f"tillwork_{uuid.uuid4().hex}"
-        dealt = rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET)
+        # Dealt by bucket; a large bucket is cut into several files by as many tasks.
+        dealt = rows.withColumn(BUCKET, self.bucket()).hint("rebalance", BUCKET)
         writer = dealt.write.partitionBy(BUCKET).bucketBy(self.count, self.key).sortBy(self.key).format("parquet")
         writer.option("path", folder).saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # the files stay
