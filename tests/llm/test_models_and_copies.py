@@ -450,3 +450,50 @@ def test_pairs_are_counted_with_and_without_room_for_places(high):
     want = sorted(Counter(zip(a.tolist(), b.tolist(), strict=True)).items())
     assert list(zip(zip(first.tolist(), second.tolist(), strict=True), count.tolist(), strict=True)) == want
     assert (first[inverse] == a).all() and (second[inverse] == b).all()
+
+
+def test_children_of_a_large_context_are_found_in_few_looks(monkeypatch):
+    """op2's time: a context with many children among many with one; before, its children stood in a few large buckets."""
+    rng = np.random.default_rng(6)
+    child = np.sort(rng.choice(1 << 40, 20_000, replace=False))
+    context = np.r_[np.arange(2000), np.full(len(child), 2000), np.arange(2001, 4000)].astype(np.uint64)
+    level = ContextLevel(context_level(context, np.r_[rng.integers(0, 1 << 40, 2000), child, rng.integers(0, 1 << 40, 1999)].astype(np.uint64), np.ones(len(context), np.int64), 1 << 40))
+    looks, low = [], EliasFano._low
+    monkeypatch.setattr(EliasFano, "_low", lambda self, i: looks.append(self is level.children) or low(self, i))
+    found = level.find(np.uint64([2000]), np.zeros(len(child), np.int64), child.astype(np.uint64))
+    assert (found["place"] == np.arange(len(child))).all() and (found["kept"] == len(child)).all()
+    assert sum(looks) <= 9
+    assert (level.find(np.uint64([2000]), np.zeros(99, np.int64), child[:99].astype(np.uint64) + np.uint64(1))["place"] == -1).all()
+
+
+@pytest.mark.parametrize(("top", "spread"), [(1 << 62, False), (5000, True), (3, True)])
+def test_children_that_are_large_or_in_another_order(top, spread):
+    rng = np.random.default_rng(top % 97)
+    child = [np.sort(rng.choice(min(top, 2000), 3, replace=False)) * (top // min(top, 2000)) for _ in range(2)]
+    context, count = np.repeat(np.uint64([4, 9]), 3), np.arange(1, 7)
+    level = ContextLevel(context_level(context, np.concatenate(child).astype(np.uint64), count, 1 << 63, spread=spread))
+    assert level.even == (top < 1 << 62)
+    asked = np.r_[child[0], child[1], top + 1, child[1][0] + 1 if top > 3 else top].astype(np.uint64)
+    found = level.find(np.uint64([4, 9, 11]), np.int64([0] * 3 + [1] * 5), asked)
+    assert found["share"] == pytest.approx([1 / 6, 2 / 6, 3 / 6, 4 / 15, 5 / 15, 6 / 15, 0, 0], rel=1e-3)
+    assert sorted(found["place"][:3]) == sorted(found["place"][3:6]) == [0, 1, 2] and (found["place"][6:] == -1).all()
+    assert (found["bucket"] == lm_score._bucket(found["kept"], found["total"])).all() and (found["kept"] == [6] * 3 + [15] * 5).all()
+    assert (level.find(np.uint64([11]), np.zeros(1, np.int64), asked[:1], ("bucket",))["bucket"] == lm_score.BUCKETS).all()
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5, 64, 1000])
+def test_shards_are_ranges_of_contexts(shards):
+    hashes = np.unique(np.random.default_rng(shards).integers(0, 1 << 60, 5000, dtype=np.uint64))
+    for level, contexts in ((lm_score.WORDS, hashes), (lm_score.PAIRS, lm_score._contexts(hashes, shards))):
+        starts, seen = lm_score._starts(level, shards), []
+        for _, shard, context, sizes, child, _ in lm_score._packed(level, shards, contexts, np.arange(len(hashes)) & 255, np.ones(len(hashes), np.int64)):
+            own = lm_score._from_planes(context, lm_score._CONTEXT_WIDTH[level]) + starts[shard]
+            assert (own >= starts[shard]).all() and (own < starts[shard + 1]).all() and len(child) == len(own) * lm_score._WIDTH[level]
+            seen.append(own)
+        assert (np.concatenate(seen) == contexts).all()
+
+
+def test_order_of_hashes_that_differ_in_low_bits_only():
+    for hashes in ([7, 5, 5, 6, 1 << 59], [], np.random.default_rng(2).integers(0, 1 << 60, 3000)):
+        hashes = np.array(hashes, np.uint64)
+        assert (hashes[lm_score._order(hashes)] == np.sort(hashes)).all()

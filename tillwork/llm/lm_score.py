@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwork.llm.common import free_name, map_columns, text_remainder
-from tillwork.llm.ngram_trie import ContextLevel, U, WordLevel, context_level, map_parts, word_level, write_parts
+from tillwork.llm.ngram_trie import BUCKETS, MISSING, ContextLevel, U, WordLevel, context_level, map_parts, word_level, write_parts
+from tillwork.llm.ngram_trie import bucket_of as _bucket
 from tillwork.staging import shared_folder, shuffles_dropped
 
 CHUNK = 5 * 1024 * 1024  # bytes of text
@@ -45,12 +46,12 @@ DEV_TOKENS = 200_000
 # Level files that a worker keeps mapped.
 MOST_OPEN = 8192
 OTHER = 0xFFFFFFFF
-END, BEGIN = U(1), U(2)  # as unlikely to be a word's hash as any two numbers
+END, BEGIN = U(1 << 40 | 1), U(2 << 40 | 2)  # as unlikely to be a word's hash as any two numbers
 WORDS, PAIRS, TRIPLES = 0, 1, 2
 _CHILD = U((1 << 40) - 1)
 _WIDTH = {WORDS: 1, PAIRS: 5, TRIPLES: 4}  # bytes of a child
 _CONTEXT_WIDTH = {WORDS: 8, PAIRS: 5, TRIPLES: 5}
-_SHARD_BITS = 20
+_MOST_SHARD_BITS = 20
 PACKED = "level int, shard int, context binary, sizes binary, child binary, count binary"
 MADE = "level int, shard int, tokens long, types long, bytes long, left array<long>, again array<long>"
 
@@ -98,6 +99,15 @@ def _word_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (out ^ (out >> U(28))) >> U(4)
 
 
+def _order(hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes of 60 bits in their order."""
+    # Each place stands in the lowest bits of its hash: sorting numbers is faster than sorting places by them.
+    low = U((1 << len(hashes).bit_length()) - 1)
+    order = (np.sort(hashes << U(4) & ~low | np.arange(len(hashes), dtype=U)) & low).view(np.int64)
+    ordered = hashes.take(order)
+    return np.argsort(hashes) if (ordered[1:] < ordered[:-1]).any() else order
+
+
 def _chunk(data: np.ndarray, offsets: np.ndarray) -> Chunk:
     """One chunk of the texts that ``offsets`` cut out of ``data``."""
     data = _FOLD[data[offsets[0] : offsets[-1]]]
@@ -114,7 +124,7 @@ def _chunk(data: np.ndarray, offsets: np.ndarray) -> Chunk:
     tokens = np.empty(len(starts) + 2 * n, U)
     tokens[first], tokens[first + words_of + 1] = BEGIN, END
     tokens[np.arange(len(starts)) + 2 * text + 1] = _word_hashes(data[~space], ends - starts)
-    order = np.argsort(tokens)
+    order = _order(tokens)
     tokens = tokens[order]
     new = np.r_[True, tokens[1:] != tokens[:-1]]
     number = np.empty(len(order), np.int64)
@@ -143,22 +153,19 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> U(29))) >> U(4)
 
 
-def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    shard = ((hashes * U(0x9E3779B97F4A7C15)) >> U(33)) % U(shards)
-    return shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)  # short numbers are sorted by digit
+def _shard_bits(shards: int) -> int:
+    return min(shards.bit_length() - 1, _MOST_SHARD_BITS)
 
 
-def _places(level: int, contexts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each context, and its hash there: 40 bits beside those that tell the shard."""
-    if level == WORDS:
-        return _shard(contexts, shards), contexts
-    shard = (contexts >> U(40)) % U(shards)
-    return shard.astype(np.uint16 if shards <= 1 << 16 else np.int64), contexts & _CHILD
+def _contexts(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Hashes of 60 bits as contexts: the 40 highest bits and those that tell the shard, so that sorted hashes stay sorted."""
+    return hashes >> U(20 - _shard_bits(shards))
 
 
-def _turned(hashes: np.ndarray) -> np.ndarray:
-    """Hashes as contexts: the lowest bits, which tell the shard, on top, so that sorted hashes stay sorted within a shard."""
-    return hashes >> U(_SHARD_BITS) | (hashes & U((1 << _SHARD_BITS) - 1)) << U(40)
+def _starts(level: int, shards: int) -> np.ndarray:
+    """The first context of each shard, and one above all: a shard is a range of contexts, and holds them less its first."""
+    bits = 60 if level == WORDS else 40 + _shard_bits(shards)
+    return -(-(np.arange(shards + 1, dtype=np.int64) << 40) // shards).astype(U) << U(bits - 40)
 
 
 def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,14 +208,13 @@ def _packed(level: int, shards: int, context: np.ndarray, child: np.ndarray, cou
     """One row per shard; arrays must be in order of (context, child)."""
     starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(context)])
-    shard_of, hashes = _places(level, context[starts], shards)
-    rows = np.repeat(shard_of, sizes)
-    by_context, by_row = np.argsort(shard_of, kind="stable"), np.argsort(rows, kind="stable")
-    ends, row_ends = np.searchsorted(shard_of[by_context], np.arange(shards + 1)), np.searchsorted(rows[by_row], np.arange(shards + 1))
+    first_of, contexts = _starts(level, shards), context[starts]
+    ends = np.searchsorted(contexts, first_of)
+    row_ends = np.r_[starts, len(context)][ends]
     for s in np.flatnonzero(np.diff(ends)):
-        c, r = by_context[ends[s] : ends[s + 1]], by_row[row_ends[s] : row_ends[s + 1]]
+        c, r = slice(ends[s], ends[s + 1]), slice(row_ends[s], row_ends[s + 1])
         width = _WIDTH[level]
-        yield level, int(s), _planes(hashes[c], _CONTEXT_WIDTH[level]), _planes(sizes[c], 4), _planes(child[r], width), _planes(count[r], 4)
+        yield level, int(s), _planes(contexts[c] - first_of[s], _CONTEXT_WIDTH[level]), _planes(sizes[c], 4), _planes(child[r], width), _planes(count[r], 4)
 
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # context, child, count
@@ -260,7 +266,7 @@ def _build(folder: str, level: int, shard: int, batches: Iterator[pa.RecordBatch
         tokens, types = int(count.sum()), len(context)
         size = write_parts(_file(folder, level, shard), word_level(context, count))
     else:
-        made = context_level(context, child, count, OTHER if level == TRIPLES else int(_CHILD) + 1)
+        made = context_level(context, child, count, OTHER if level == TRIPLES else int(_CHILD) + 1, spread=level == TRIPLES)
         tokens, types = int(count.sum()), len(made["code"])
         size = write_parts(_file(folder, level, shard), made)
     return pa.RecordBatch.from_pydict({"level": pa.array([level], pa.int32()), "shard": pa.array([shard], pa.int32()), "tokens": [tokens], "types": [types], "bytes": [size], "left": [left.tolist()], "again": [again.tolist()]})
@@ -294,42 +300,40 @@ class Trie:
 
     def counts(self, words: np.ndarray) -> np.ndarray:
         """Occurrences of sorted words."""
-        out, shard_of = np.zeros(len(words), np.int64), _shard(words, self.shards)
-        for s in np.unique(shard_of):
-            at = np.flatnonzero(shard_of == s)
+        out, first_of = np.zeros(len(words), np.int64), _starts(WORDS, self.shards)
+        ends = np.searchsorted(words, first_of)
+        for s in np.flatnonzero(np.diff(ends)):
             if (level := self.level(WORDS, int(s))) is not None:
-                out[at] = level.counts(words[at])
+                at = slice(ends[s], ends[s + 1])
+                out[at] = level.counts(words[at] - first_of[s])
         return out
 
-    def find(self, level: int, contexts: np.ndarray, number: np.ndarray, child: np.ndarray, places_only: bool = False) -> dict[str, np.ndarray]:
-        """See ``ContextLevel.find``; fast if contexts are sorted within a shard; ``number`` rises."""
-        n = len(number)
-        out = {"place": np.full(n, -1), "share": np.zeros(n), "kept": np.zeros(n, np.int64), "total": np.zeros(n, np.int64)}
-        shard_of, hashes = _places(level, contexts, self.shards)
-        pair_shard = shard_of[number] if n else np.zeros(0, np.uint16)
-        order = np.argsort(pair_shard, kind="stable")
-        ends = np.searchsorted(pair_shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(ends)):
+    def find(self, level: int, contexts: np.ndarray, number: np.ndarray, child: np.ndarray, wanted: tuple[str, ...] = tuple(MISSING)) -> dict[str, np.ndarray]:
+        """See ``ContextLevel.find``; ``contexts`` are sorted and ``number`` rises, so that each shard has a piece of both."""
+        out, first_of = {name: np.full(len(number), MISSING[name]) for name in wanted}, _starts(level, self.shards)
+        ends = np.searchsorted(contexts, first_of)
+        row_ends = np.searchsorted(number, ends)
+        for s in np.flatnonzero(np.diff(row_ends)):
             held = self.level(level, int(s))
             if held is None:
                 continue
-            at, own = order[ends[s] : ends[s + 1]], np.flatnonzero(shard_of == s)
-            for name, values in held.find(hashes[own], np.searchsorted(own, number[at]), child[at], places_only).items():
+            own, at = slice(ends[s], ends[s + 1]), slice(row_ends[s], row_ends[s + 1])
+            for name, values in held.find(contexts[own] - first_of[s], number[at] - ends[s], child[at], wanted).items():
                 out[name][at] = values
         return out
 
 
-def _read_pairs(chunk: Chunk, trie: Trie | None, places_only: bool = False) -> dict:
-    """Distinct words and pairs of a chunk; with a trie, what it says of the pairs."""
+def _read_pairs(chunk: Chunk, trie: Trie | None, wanted: tuple[str, ...] = tuple(MISSING)) -> dict:
+    """Distinct words and pairs of a chunk; with a trie, what is wanted of the pairs."""
     words, word, target = chunk.words, chunk.tokens, chunk.targets
     first, second, count, pair = _counted(word[target - 1], word[target])
     read = {"words": words, "word": word, "target": target, "first": first, "second": second, "count": count, "pair": pair}
     if trie is not None:
-        read["found"] = trie.find(PAIRS, _turned(words), first, words[second] & _CHILD, places_only)
+        read["found"] = trie.find(PAIRS, _contexts(words, trie.shards), first, words[second] & _CHILD, wanted)
     return read
 
 
-def _read_triples(chunk: Chunk, read: dict) -> dict:
+def _read_triples(chunk: Chunk, read: dict, shards: int) -> dict:
     """Distinct (context, place of the last word) of triples whose first pair is in the trie."""
     target, pair, place = read["target"], read["pair"], read["found"]["place"]
     # The pair before a target ends at the word before it; begins end no pair.
@@ -342,12 +346,12 @@ def _read_triples(chunk: Chunk, read: dict) -> dict:
     pairs = np.flatnonzero(used)
     number = (np.cumsum(used) - 1)[before[held]]
     contexts = _mix(read["words"][read["first"][pairs]], read["words"][read["second"][pairs]])
-    order = np.argsort(contexts, kind="stable")
+    order = _order(contexts)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     last = place[pair[held]]
     context, child, count, triple = _counted(rank[number] if len(held) else number, np.where(last >= 0, last, OTHER))
-    return {"contexts": _turned(contexts[order]), "context": context, "child": child, "count": count, "triple": triple, "held": held}
+    return {"contexts": _contexts(contexts[order], shards), "context": context, "child": child, "count": count, "triple": triple, "held": held}
 
 
 def _count_words_and_pairs(shards: int, batches: Iterator[pa.Array]) -> Iterator[tuple]:
@@ -358,13 +362,13 @@ def _count_words_and_pairs(shards: int, batches: Iterator[pa.Array]) -> Iterator
         yield from _packed(WORDS, shards, read["words"][used], np.zeros(len(used), U), counted[used])
         words, first = read["words"], read["first"]
         child = words[read["second"]] & _CHILD
-        yield from _packed(PAIRS, shards, _turned(words)[first], child, read["count"])
+        yield from _packed(PAIRS, shards, _contexts(words, shards)[first], child, read["count"])
 
 
 def _count_triples(folder: str, shards: int, files: dict[tuple[int, int], int], batches: Iterator[pa.Array]) -> Iterator[tuple]:
     trie = Trie(folder, shards, files)
     for chunk in (c for texts in batches for c in chunks(texts)):
-        triples = _read_triples(chunk, _read_pairs(chunk, trie, True))
+        triples = _read_triples(chunk, _read_pairs(chunk, trie, ("place",)), shards)
         yield from _packed(TRIPLES, shards, triples["contexts"][triples["context"]], triples["child"].astype(U), triples["count"])
 
 
@@ -391,17 +395,6 @@ def _gather(docs: DataFrame, text: str, count, folder: str) -> list:
         return packed.groupBy("level", "shard").applyInArrow(build, MADE).collect()  # a row per file
 
 
-# Buckets of contexts for the weights: how often kept children were seen, and their part of all occurrences.
-_SEEN, _SURE = 10, 10
-BUCKETS = _SEEN * _SURE
-
-
-def _bucket(kept: np.ndarray, total: np.ndarray) -> np.ndarray:
-    seen = np.minimum(np.log2(np.maximum(kept, 1)).astype(np.int64), _SEEN - 1)
-    sure = np.minimum(kept * _SURE // np.maximum(total, 1), _SURE - 1)
-    return seen * _SURE + sure
-
-
 @dataclass
 class Model:
     folder: str
@@ -418,12 +411,12 @@ class Model:
 
 def _parts(found: dict, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What each (context, child) adds to a probability, and its factor for that of the shorter context."""
-    weight = np.where(found["kept"] > 0, weights[_bucket(found["kept"], found["total"])], 0.0)
+    weight = np.r_[weights, 0.0].take(found["bucket"])
     return weight * found["share"], 1 - weight
 
 
 def _mixed(shorter: np.ndarray, share: np.ndarray, kept: np.ndarray, total: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    own, rest = _parts({"share": share, "kept": kept, "total": total}, weights)
+    own, rest = _parts({"share": share, "bucket": np.where(kept > 0, _bucket(kept, total), MISSING["bucket"])}, weights)
     return own + rest * shorter
 
 
@@ -485,7 +478,7 @@ def fit_to(model: Model, texts: list[str | None]) -> None:
             own = np.bincount(read["word"][target], minlength=len(words))
             p1 = model.word_probability(np.maximum(trie.counts(words) - own, 0))[read["word"][target]]
             pairs.append((share[pair], kept[pair], total[pair], p1))
-            t = _read_triples(chunk, read)
+            t = _read_triples(chunk, read, trie.shards)
             got = trie.find(TRIPLES, t["contexts"], t["context"], t["child"].astype(U))
             share3, kept3, total3 = _without_own(got, t["context"], t["count"])
             full = [np.zeros(len(target)), np.zeros(len(target), np.int64), np.zeros(len(target), np.int64)]
@@ -565,15 +558,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 
 def _scores(chunk: Chunk, trie: Trie, model: Model) -> tuple[np.ndarray, ...]:
-    read = _read_pairs(chunk, trie)
+    read = _read_pairs(chunk, trie, ("place", "share", "bucket"))
     target, pair = read["target"], read["pair"]
     # Worked out once a word, pair and triple, then dealt to the tokens.
     word, counts = read["word"][target], trie.counts(read["words"])
     p1 = model.word_probability(counts)
     own, rest = _parts(read["found"], model.pair_weights)
     p = own[pair] + rest[pair] * p1[word]
-    t = _read_triples(chunk, read)
-    own, rest = _parts(trie.find(TRIPLES, t["contexts"], t["context"], t["child"].astype(U)), model.triple_weights)
+    t = _read_triples(chunk, read, trie.shards)
+    own, rest = _parts(trie.find(TRIPLES, t["contexts"], t["context"], t["child"], ("share", "bucket")), model.triple_weights)
     three, held = t["triple"], t["held"]
     p[held] = own[three] + rest[three] * p[held]
     first = np.searchsorted(target, chunk.first)

@@ -2,11 +2,13 @@
 
 A level of the trie is cut into shards by the hash of the context. A shard holds its contexts as a
 monotone sequence of hashes, a monotone sequence of pointers to their children, and the children. A
-child is its place relative to its context: for pairs, 40 bits of the word's hash; for triples, the
+child is known relative to its context: for pairs, by 40 bits of the word's hash; for triples, by the
 position of the last word among the children of the middle word, which is a small number. Children are
-made monotone over the whole shard by adding the last value of the context before, so one successor
-search finds a child, and its place must lie between the context's pointers.
-Probabilities are kept as 16-bit codes of their logarithm, occurrences of contexts as monotone running sums.
+made monotone over the whole shard by the pointer of their context, which stands above them, and multiplied by the
+number of the context's children, so that they are spread evenly however many a context has: the bucket of a
+successor search holds one child on average. The pointers tell a child's place among its context's.
+Probabilities are kept as 16-bit codes of their logarithm, occurrences of contexts as monotone running sums, and
+beside them the bucket of each context's mixing weight as one byte, which is all that scoring asks for.
 """
 
 from __future__ import annotations
@@ -21,6 +23,28 @@ CODE_STEP = 16384  # codes per root of a power of ten, so closest near one; 16 b
 _BIT = np.uint8([[([i for i in range(8) if b >> i & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)])
 U = np.uint64
 _STEPS = 3  # elements of a bucket that are looked at one by one
+_EVERY = 8  # buckets, or elements, from one whose place in the high parts is stored to the next
+# Buckets of contexts for the weights: how often kept children were seen, and their part of all occurrences.
+_SEEN, _SURE = 10, 10
+BUCKETS = _SEEN * _SURE
+
+
+def bucket_of(kept: np.ndarray, total: np.ndarray) -> np.ndarray:
+    seen = np.minimum(np.log2(np.maximum(kept, 1)).astype(np.int64), _SEEN - 1)
+    sure = np.minimum(kept * _SURE // np.maximum(total, 1), _SURE - 1)
+    return seen * _SURE + sure
+
+
+def _behind() -> np.ndarray:
+    """Place behind the set bit of rank 1 to 7 in each 16 bits: 0 for rank 0, 255 if there are not so many."""
+    bits, out = np.arange(1 << 16, dtype=np.uint32), np.zeros((_EVERY, 1 << 16), np.uint8)
+    for rank in range(1, _EVERY):
+        out[rank] = np.where(bits, np.bitwise_count((bits & -bits) - np.uint32(1)) + 1, 255)
+        bits &= np.maximum(bits, 1) - np.uint32(1)
+    return out.ravel()
+
+
+_BEHIND = _behind()
 
 
 def encode(p: np.ndarray) -> np.ndarray:
@@ -31,6 +55,9 @@ def decode(codes: np.ndarray) -> np.ndarray:
     return 10.0 ** -((codes / np.float64(CODE_STEP)) ** 2)
 
 
+_DECODED = decode(np.arange(1 << 16))
+
+
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Place of the set bit with the given rank in each 64-bit word."""
     words, rank, place = words.astype(U), rank.astype(np.int64), np.zeros(len(words), np.int64)
@@ -48,19 +75,21 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray], size: int, low_bits: int):
         self.high, self.ones, self.low = arrays["high"], arrays["ones"], arrays["low"]
-        self.size, self.low_bits = size, low_bits
-        self.zeros = None
-        # The 64 bits from any byte on; the low parts end in a spare word.
-        self.low_from = np.ndarray((self.low.nbytes - 7,), "<u8", self.low, strides=(1,))
+        self.starts, self.places = arrays["starts"], arrays["places"]
+        self.size, self.low_bits, self.mask = size, low_bits, U((1 << low_bits) - 1)
+        self.buckets = (len(self.starts) - 1) * _EVERY  # behind the last that has elements
+        # The word behind each; both parts end in a spare word.
+        self.high_behind, self.low_behind = self.high[1:], self.low[1:]
 
     @classmethod
-    def build(cls, values: np.ndarray) -> EliasFano:
+    def build(cls, values: np.ndarray, low_bits: int | None = None) -> EliasFano:
         values = values.astype(U)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
-        low_bits = max(0, (top // max(1, n)).bit_length() - 1)
+        low_bits = max(0, (top // max(1, n)).bit_length() - 1) if low_bits is None else low_bits
         at = (values >> U(low_bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(at[-1]) if n else 0) // 64 + 2, U)
+        buckets = int(at[-1]) + 2 - n if n else 1
+        high = np.zeros((n + buckets + 2 * _EVERY) // 64 + 2, U)
         np.bitwise_or.at(high, at >> 6, U(1) << (at & 63).astype(U))
         ones = np.r_[0, np.cumsum(np.bitwise_count(high), dtype=np.int64)[:-1]]
         low = np.zeros(n * low_bits // 64 + 2, U)
@@ -71,20 +100,18 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << shift)
             over = shift + U(low_bits) > U(64)
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (U(64) - shift[over]))
-        return cls({"high": high, "ones": ones.astype(np.uint32 if n < 2**32 else np.int64), "low": low}, n, low_bits)
+        # Where every eighth bucket starts in the high parts, and where every eighth element stands.
+        starts = np.arange(0, buckets + _EVERY, _EVERY)
+        starts += np.searchsorted(at - np.arange(n), starts)
+        kind = np.uint32 if len(high) < 2**26 else np.int64
+        return cls({"high": high, "ones": ones.astype(kind), "low": low, "starts": starts.astype(kind), "places": at[::_EVERY].astype(kind)}, n, low_bits)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), U)
         bit = i * self.low_bits
-        if self.low_bits <= 57:
-            return self.low_from[bit >> 3] >> (bit & 7).astype(U) & U((1 << self.low_bits) - 1)
-        word, shift = bit >> 6, (bit & 63).astype(U)
-        value = self.low[word] >> shift
-        over = shift + U(self.low_bits) > U(64)
-        if over.any():
-            value[over] |= self.low[word[over] + 1] << (U(64) - shift[over])
-        return value & U((1 << self.low_bits) - 1)
+        word, shift = bit >> 6, (bit & 63).view(U)
+        return (self.low.take(word) >> shift | self.low_behind.take(word) << U(1) << (shift ^ U(63))) & self.mask
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
@@ -94,52 +121,78 @@ class EliasFano:
 
     def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values at places ``i`` and at the places behind them."""
-        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
-        high = self.high[word]
-        bit = _select_in_word(high, i - self.ones[word].astype(np.int64))
-        at = (word << 6) + bit
-        # The next set bit mostly stands in the same 64.
-        after = high & (U(0xFFFFFFFFFFFFFFFE) << bit.astype(U))
-        near = after != 0
-        following = (word << 6) + np.bitwise_count((after & (~after + U(1))) - U(1))
-        values, upper = ((at - i).astype(U) << U(self.low_bits)) | self._low(i), np.empty(len(i), U)
-        upper[near] = (following[near] - i[near] - 1).astype(U) << U(self.low_bits) | self._low(i[near] + 1)
-        upper[~near] = self.access(i[~near] + 1)
+        if not len(self.places):
+            return self.access(i), self.access(i + 1)
+        start = self.places.take(i >> 3).astype(np.int64)
+        word, shift = start >> 6, (start & 63).view(U)
+        bits = self.high.take(word) >> shift | self.high_behind.take(word) << U(1) << (shift ^ U(63))
+        behind = _BEHIND.take((i & (_EVERY - 1)) << 16 | (bits & U(0xFFFF)).view(np.int64))
+        bits >>= behind
+        first = bits & (~bits + U(1))
+        bits ^= first
+        start += behind
+        start -= i
+        second = np.bitwise_count((bits & (~bits + U(1))) - U(1))
+        values = (start + np.bitwise_count(first - U(1))).view(U) << U(self.low_bits) | self._low(i)
+        upper = (start + second - 1).view(U) << U(self.low_bits) | self._low(i + 1)
+        if len(far := np.flatnonzero(second == 64)):  # not within these bits
+            values[far], upper[far] = self.access(i[far]), self.access(i[far] + 1)
         return values, upper
 
     def _from(self, h: np.ndarray) -> np.ndarray:
-        """Number of elements whose high part is below ``h``."""
-        if self.zeros is None:
-            self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-        rank = np.maximum(h - 1, 0)
-        word = np.searchsorted(self.zeros, rank, side="right") - 1
-        at = (word << 6) + _select_in_word(~self.high[word], rank - self.zeros[word])
+        """Number of elements whose high part is below ``h``, by halving the words between two stored starts."""
+        rank, j = np.maximum(h - 1, 0), h // _EVERY
+        begin, end = (self.starts[j] >> 6).astype(np.int64), (self.starts[np.minimum(j + 1, len(self.starts) - 1)] >> 6).astype(np.int64)
+        # The word of the zero of that rank: the last with no more zeros before it.
+        begin = np.where(begin * 64 - self.ones[begin] > rank, begin - 1, begin)
+        while (begin < end).any():
+            middle = (begin + end + 1) >> 1
+            before = middle * 64 - self.ones[middle] <= rank
+            begin, end = np.where(before, middle, begin), np.where(before, end, middle - 1)
+        at = (begin << 6) + _select_in_word(~self.high[begin], rank - (begin * 64 - self.ones[begin]))
         return np.where(h > 0, np.minimum(at - rank, self.size), 0)
 
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First element of each bucket, and the one behind its last."""
+        start = self.starts.take(h >> 3).astype(np.int64)
+        word, shift = start >> 6, (start & 63).view(U)
+        # Zeros of the 64 bits from the stored start on; a bucket's ones stand between two zeros.
+        zeros = ~(self.high.take(word) >> shift | self.high_behind.take(word) << U(1) << (shift ^ U(63)))
+        behind = _BEHIND.take((h & (_EVERY - 1)) << 16 | (zeros & U(0xFFFF)).view(np.int64))
+        if len(far := np.flatnonzero(behind == 255)):  # not within 16 bits
+            bits = zeros[far]
+            more = _BEHIND.take((h[far] & (_EVERY - 1)) - np.bitwise_count(bits & U(0xFFFF)) << 16 | (bits >> U(16) & U(0xFFFF)).view(np.int64))
+            behind[far] = np.where(more == 255, 255, more + 16)
+        zeros >>= behind
+        begin = start + behind
+        begin -= h
+        size = np.bitwise_count((zeros & (~zeros + U(1))) - U(1))
+        end = begin + size
+        if len(far := np.flatnonzero(size == 64)):  # not within these bits
+            begin[far], end[far] = self._from(h[far]), self._from(h[far] + 1)
+        return begin, end
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the first element of ``x``'s bucket that is not below ``x``, and whether it equals ``x``."""
+        """Whether ``x`` is an element, and the place of the first such; elsewhere a place that says nothing."""
         same = np.zeros(len(x), bool)
         if not self.size:
             return np.zeros(len(x), np.int64), same
-        h = (x >> U(self.low_bits)).astype(np.int64)
-        last = len(self.high) * 64 - self.size - 1  # beyond the last zero nothing is stored
-        at = np.full(len(x), self.size)
-        open_ = np.flatnonzero(h < last)
-        at[open_] = self._from(h[open_])
-        want = x & U((1 << self.low_bits) - 1)
+        # Behind the last bucket stands an empty one.
+        h = np.minimum((x >> U(self.low_bits)).view(np.int64), self.buckets)
+        at, end = self._bucket(h)
+        want, open_ = x & self.mask, np.flatnonzero(at < end)
+        place, end, want = at[open_], end[open_], want[open_]
         for _ in range(_STEPS):
-            # Element i is in bucket h if bit i + h is set.
-            bit = at[open_] + h[open_]
-            open_ = open_[((self.high[bit >> 6] >> (bit & 63).astype(U)) & U(1)).astype(bool)]
-            low = self._low(at[open_])
-            same[open_[low == want[open_]]] = True
-            open_ = open_[low < want[open_]]
-            at[open_] += 1
-            if not len(open_):
+            low = self._low(place)
+            hit = np.flatnonzero(low == want)
+            same[open_[hit]] = True
+            at[open_[hit]] = place[hit]
+            on = np.flatnonzero((low < want) & (place + 1 < end))
+            if not len(on):
                 return at, same
+            open_, place, end, want = open_[on], place[on] + 1, end[on], want[on]
         # The rest are in large buckets, where low bits rise: halve them.
-        begin, end, want = at[open_], self._from(h[open_] + 1), want[open_]
-        stop = end.copy()
+        begin, stop = place, end.copy()
         while (apart := begin < end).any():
             middle = (begin + end) >> 1
             below = np.zeros(len(middle), bool)
@@ -150,13 +203,15 @@ class EliasFano:
         same[open_[inside]] = self._low(begin[inside]) == want[inside]
         return at, same
 
-    def parts(self, name: str) -> dict:
-        return {f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.low": self.low, f"{name}.shape": np.int64([self.size, self.low_bits])}
+    def parts(self, name: str, *without: str) -> dict:
+        """Arrays for a file, ``without`` those of a use that is rarely made of the sequence: "starts" for searches, "places" for look-ups."""
+        arrays = {"high": self.high, "ones": self.ones, "low": self.low, "starts": self.starts, "places": self.places, "shape": np.int64([self.size, self.low_bits])}
+        return {f"{name}.{k}": v for k, v in arrays.items() if k not in without}
 
     @classmethod
     def of(cls, parts: dict, name: str) -> EliasFano:
         size, low_bits = (int(x) for x in parts[f"{name}.shape"])
-        return cls({k: parts[f"{name}.{k}"] for k in ("high", "ones", "low")}, size, low_bits)
+        return cls({k: parts.get(f"{name}.{k}", np.zeros(0, np.int64)) for k in ("high", "ones", "low", "starts", "places")}, size, low_bits)
 
 
 def write_parts(path: str, parts: dict[str, np.ndarray]) -> int:
@@ -185,13 +240,19 @@ def map_parts(path: str) -> dict[str, np.ndarray]:
 
 def word_level(words: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """First level: sorted word hashes and their counts."""
-    return EliasFano.build(words).parts("word") | {"count": counts.astype(np.int64)}
+    return EliasFano.build(words).parts("word", "places") | {"count": counts.astype(np.int64)}
+
 
+def _spread(child: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of ``width`` bits in another order, in which small ones are spread evenly."""
+    return child * U(int(0.6180339887498949 * (1 << width)) | 1) & U((1 << width) - 1)
 
-def context_level(context: np.ndarray, child: np.ndarray, count: np.ndarray, other: int, least: int = 1) -> dict[str, np.ndarray]:
+
+def context_level(context: np.ndarray, child: np.ndarray, count: np.ndarray, other: int, least: int = 1, spread: bool = False) -> dict[str, np.ndarray]:
     """A level of children sorted by (context, child). ``other`` as a child means words that no child stands for.
 
     Children below ``least`` occurrences are left to the shorter context; their occurrences stay in ``total``.
+    ``spread`` is for children that are not hashes: they are kept in another order.
     """
     starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
     total = np.add.reduceat(count, starts) if len(starts) else np.zeros(0, np.int64)
@@ -202,20 +263,27 @@ def context_level(context: np.ndarray, child: np.ndarray, count: np.ndarray, oth
     used = children_of > 0
     pointers = np.r_[0, np.cumsum(children_of[used])]
     child, count = child[keep], count[keep]
-    # Within a context values rise by at least one; each context starts above the last value of the one before.
-    first = pointers[:-1]
-    last_in = child[pointers[1:] - 1].astype(np.int64) + 1 if len(child) else np.zeros(0, np.int64)
-    base = np.r_[0, np.cumsum(last_in)[:-1]] if len(last_in) else np.zeros(0, np.int64)
-    relative = child.astype(np.int64) + 1 + np.repeat(base, np.diff(pointers))
+    first, size = pointers[:-1], np.diff(pointers)
+    width = int(child.max()).bit_length() if len(child) else 0
+    child = child.astype(U)
+    if spread:
+        child = _spread(child, width)
+        order = np.argsort(np.repeat(np.arange(len(first), dtype=U) << U(width), size) | child)
+        child, count = child[order], count[order]
+    # Spread evenly as long as the last fits into 64 bits.
+    even = len(child).bit_length() + width <= 64
+    relative = np.repeat((first if even else np.arange(len(first))).astype(U) << U(width), size)
+    relative += child * np.repeat(size.astype(U), size) if even else child
     kept = kept_of[used]
-    share = count / np.repeat(kept, np.diff(pointers)) if len(first) else np.zeros(0)
+    left = total[used] - kept
+    share = count / np.repeat(kept, size) if len(first) else np.zeros(0)
     return (
-        EliasFano.build(context[starts][used]).parts("context")
-        | EliasFano.build(pointers.astype(U)).parts("pointer")
-        | EliasFano.build(relative.astype(U)).parts("child")
-        | EliasFano.build(np.cumsum(np.r_[0, kept])).parts("kept")
-        | EliasFano.build(np.cumsum(np.r_[0, total[used] - kept])).parts("left")
-        | {"code": encode(share)}
+        EliasFano.build(context[starts][used]).parts("context", "places")
+        | EliasFano.build(pointers.astype(U)).parts("pointer", "starts")
+        | EliasFano.build(relative, width if even else None).parts("child", "places")
+        | EliasFano.build(np.cumsum(np.r_[0, kept])).parts("kept", "starts", "places")
+        | EliasFano.build(np.cumsum(np.r_[0, left]) if left.any() else left[:0]).parts("left", "starts", "places")
+        | {"code": encode(share), "child.key": np.int64([width, even, spread]), "bucket": bucket_of(kept, total[used]).astype(np.uint8)}
     )
 
 
@@ -228,39 +296,48 @@ class WordLevel:
         return np.where(found, self.count[np.minimum(at, max(0, len(self.count) - 1))], 0) if len(self.count) else np.zeros(len(words), np.int64)
 
 
+MISSING = {"place": -1, "share": 0.0, "kept": 0, "total": 0, "bucket": BUCKETS}
+
+
 class ContextLevel:
     def __init__(self, parts: dict):
         self.contexts, self.pointers, self.children = (EliasFano.of(parts, n) for n in ("context", "pointer", "child"))
         self.kept, self.left = (EliasFano.of(parts, n) for n in ("kept", "left"))
-        self.code = parts["code"]
-        self.whole = not self.left.size or not int(self.left.access(np.int64([self.left.size - 1]))[0])
+        self.code, self.bucket = parts["code"], parts["bucket"]
+        self.width, self.even, self.spread = (int(x) for x in parts["child.key"])
 
-    def find(self, contexts: np.ndarray, number: np.ndarray, child: np.ndarray, places_only: bool = False) -> dict[str, np.ndarray]:
+    def find(self, contexts: np.ndarray, number: np.ndarray, child: np.ndarray, wanted: tuple[str, ...] = tuple(MISSING)) -> dict[str, np.ndarray]:
         """Pairs of a context (``number`` in the array ``contexts``) and a child.
 
-        For each pair: ``place`` of the child among its context's (-1 if none), its ``share``, and
-        ``kept`` and ``total`` of the context (zeros if ``places_only``).
+        For each pair what is ``wanted``: ``place`` of the child among its context's, its ``share``, and ``kept``, ``total`` and
+        weight ``bucket`` of the context; values of ``MISSING`` if there is none.
         """
-        n = len(number)
-        out = {"place": np.full(n, -1), "share": np.zeros(n), "kept": np.zeros(n, np.int64), "total": np.zeros(n, np.int64)}
         at, found = self.contexts.successor(contexts)
-        here = np.flatnonzero(found[number]) if n else np.zeros(0, np.int64)
-        if not len(here):
-            return out
-        used = np.flatnonzero(found)
-        known, number = at[used], (np.cumsum(found) - 1)[number]
-        begin, end = (x.astype(np.int64) for x in self.pointers.pair(known))
-        base = np.where(begin > 0, self.children.access(np.maximum(begin - 1, 0)).astype(np.int64), 0)
-        of = number[here]
-        if not places_only:
-            before, until = self.kept.pair(known)
-            kept = (until - before).astype(np.int64)
-            before, until = (U(0), U(0)) if self.whole else self.left.pair(known)
-            left = np.asarray(until - before).astype(np.int64)
-            out["kept"][here], out["total"][here] = kept[of], (kept + left)[of]
-        place, same = self.children.successor((base[of] + 1 + child[here].astype(np.int64)).astype(U))
-        same &= (place >= begin[of]) & (place < end[of])
-        out["place"][here[same]] = (place - begin[of])[same]
-        if not places_only:
-            out["share"][here[same]] = decode(self.code[place[same]])
-        return out
+        if not found.any():
+            return {name: np.full(len(number), MISSING[name]) for name in wanted}
+        at *= found
+        out, here = {}, found.take(number)
+        if "bucket" in wanted:
+            out["bucket"] = np.where(found, self.bucket.take(at), np.uint8(MISSING["bucket"])).take(number)
+        if "kept" in wanted or "total" in wanted:
+            before, until = self.kept.pair(at)
+            kept = (until - before).astype(np.int64) * found
+            before, until = self.left.pair(at) if self.left.size else (U(0), U(0))
+            left = np.asarray(until - before).astype(np.int64) * found
+            out["kept"], out["total"] = kept.take(number), (kept + left).take(number)
+        child, width = child.astype(U, copy=False), U(self.width)
+        here &= (child >> width) == 0
+        if self.spread:
+            child = _spread(child, self.width)
+        begin, until = self.pointers.pair(at)
+        if self.even:
+            key = (begin << width).take(number) + child * (until - begin).take(number)
+        else:
+            key = at.take(number).view(U) << width | child
+        place, same = self.children.successor(key)
+        same &= here
+        if "share" in wanted:
+            out["share"] = _DECODED.take(self.code.take(place, mode="clip")) * same
+        if "place" in wanted:
+            out["place"] = np.where(same, place - begin.view(np.int64).take(number), MISSING["place"])
+        return {name: out[name] for name in wanted}
